@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, distinctive, fusion, repetition, term_counts
+from quern.llm import bpe, distinctive, fusion, near_dup, neighbors, packing, repetition, source_files, term_counts
 from quern.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_labels(spark: SparkSession, d: str) -> DataFrame:
+    return source_files.label_files(table(spark, d, "chunks"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_labels(spark, d).where("label <> 'handwritten'").select("file_path")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     scores = distinctive.term_scores(table(spark, d, "postings"), table(spark, d, "doc_stats"), table(spark, d, "bm25_stats"), only=table(spark, d, "term_probes"))
     return distinctive.most_distinctive(scores).select("chunk_id", "term")
@@ -30,6 +38,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_ranking(spark, d).where("rank = 1 and retrievers >= 2").select("query_id", "chunk_id")
 
 
+def p5_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    return neighbors.nearest(table(spark, d, "vectors"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbors.mutual_pairs(p5_neighbors(spark, d))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_dup.all_pairs(*near_dup.near_duplicates(table(spark, d, "chunks")))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_dup.groups(*near_dup.near_duplicates(table(spark, d, "chunks")))
+
+
 def _p7_counts(spark: SparkSession, d: str) -> DataFrame:
     counts = term_counts.update_counts(None, added=table(spark, d, "postings"))
     records = table(spark, d, "chunks").agg(F.count_distinct("chunk_id")).scalar()
@@ -63,6 +87,14 @@ def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return bpe.decode_ids(bpe.encode_documents(table(spark, d, "documents")))
 
 
+def p9_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "capacities"))
+
+
+def p9_room(spark: SparkSession, d: str) -> DataFrame:
+    return packing.room_left(p9_packed(spark, d), table(spark, d, "capacities"))
+
+
 def p10_assessed(spark: SparkSession, d: str) -> DataFrame:
     return repetition.assess(table(spark, d, "documents"))
 
@@ -72,7 +104,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_scores, p4_found, p4_ranking, p7_found, p7_counts, p7_incremental, p8_ids, p8_roundtrip, p10_found, p10_assessed)}
+    return {f.__name__: f for f in (p1_found, p1_labels, p3_found, p3_scores, p4_found, p4_ranking, p5_found, p5_neighbors, p6_found, p6_groups, p7_found, p7_counts, p7_incremental, p8_ids, p8_roundtrip, p9_packed, p9_room, p10_found, p10_assessed)}
 
 
 _DISTINCT = """
