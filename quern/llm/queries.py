@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, distinctive, fusion, near_dup, neighbors, packing, repetition, source_files, term_counts
+from quern.llm import bpe, distinctive, fusion, near_dup, neighbors, packing, repetition, source_files, splitting, term_counts
 from quern.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_labels(spark, d).where("label <> 'handwritten'").select("file_path")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.block_lines(table(spark, d, "chunks"))
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_chunks(table(spark, d, "chunks"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     scores = distinctive.term_scores(table(spark, d, "postings"), table(spark, d, "doc_stats"), table(spark, d, "bm25_stats"), only=table(spark, d, "term_probes"))
     return distinctive.most_distinctive(scores).select("chunk_id", "term")
@@ -104,7 +112,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_labels, p3_found, p3_scores, p4_found, p4_ranking, p5_found, p5_neighbors, p6_found, p6_groups, p7_found, p7_counts, p7_incremental, p8_ids, p8_roundtrip, p9_packed, p9_room, p10_found, p10_assessed)}
+    return {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_pieces, p3_found, p3_scores, p4_found, p4_ranking, p5_found, p5_neighbors, p6_found, p6_groups, p7_found, p7_counts, p7_incremental, p8_ids, p8_roundtrip, p9_packed, p9_room, p10_found, p10_assessed)}
 
 
 _DISTINCT = """
