@@ -6,14 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.functions.dialect import DUCK, SPARK
+from quern.operators.lookup import FIND_RELATED_SQL, related_chunks
+from quern.plans.catalog import CATALOG
+from quern.plans.runner import Run, duck_sql
+from quern.session import table
+
+
+def find_related(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest chunks of the same language for every chunk whose id is divisible by 50."""
+    return related_chunks(table(spark, d, "vectors"), table(spark, d, "chunks"))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    out = {name: lambda spark, d, f=f: Run(spark, d).sql(f(SPARK)) for name, f in CATALOG.items()}
+    return out | {"find_related": find_related}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: duck_sql(f(DUCK)) for name, f in CATALOG.items()} | {"find_related": FIND_RELATED_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """A hybrid search for every logged query."""
+    return Run(spark, sf_dir).sql(CATALOG["hybrid_search"](SPARK))
