@@ -36,7 +36,7 @@ class Spark:
         return f"element_at({a}, {i})"
 
     def slice(self, a: str, first: str, last: str) -> str:
-        return f"slice({a}, cast({first} as int), cast(greatest({last} - {first} + 1, 0) as int))"
+        return f"slice({a}, cast(({first}) as int), cast(greatest(({last}) - ({first}) + 1, 0) as int))"
 
     def join(self, a: str, between: str) -> str:
         return f"array_join({a}, {self.lit(between)})"
