@@ -33,9 +33,7 @@ def distinct_postings(postings: DataFrame) -> DataFrame:
     """
     rows = postings.select(clean_term(F.col("term")).alias("term"), F.col("chunk_id"), F.coalesce(F.col("tf"), F.lit(1)).alias("tf"))
     rows = rows.where(F.col("term").isNotNull() & F.col("chunk_id").isNotNull())
-    # Each task sends its rows in the order of their terms, which compress to about half that way.  The second condition
-    # always holds; it keeps the sort from being optimised away.
-    return rows.sortWithinPartitions("term").where(F.rand(0) >= 0).groupBy("term", "chunk_id").agg(F.max("tf").alias("tf"))
+    return rows.groupBy("term", "chunk_id").agg(F.max("tf").alias("tf"))
 
 
 def term_deltas(postings: DataFrame, sign: int) -> DataFrame:
