@@ -49,6 +49,8 @@ def upper_tail_log10(k: np.ndarray, n: np.ndarray, big_k: np.ndarray, big_n: np.
     change the sum.  Below the mean the masses rise first, so a sum stops only once they fall.
     """
     k, n, big_k, big_n = (np.asarray(a, dtype=np.float64) for a in (k, n, big_k, big_n))
+    # Fewer marked ones than the draw must hold cannot come out: there the probability is 1, as it is at the least number.
+    k = np.maximum(k, n + big_k - big_n)
     first = log_choose(big_k, k) + log_choose(big_n - big_k, n - k) - log_choose(big_n, n)
     total, mass = np.ones_like(first), np.ones_like(first)
     active, at = np.arange(len(first)), k.copy()

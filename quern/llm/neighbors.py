@@ -48,7 +48,8 @@ def planes(sample: np.ndarray, dimensions: int, trees: int, seed: int = SEED) ->
     """``(projections, offsets)`` for ``trees`` strings of 64 bits and one further sketch of 64 bits."""
     rng = np.random.default_rng(seed)
     projections = rng.standard_normal((dimensions, (trees + 1) * 64)).astype(np.float32)
-    offsets = np.median(sample @ projections, axis=0) if len(sample) else np.zeros(projections.shape[1])
+    # A little off the median: it may be the value of many copies, whose bits rounding would else decide.
+    offsets = np.median(sample @ projections, axis=0) + 1e-3 if len(sample) else np.zeros(projections.shape[1])
     return projections, offsets.astype(np.float32)
 
 

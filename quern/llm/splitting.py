@@ -20,8 +20,8 @@ from quern.session import cut
 
 LIMIT = 1500
 OVERLAP = 5
-#: Ranks of a boundary: within a line, at a line, after a blank line, at the start of a block.
-INSIDE, LINE, BLANK, BLOCK = 0, 1, 2, 3
+#: Ranks of a boundary: within a line, at a line, after a blank line, at the start of a block, at the end of the text.
+INSIDE, LINE, BLANK, BLOCK, END = 0, 1, 2, 3, 4
 
 
 def boundaries_of(content: str, blocks: list[int], limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int]]:
@@ -58,19 +58,20 @@ def boundaries_of(content: str, blocks: list[int], limit: int = LIMIT, overlap:
                     begin = edges[line - h]
                     break
         made.append((offset, rank, line, begin))
-    return [*made, (ends, BLOCK, max(0, len(lines) - (2 if content.endswith("\n") else 1)), ends)]
+    return [*made, (ends, END, max(0, len(lines) - (2 if content.endswith("\n") else 1)), ends)]
 
 
 def _scan(limit: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, rows, counts = batch.column(0), [], []
+            keys, firsts, rows, counts = batch.column(0), batch.column(4), [], []
             for text, language, path in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 found = boundaries_of(text, block_starts(text, language_of(language, path)), limit, overlap)
                 rows.extend(found)
                 counts.append(len(found))
             table = np.array(rows, dtype=np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.repeat(np.arange(len(counts)), counts))), *(pa.array(table[:, i]) for i in range(4))], names=["chunk_id", "offset", "rank", "line", "begin"])
+            which = pa.array(np.repeat(np.arange(len(counts)), counts).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([keys.take(which), firsts.take(which), *(pa.array(table[:, i]) for i in range(4))], names=["chunk_id", "first_line", "offset", "rank", "line", "begin"])
 
     return run
 
@@ -81,30 +82,19 @@ def oversized(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def boundaries(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """``(chunk_id, offset, rank, line, begin)`` of the oversized chunks; lines count from 0.  Repeated rows of a chunk count once."""
-    rows = oversized(chunks, limit).select("chunk_id", "content", "language", "file_path")
-    kind = chunks.schema["chunk_id"].dataType.simpleString()
-    made = rows.mapInArrow(_scan(limit, overlap), f"chunk_id {kind}, offset bigint, rank bigint, line bigint, begin bigint")
-    return made.groupBy("chunk_id", "offset").agg(F.max("rank").alias("rank"), F.min("line").alias("line"), F.min("begin").alias("begin"))
-
-
-def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [block_starts(t, language_of(x, p)) for t, x, p in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
-        which = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]).astype(np.int64))
-        lines = pa.array(np.array([i for f in found for i in f], dtype=np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(4).take(which), lines], names=["chunk_id", "start_line", "line"])
-
+    """``(chunk_id, first_line, offset, rank, line, begin)`` of the oversized chunks; lines count from 0, first_line is the file's.
 
-def block_lines(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """``(chunk_id, line)``: the file's lines at which a top-level block starts within an oversized chunk; these are the boundaries of rank BLOCK.
-
-    A null start_line counts as 1.
+    Repeated rows of a chunk count once; a null start_line is 1.
     """
-    rows = oversized(chunks, limit).select("chunk_id", "content", "language", "file_path", F.coalesce("start_line", F.lit(1)).cast("bigint").alias("start_line"))
+    rows = oversized(chunks, limit).select("chunk_id", "content", "language", "file_path", F.coalesce("start_line", F.lit(1)).cast("bigint").alias("first_line"))
     kind = chunks.schema["chunk_id"].dataType.simpleString()
-    made = rows.mapInArrow(_block_rows, f"chunk_id {kind}, start_line bigint, line bigint")
-    return made.select("chunk_id", (F.col("start_line") + F.col("line")).alias("line")).distinct()
+    made = rows.mapInArrow(_scan(limit, overlap), f"chunk_id {kind}, first_line bigint, offset bigint, rank bigint, line bigint, begin bigint")
+    return made.groupBy("chunk_id", "offset").agg(F.min("first_line").alias("first_line"), F.max("rank").alias("rank"), F.min("line").alias("line"), F.min("begin").alias("begin"))
+
+
+def block_lines(found: DataFrame) -> DataFrame:
+    """``(chunk_id, line)``: the file's lines at which a top-level block starts, from the boundaries of oversized chunks."""
+    return found.where(F.col("rank") == BLOCK).select("chunk_id", (F.col("first_line") + F.col("line")).alias("line")).distinct()
 
 
 def successors(found: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -158,7 +148,7 @@ def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP)
         .join(lines.select("chunk_id", F.col("at").alias("begin"), F.col("line").alias("_begin_line")), ["chunk_id", "begin"])
     )
     pieces = spans.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("at", "next", "begin", "line", "_next_line", "_begin_line"))).alias("_p"))
-    once = oversized(chunks, limit).dropDuplicates(["chunk_id"])
+    once = oversized(chunks, limit).select("chunk_id", "file_path", "language", "content", "start_line", "symbols", "breadcrumbs").dropDuplicates(["chunk_id"])
     rows = once.join(pieces, "chunk_id").select("*", F.posexplode("_p").alias("piece", "p"))
     text = F.expr("substring(content, cast(p.begin as int) + 1, cast(p.next - p.begin as int))")
     start = F.coalesce("start_line", F.lit(1)) + F.col("p._begin_line")
