@@ -46,7 +46,7 @@ def extract_symbols(d: Spark) -> str:
     trim = d.replace_all("line", "^[ \t\r\f]+", "")
     bare = d.replace_all(d.replace_all("t", "^export (?:default )?", ""), "^(?:(?:public|private|protected|internal|static|final|abstract|open|override|inline|extern|virtual|async) )+", "")
     before = d.extract("b", r"^([^(]*)\(", 1)
-    last = d.extract("before", r"^[ \t]*[^ \t]+(?:[ \t]+[^ \t]+)*[ \t]+([A-Za-z_][A-Za-z0-9_]*)[ \t]*$", 1)
+    last = d.extract("before", r"[^ \t][ \t]+([A-Za-z_][A-Za-z0-9_]*)[ \t]*$", 1)
     c_like = "(last <> '' AND last NOT IN ('if', 'for', 'while', 'switch', 'catch', 'return') AND contains(b, ')'))"
     rules = [
         ("pub async fn ", "fn"), ("pub fn ", "fn"), ("async fn ", "fn"), ("fn ", "fn"), ("async function ", "function"), ("function ", "function"), ("async def ", "def"), ("def ", "def"), ("class ", "class"),

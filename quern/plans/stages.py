@@ -306,7 +306,7 @@ def definition_tiers(d: Spark) -> str:
     lines = d.filter(d.split("c.content", "\n"), "w", f"contains(w, 'pub use') AND {d.has(d.split('w', '[^A-Za-z0-9_]+'), 'n.name')}")
     defines = f"({d.match_text('c.content', _definition(d, DEFINERS, False, 'n.name'))} OR {d.match_text('c.content', _definition(d, SQL_DEFINERS, True, 'n.name'))} OR (f.is_public AND {d.size(lines)} > 0))"
     return f"""SELECT query_id, chunk_id, max(unit) * CASE WHEN max(named) = 1 THEN 1.5 ELSE 1.0 END AS tier, max(defined) AS defined FROM (
-      SELECT p.query_id, p.chunk_id, n.unit, CASE WHEN s.form IS NOT NULL THEN 1 ELSE 0 END AS named, CASE WHEN contains(c.content, n.name) AND {defines} THEN 1 WHEN {d.match_text("c.content", _definition(d, SQL_DEFINERS, True, "n.name"))} THEN 1 ELSE 0 END AS defined
+      SELECT p.query_id, p.chunk_id, n.unit, CASE WHEN s.form IS NOT NULL THEN 1 ELSE 0 END AS named, CASE WHEN contains(lower(c.content), lower(n.name)) AND {defines} THEN 1 ELSE 0 END AS defined
       FROM definition_places p JOIN query_names n ON p.query_id = n.query_id JOIN chunk_rows c ON p.chunk_id = c.chunk_id JOIN file_features f ON c.file_path = f.file_path
       LEFT JOIN file_stem_forms s ON s.file_path = c.file_path AND s.form = lower(n.name)) x GROUP BY query_id, chunk_id HAVING max(defined) = 1"""
 
