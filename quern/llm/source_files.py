@@ -94,17 +94,24 @@ def evidence(content: str, at_top: bool) -> tuple[int, ...]:
     alike = max(Counter(blocks).values()) if blocks else 0
     alike = alike if alike >= 3 else 0
     generated = vendored = 0
-    if at_top:
-        for line in lines[:20]:
-            if _COMMENT.match(line):
-                generated += bool(GENERATED_SIGNS.search(line))
-                vendored += bool(VENDORED_SIGNS.search(line))
+    for i, line in enumerate(lines):
+        if _COMMENT.match(line):
+            made, bought = bool(GENERATED_SIGNS.search(line)), bool(VENDORED_SIGNS.search(line))
+            if (made or bought) and ((at_top and i < 20) or not _quoted(lines, i)):
+                generated += made
+                vendored += bought
     return len(text), data, packed, len(blocks), alike, generated, vendored, len(BUNDLE_SIGNS.findall(text))
 
 
 _NO_DIGITS = {i: None for i in range(48, 58)}
 
 
+def _quoted(lines: list[str], i: int) -> bool:
+    """Whether line ``i`` lies within a string of several lines, as in a template: one opens before it and closes after it."""
+    before, after = "\n".join(lines[:i]), "\n".join(lines[i + 1 :])
+    return any(before.count(q) % 2 and after.count(q) % 2 for q in ('"""', "'''", "`"))
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, paths, starts, texts = (batch.column(i) for i in range(4))

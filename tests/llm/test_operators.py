@@ -46,6 +46,18 @@ def test_labels_follow_signs_and_trees(spark):
     assert source_files.label_files(table.limit(0)).count() == 0
 
 
+def test_signs_count_wherever_they_stand(spark):
+    code = "def f(a):\n" + "".join(f"    a = a.{'x' * i}(a)\n" for i in range(1, 40)) + "    return a\n"
+    banner = "# <auto-generated>\n#     maker wrote this file; changes are lost on the next run.\n# </auto-generated>"
+    template = 'BANNER = """\n' + "# Code generated by {tool}. DO NOT EDIT.\n" + '"""\n'
+    table = [
+        chunk(1, "r/p/src/tail.py", code + banner), chunk(2, "r/p/src/last.py", code), chunk(3, "r/p/src/last.py", code + banner, start=49), chunk(4, "r/p/src/maker.py", code + template + code),
+        chunk(5, "r/p/src/docs.py", 'end of a docstring\n"""\n' + code + banner, start=49), chunk(6, "r/p/src/copy.py", code + "# Copied verbatim from maker, send fixes upstream.\n"), *(chunk(10 + i, f"r/p/src/own{i}.py", code) for i in range(4)),
+    ]
+    got = {r.file_path.rsplit("/")[-1]: r.label for r in source_files.label_files(spark.createDataFrame(table, CHUNK)).collect()}
+    assert {n: x for n, x in got.items() if not n.startswith("own")} == {"tail.py": "generated", "last.py": "generated", "maker.py": "handwritten", "docs.py": "generated", "copy.py": "vendored"}
+
+
 # ---- 2 -------------------------------------------------------------------------------------------------------------
 
 
