@@ -176,8 +176,10 @@ def all_pairs(members: DataFrame, links: DataFrame, key: str = "chunk_id") -> Da
 def groups(members: DataFrame, links: DataFrame, key: str = "chunk_id", rounds: int = 50) -> DataFrame:
     """``(key, group_id, links)``: connected groups, named by their smallest key, and each key's number of links to other classes.
 
-    Every round a class takes the smallest label among its neighbours and then that label's own label, so rounds follow the
-    logarithm of a group's width; it stops when no label changes.  A key without a partner is its own group.
+    Every round a class takes the smallest label among its neighbours and passes it to the row of its old label too, so that
+    whole groups hook onto each other, and then takes its label's own label.  It stops when no label changes, which is when
+    the ends of every link have the same label; if ``rounds`` do not reach that, it raises an error.  A key without a
+    partner is its own group.
     """
     both = links.select(F.col("head_a").alias("u"), F.col("head_b").alias("v")).unionByName(links.select(F.col("head_b").alias("u"), F.col("head_a").alias("v")))
     edges = cut(both.distinct())
@@ -185,13 +187,15 @@ def groups(members: DataFrame, links: DataFrame, key: str = "chunk_id", rounds:
     labels = cut(labels)
     for _ in range(rounds):
         near = edges.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        step = labels.join(near, "u").select("u", F.least("label", "near").alias("next"), "label")
-        jump = step.join(labels.select(F.col("u").alias("next"), F.col("label").alias("far")), "next", "left")
-        moved = cut(jump.select("u", F.least("next", F.coalesce("far", "next")).alias("next"), "label"))
-        changed = moved.where("next <> label").limit(1).count()
+        offers = labels.join(near, "u").select(F.inline(F.array(F.struct("u", F.least("label", "near").alias("offer")), F.struct(F.col("label").alias("u"), F.col("near").alias("offer")))))
+        step = cut(labels.join(offers.groupBy("u").agg(F.min("offer").alias("offer")), "u").select("u", "label", F.least("label", "offer").alias("next")))
+        jump = step.join(step.select(F.col("u").alias("next"), F.col("next").alias("far")), "next")
+        moved = cut(jump.select("u", F.least("next", "far").alias("next"), "label"))
         labels = moved.select("u", F.col("next").alias("label"))
-        if not changed:
+        if moved.where("next <> label").isEmpty():
             break
+    else:
+        raise RuntimeError(f"groups are not settled after {rounds} rounds")
     degree = edges.groupBy("u").agg(F.count(F.lit(1)).alias("links"))
     named = labels.join(degree, "u").withColumnRenamed("u", "head")
     return members.join(named, "head", "left").select(key, F.coalesce("label", "head").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -200,6 +200,18 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_dup.all_pairs(*near_dup.near_duplicates(table.limit(0))).count() == 0
 
 
+def test_groups_follow_long_chains(spark):
+    rng = random.Random(8)
+    ids = rng.sample(range(10_000), 600)
+    chains = [ids[:500], ids[500:]]
+    links = spark.createDataFrame([(min(a, b), max(a, b), 0.7) for c in chains for a, b in zip(c, c[1:])], "head_a bigint, head_b bigint, similarity double")
+    members = spark.createDataFrame([(i, i) for i in ids], "chunk_id bigint, head bigint")
+    got = {r.chunk_id: (r.group_id, r.links) for r in near_dup.groups(members, links).collect()}
+    assert got == {i: (min(c), 1 if i in (c[0], c[-1]) else 2) for c in chains for i in c}
+    with pytest.raises(RuntimeError):
+        near_dup.groups(members, links, rounds=1)
+
+
 # ---- 7 -------------------------------------------------------------------------------------------------------------
 
 
