@@ -1,9 +1,11 @@
 """Problem 5: the most similar vectors of every vector, by a forest of sorted hash strings.
 
-A tree gives every vector a string of 64 sign bits of random projections; its array is sorted by them.  The neighbours of a
-vector in a tree's order are those that share its longest prefixes, whatever their length, and walking outwards from it
-ascends to shorter ones.  All vectors walk at once, in every tree in step, as far as ``WINDOW`` places; what a walk meets
-is screened by the number of bits that differ, and what passes is compared exactly.
+A tree gives every vector a string of 64 sign bits of random projections; its array is sorted by them, and vectors that
+share a prefix are a node.  ``forest_shape`` shortens the prefix until a node holds about ``NODE`` vectors and then takes
+as many trees as a pair at the least similarity needs to share a node with the target probability, so the forest grows
+with the collection.  Within a node all vectors meet: they are screened by the number of bits that differ, and what
+passes is compared exactly.  Where so many pass that the bits cannot tell the nearest, the node's vectors themselves are
+compared in blocks.
 """
 
 from __future__ import annotations
@@ -13,21 +15,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.session import cut
 
 DIMENSIONS = 64
+#: Trees at least, and the probability with which a pair at the least similarity must share a node of some tree.
 TREES = 16
-#: Places that a walk goes in each direction of a tree's order.
-WINDOW = 32
-#: Of what one vector meets in one tree, the most alike by bits are kept; far more than the neighbours asked for.
+RECALL = 0.99
+#: Vectors of one node, about; a node that is much fuller (``FULL``) is divided by further bits of its strings.
+NODE = 2048
+FULL = 65_536
+#: A vector that more than so many others of its node may be similar to is compared with them exactly.
 KEEP = 24
-#: The planes' offsets are fitted to at most so many vectors, so that every bit splits the collection evenly.
-SAMPLE = 4096
-#: Leading bits that vectors of one node share; a node is the unit of work.
-NODE_BITS = 6
+#: Rows of crowded vectors that are still sent to all workers.
+BROADCAST = 100_000
+#: Standard deviations above the expected number of differing bits that still pass the screen.
+SLACK = 2.2
 SEED = 11
 
 
@@ -37,29 +43,41 @@ def usable(vectors: DataFrame, key: str = "chunk_id", column: str = "embedding",
     Of several vectors of one key the smallest holds, whatever the order of rows.
     """
     v = F.col(column)
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    kept = vectors.where(F.col(key).isNotNull() & v.isNotNull() & (F.size(v) == dimensions)).where(finite & F.exists(v, lambda x: x != 0))
-    kept = kept.select(F.col(key), v.cast("array<double>").alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return kept.withColumn("_n", norm).select(key, F.transform("v", lambda x: (x / F.col("_n")).cast("float")).alias("v")).groupBy(key).agg(F.min("v").alias("v"))
+    kept = vectors.where(F.col(key).isNotNull() & v.isNotNull() & (F.size(v) == dimensions)).select(F.col(key), v)
+    made = kept.mapInArrow(_unit_rows(key, dimensions), f"`{key}` {vectors.schema[key].dataType.simpleString()}, v array<float>")
+    return made.groupBy(key).agg(F.min("v").alias("v"))
 
 
-def planes(sample: np.ndarray, dimensions: int, trees: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """``(projections, offsets)`` for ``trees`` strings of 64 bits and one further sketch of 64 bits."""
-    rng = np.random.default_rng(seed)
-    projections = rng.standard_normal((dimensions, (trees + 1) * 64)).astype(np.float32)
-    # A little off the median: it may be the value of many copies, whose bits rounding would else decide.
-    offsets = np.median(sample @ projections, axis=0) + 1e-3 if len(sample) else np.zeros(projections.shape[1])
-    return projections, offsets.astype(np.float32)
+def _unit_rows(key: str, dimensions: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Null numbers come as NaN.
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, dimensions)
+            good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+            x = x[good]
+            units = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
+            lists = pa.ListArray.from_arrays(np.arange(0, units.size + 1, dimensions, dtype=np.int32), units.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), lists], names=[key, "v"])
+
+    return run
+
+
+def planes(dimensions: int, trees: int, seed: int = SEED) -> np.ndarray:
+    """Projections for ``trees`` strings of 64 bits and one further sketch of 64 bits.
+
+    The planes pass through the origin, so two vectors agree in a bit with a probability that only their angle decides,
+    however the collection is spread.
+    """
+    return np.random.default_rng(seed).standard_normal((dimensions, (trees + 1) * 64)).astype(np.float32)
 
 
-def _bits(x: np.ndarray, projections: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def _bits(x: np.ndarray, projections: np.ndarray) -> np.ndarray:
     """One unsigned 64-bit string per vector and tree; the first bit is the highest."""
-    signs = np.packbits((x @ projections) > offsets, axis=1)
+    signs = np.packbits((x @ projections) > 0, axis=1)
     return signs.reshape(len(x), -1, 8).view(">u8")[:, :, 0].astype(np.uint64)
 
 
-def _tree_rows(key: str, projections: np.ndarray, offsets: np.ndarray, trees: int):
+def _tree_rows(projections: np.ndarray, trees: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
@@ -67,7 +85,7 @@ def _tree_rows(key: str, projections: np.ndarray, offsets: np.ndarray, trees: in
                 continue
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
             # The order of unsigned strings is that of signed numbers once the highest bit is turned.
-            bits = _bits(flat.reshape(n, -1), projections, offsets) ^ np.uint64(1 << 63)
+            bits = _bits(flat.reshape(n, -1), projections) ^ np.uint64(1 << 63)
             bits = np.ascontiguousarray(bits).view(np.int64)
             every = np.repeat(np.arange(n), trees)
             yield pa.RecordBatch.from_arrays(
@@ -78,80 +96,177 @@ def _tree_rows(key: str, projections: np.ndarray, offsets: np.ndarray, trees: in
     return run
 
 
-def _walk(window: int, keep: int, most_bits: float):
-    """Pairs that the rows of one partition, sorted by tree and string, meet within ``window`` places."""
-
-    def pairs_of(tree, string, ids, sketch, begin):
-        found = []
-        for o in range(1, window + 1):
-            i = np.arange(max(0, begin - o), len(ids) - o)
-            if not len(i):
-                break
-            away = np.bitwise_count(string[i] ^ string[i + o]).astype(np.uint8) + np.bitwise_count(sketch[i] ^ sketch[i + o])
-            ok = (away <= most_bits) & (tree[i] == tree[i + o])
-            # Copies fill whole windows with each other; a few on either side are enough neighbours.
-            if o > keep // 4:
-                ok &= away > 0
-            i = i[ok]
-            found.append(np.stack([i, i + o, away[ok].astype(np.int64)]))
-        return np.concatenate(found, axis=1) if found else np.zeros((3, 0), dtype=np.int64)
-
-    def narrowed(pairs, n):
-        """Without the pairs that are among the ``keep`` best of neither side."""
-        if not pairs.shape[1] or max(np.bincount(pairs[0]).max(), np.bincount(pairs[1]).max()) <= keep // 2:
-            return pairs
-        side, other = np.concatenate([pairs[0], pairs[1]]), np.tile(np.arange(pairs.shape[1]), 2)
-        order = np.lexsort((np.tile(pairs[2], 2), side))
-        starts = np.searchsorted(side[order], np.arange(n))
-        place = np.arange(len(order)) - starts[side[order]]
-        good = np.zeros(pairs.shape[1], dtype=bool)
-        good[other[order[place < keep]]] = True
-        return pairs[:, good]
+def forest_shape(n: int, min_similarity: float, trees: int = TREES, recall: float = RECALL) -> tuple[int, int]:
+    """``(bits, trees)``: the length of a node's prefix for ``n`` vectors, and the trees that this length needs."""
+    bits = max(0, math.ceil(math.log2(max(n, 1) / NODE)))
+    if not bits:
+        return 0, 1
+    shared = (1 - math.acos(max(-1.0, min(1.0, min_similarity))) / math.pi) ** bits
+    return bits, max(trees, math.ceil(math.log(1 - recall) / math.log1p(-shared))) if shared < 1 else trees
+
+
+def _nodes(batches: Iterator[pa.RecordBatch], starts) -> Iterator[list[np.ndarray | pa.Array]]:
+    """The columns of one node after the other, from sorted batches; ``starts`` says where a new node begins in a table."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held).combine_chunks()
+        edges = [0, *starts(table).tolist()]
+        for begin, end in zip(edges, edges[1:]):
+            yield table.slice(begin, end - begin)
+        held = table.slice(edges[-1]).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _parts(string: np.ndarray, begin: int, end: int, full: int) -> Iterator[tuple[int, int]]:
+    """Ranges of sorted strings of at most ``full`` where they differ, by the longest prefixes that this needs."""
+    differ = int(string[begin] ^ string[end - 1])
+    if end - begin <= full or not differ:
+        yield begin, end
+        return
+    bit = np.uint64(1 << (differ.bit_length() - 1))
+    middle = begin + int(np.searchsorted((string[begin:end] & bit) > 0, True))
+    yield from _parts(string, begin, middle, full)
+    yield from _parts(string, middle, end, full)
+
+
+def _close(string: np.ndarray, sketch: np.ndarray, most_bits: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All ``(i, j)``, i before j, that differ in at most ``most_bits`` bits, in blocks."""
+    n = len(string)
+    step = max(1, 200_000 // n)
+    for begin in range(0, n, step):
+        end = min(n, begin + step)
+        away = np.bitwise_count(string[begin:end, None] ^ string[None, begin:])
+        away += np.bitwise_count(sketch[begin:end, None] ^ sketch[None, begin:])
+        i, j = np.divmod(np.flatnonzero(away <= most_bits), n - begin)
+        later = j > i
+        yield i[later] + begin, j[later] + begin
+
+
+def _meet(bits: int, keep: int, most_bits: float, full: int = FULL, held: int = 2_000_000):
+    """``(a, b, node)`` from rows sorted by tree and string: pairs that pass the screen, and, with a null b, the crowded
+    vectors of a node, each of which more than ``keep`` others may be similar to.  Pairs of two crowded ones are left out."""
+
+    def starts(table):
+        tree, string = table.column(0).to_numpy(), table.column(1).to_numpy()
+        node = string >> np.int64(64 - bits) if bits else np.zeros(len(string), dtype=np.int64)
+        return np.flatnonzero((tree[1:] != tree[:-1]) | (node[1:] != node[:-1])) + 1
+
+    def part(tree, string, sketch, ids):
+        # Rows with the same bits are one code, so that copies cost no more than one vector.
+        first = np.flatnonzero(np.concatenate([[True], (string[1:] != string[:-1]) | (sketch[1:] != sketch[:-1])]))
+        times, codes, others = np.diff([*first, len(ids)]), string[first], sketch[first]
+        counts, found, stored = (times - 1).astype(np.float64), [], 0
+        for i, j in _close(codes, others, most_bits):
+            counts += np.bincount(i, times[j], len(codes)) + np.bincount(j, times[i], len(codes))
+            stored += len(i)
+            found = [*found, (i, j)] if stored <= held and len(i) else found
+        crowded = counts > keep
+        for i, j in found if stored <= held else _close(codes, others, most_bits):
+            open_ = ~(crowded[i] & crowded[j])
+            i, j = i[open_], j[open_]
+            one = (times[i] == 1) & (times[j] == 1)
+            yield ids[first[i[one]]], ids[first[j[one]]]
+            for x, y in zip(i[~one], j[~one]):
+                yield np.repeat(ids[first[x] : first[x] + times[x]], times[y]), np.tile(ids[first[y] : first[y] + times[y]], times[x])
+        for x in np.flatnonzero((times > 1) & ~crowded):
+            i, j = np.triu_indices(times[x], 1)
+            yield ids[first[x] + i], ids[first[x] + j]
+        yield ids[np.repeat(crowded, times)], xxhash.xxh64_intdigest(np.array([tree, string[0]], dtype=np.uint64).tobytes()) >> 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            begin = 0
-            if last is not None:
-                begin = len(last[0])
-                rows = [np.concatenate([a, b]) for a, b in zip(last, rows)]
-            tree, string, ids, sketch = rows
-            found = narrowed(pairs_of(tree, string.view(np.uint64), ids, sketch.view(np.uint64), begin), len(ids))
-            a, b = ids[found[0]], ids[found[1]]
-            differ = a != b
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[differ]), pa.array(np.maximum(a, b)[differ])], names=["a", "b"])
-            last = [x[-window:] for x in rows]
+        for table in _nodes(batches, starts):
+            tree, string, ids, sketch = (table.column(i).to_numpy() for i in range(4))
+            string, sketch = string.view(np.uint64), sketch.view(np.uint64)
+            order = np.lexsort((sketch, string))
+            string, ids, sketch = string[order], ids[order], sketch[order]
+            for begin, end in _parts(string, 0, len(ids), full):
+                *pairs, (crowd, node) = part(tree[0], string[begin:end], sketch[begin:end], ids[begin:end])
+                for a, b in pairs:
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], names=["a", "b", "node"])
+                if len(crowd) > 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(crowd), pa.nulls(len(crowd), pa.int64()), pa.array(np.full(len(crowd), node))], names=["a", "b", "node"])
+
+    return run
+
+
+def _exact(k: int, min_similarity: float):
+    """``(a, b)``: of the vectors of every node each one's ``k`` nearest, by block products, ties to the smaller key."""
+
+    def starts(table):
+        node = table.column(0).to_numpy()
+        return np.flatnonzero(node[1:] != node[:-1]) + 1
+
+    def pairs_of(ids, v):
+        _, same = np.unique(v, axis=0, return_inverse=True)
+        order = np.lexsort((ids, same.ravel()))
+        same = same.ravel()[order]
+        first = np.searchsorted(same, same)
+        place = np.arange(len(ids)) - first
+        # Of equal vectors the first k + 1 are enough for anyone; the others' nearest are the first k.
+        rest = np.flatnonzero(place > k)
+        for o in range(k):
+            yield ids[order[rest]], ids[order[first[rest] + o]]
+        kept = np.sort(order[place <= k])
+        kept = kept[np.argsort(ids[kept])]
+        ids, v = ids[kept], v[kept].astype(np.float64)
+        n, step = len(ids), max(1, 4_000_000 // len(ids))
+        for begin in range(0, n, step):
+            scores = np.round(v[begin : begin + step] @ v.T, 7)
+            low = scores < min_similarity - 1e-6
+            scores -= np.arange(n) * 1e-14
+            scores[low] = -2
+            i = np.arange(len(scores))
+            scores[i, i + begin] = -2
+            best = np.argpartition(-scores, k - 1, axis=1)[:, :k] if n > k else np.tile(np.arange(n), (len(scores), 1))
+            i, j = np.nonzero(np.take_along_axis(scores, best, axis=1) > -2)
+            yield ids[begin + i], ids[best[i, j]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _nodes(batches, starts):
+            ids = table.column(1).to_numpy()
+            v = table.column(2).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            for a, b in pairs_of(ids, v):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
 
-def candidate_pairs(units: DataFrame, min_similarity: float, key: str = "chunk_id", trees: int = TREES, window: int = WINDOW, keep: int = KEEP) -> DataFrame:
-    """``(a, b)``: distinct pairs of keys that meet in a tree and differ in few enough bits for the similarity.
+def candidate_pairs(units: DataFrame, min_similarity: float, k: int = 5, key: str = "chunk_id", dimensions: int = DIMENSIONS, trees: int = TREES, keep: int = KEEP, recall: float = RECALL) -> DataFrame:
+    """``(a, b)``: distinct pairs of keys that share a node and differ in few enough bits for the similarity, and of crowded
+    vectors the ``k`` nearest in every node.
 
-    A pair exactly at ``min_similarity`` passes the screen in about 98 of 100 trees that it meets in.
+    A pair exactly at ``min_similarity`` passes the screen in about 985 of 1,000 trees that it meets in.
     """
-    dimensions = DIMENSIONS
-    first = units.limit(SAMPLE).toPandas()["v"]
-    sample = np.stack(first.to_numpy()).astype(np.float32) if len(first) else np.zeros((0, dimensions), dtype=np.float32)
-    projections, offsets = planes(sample, sample.shape[1] if len(first) else dimensions, trees)
-    rows = units.mapInArrow(_tree_rows(key, projections, offsets, trees), "tree int, string bigint, id bigint, sketch bigint")
-    node = F.shiftright("string", 64 - NODE_BITS)
-    arrays = rows.repartition("tree", node).sortWithinPartitions("tree", "string", "id")
-    chance, bits = math.acos(max(-1.0, min(1.0, min_similarity))) / math.pi, 128 - 14
-    most_bits = bits * chance + 2 * math.sqrt(bits * chance * (1 - chance))
-    return arrays.mapInArrow(_walk(window, keep, most_bits), "a bigint, b bigint").distinct()
-
-
-def nearest(vectors: DataFrame, k: int = 5, min_similarity: float = 0.85, key: str = "chunk_id", column: str = "embedding", dimensions: int = DIMENSIONS, trees: int = TREES, window: int = WINDOW) -> DataFrame:
+    bits, trees = forest_shape(units.count(), min_similarity, trees, recall)
+    rows = units.mapInArrow(_tree_rows(planes(dimensions, trees), trees), "tree int, string bigint, id bigint, sketch bigint")
+    node = F.shiftright("string", 64 - bits) if bits else F.lit(0)
+    arrays = rows.repartition("tree", node).sortWithinPartitions("tree", "string")
+    chance, free = math.acos(max(-1.0, min(1.0, min_similarity))) / math.pi, 128 - bits
+    most_bits = free * chance + SLACK * math.sqrt(free * chance * (1 - chance))
+    met = cut(arrays.mapInArrow(_meet(bits, keep, most_bits), "a bigint, b bigint, node bigint"))
+    pairs, crowd = met.where("b is not null").select("a", "b"), met.where("b is null").select("node", "a")
+    crowded = crowd.count()
+    if crowded:
+        # A few rows go to the vectors rather than all vectors to them.
+        few = F.broadcast(crowd) if crowded <= BROADCAST else crowd
+        theirs = units.select(F.col(key).alias("a"), "v").join(few, "a").select("node", "a", "v")
+        pairs = pairs.unionByName(theirs.repartition("node").sortWithinPartitions("node").mapInArrow(_exact(k, min_similarity), "a bigint, b bigint"))
+    return pairs.distinct()
+
+
+def nearest(vectors: DataFrame, k: int = 5, min_similarity: float = 0.85, key: str = "chunk_id", column: str = "embedding", dimensions: int = DIMENSIONS, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """``(key, neighbor, similarity, rank)``: for every vector its ``k`` nearest by cosine, from ``min_similarity`` on.
 
-    Every vector is indexed; the cosine is exact, the search approximate.  Equal cosines are ranked by the neighbour's
-    key.  Where more than a window of vectors are exact copies, each gets ``k`` of its copies, not always the same ones
-    that a full search would name first.
+    Every vector is indexed; the cosine is exact, the search approximate: a pair at ``min_similarity`` is met with the
+    probability ``recall``, more similar ones with a higher one.  Equal cosines are ranked by the neighbour's key.
     """
     units = cut(usable(vectors, key, column, dimensions))
-    pairs = cut(candidate_pairs(units, min_similarity, key, trees, window))
+    pairs = cut(candidate_pairs(units, min_similarity, k, key, dimensions, trees, recall=recall))
     left, right = units.select(F.col(key).alias("a"), F.col("v").alias("va")), units.select(F.col(key).alias("b"), F.col("v").alias("vb"))
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     close = pairs.join(left, "a").join(right, "b").select("a", "b", dot.alias("similarity")).where(F.col("similarity") >= min_similarity)

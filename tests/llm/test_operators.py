@@ -173,6 +173,37 @@ def test_many_copies_do_not_explode(spark):
     assert len(counts) == 400 and set(counts.values()) == {5}
 
 
+def test_neighbours_in_large_and_crowded_sets(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(15)
+    base, noise = rng.standard_normal((3000, 64)), rng.standard_normal((3000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    noise -= (noise * base).sum(1, keepdims=True) * base
+    planted = 0.86 * base + math.sqrt(1 - 0.86**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    copies = rng.standard_normal(64) + 0.2 * rng.standard_normal((5000, 64))
+    x = np.concatenate([base, planted, copies, rng.standard_normal((4000, 64))]).astype(np.float32)
+    pq.write_table(pa.table({"chunk_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float32()))}), tmp_path / "v.parquet")
+    got = {}
+    for r in neighbors.nearest(spark.read.parquet(str(tmp_path / "v.parquet"))).collect():
+        got.setdefault(r.chunk_id, set()).add(r.neighbor)
+    assert sum(i + 3000 in got.get(i, ()) for i in range(3000)) >= 0.98 * 3000
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    some = np.arange(6000, 11_000, 10)
+    s = u[some] @ u.T
+    s[np.arange(len(some)), some] = -1
+    best = np.argsort(-s, axis=1)[:, :5]
+    assert sum(len(got[i] & set(b.tolist())) for i, b in zip(some, best)) >= 0.98 * best.size
+
+
+def test_forest_follows_the_size():
+    shapes = [neighbors.forest_shape(n, 0.85) for n in (0, 1000, 20_000, 200_000, 10**8)]
+    assert shapes[0] == shapes[1] == (0, 1) and shapes == sorted(shapes)
+    shared = 1 - math.acos(0.85) / math.pi
+    assert all(1 - (1 - shared**bits) ** trees >= neighbors.RECALL for bits, trees in shapes)
+
+
 # ---- 6 -------------------------------------------------------------------------------------------------------------
 
 
