@@ -1,8 +1,8 @@
-"""Problem 6: chunks that are edited copies of one another, by a MinHash LSH forest with exact verification.
+"""Problem 6: chunks that are edited copies of one another, by MinHash LSH with exact verification.
 
 A chunk is the set of its word shingles.  Chunks with the same set are one class and only one of them is compared.  Each
-tree of the forest orders the classes by a string of minimum hashes; a prefix of it is a node.  Matching starts from long
-prefixes and shortens them until pairs at the threshold are found with the target probability (``prefix_length``).
+tree is one band of minimum hashes, all of one length: the longest with which pairs at the threshold are found with the
+target probability (``prefix_length``).  Classes that agree in a band are candidates.
 Candidate pairs are then verified on the shingle sets themselves.
 """
 
