@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.term_counts import distinct_postings
+from quern.llm.packed import term_totals
+from quern.llm.term_counts import clean_postings, distinct_postings
 
 #: Coefficients of the Stirling series of log-gamma.
 _STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
@@ -75,19 +76,19 @@ def _tails(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         yield pd.Series(-upper_tail_log10(k.to_numpy(), n.to_numpy(), big_k.to_numpy(), big_n.to_numpy()) + 0.0)
 
 
-def term_scores(postings: DataFrame, doc_stats: DataFrame, index_stats: DataFrame, only: DataFrame | None = None) -> DataFrame:
+def term_scores(postings: DataFrame, doc_stats: DataFrame, index_stats: DataFrame, only: DataFrame | None = None, posting_rows: int | None = None) -> DataFrame:
     """``(chunk_id, term, tf, surprise, score)`` for every term of every chunk, or of the chunks in ``only``.
 
     ``surprise`` is -log10 of the exact tail probability and ``score`` the same after the false-discovery adjustment.
     Corpus figures always come from all postings.  Repeated rows count once and a null tf as one.  A missing or too
     small doc_len is replaced by the chunk's own count, and N by what K and n need if the index statistics are stale.
-    Ties are left as ties.  Empty inputs give no rows.
+    Ties are left as ties.  Empty inputs give no rows.  ``posting_rows`` is about the number of postings, as in
+    ``term_totals``.
     """
-    clean = distinct_postings(postings)
-    totals = clean.groupBy("term").agg(F.sum(F.col("tf").cast("bigint")).alias("_K"))
+    totals = term_totals(clean_postings(postings), posting_rows).select("term", F.col("occurrences").alias("_K"))
     size = index_stats.dropDuplicates(["index_id"]).agg(F.coalesce(F.sum(F.col("doc_count") * F.col("avg_doc_len")), F.lit(0.0))).scalar()
     if only is None:
-        rows = clean
+        rows = distinct_postings(postings)
     else:
         asked = only.select("chunk_id").where("chunk_id is not null").distinct()
         rows = distinct_postings(postings.join(asked, "chunk_id", "left_semi"))

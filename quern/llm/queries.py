@@ -30,7 +30,8 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    scores = distinctive.term_scores(table(spark, d, "postings"), table(spark, d, "doc_stats"), table(spark, d, "bm25_stats"), only=table(spark, d, "term_probes"))
+    postings = table(spark, d, "postings")
+    scores = distinctive.term_scores(postings, table(spark, d, "doc_stats"), table(spark, d, "bm25_stats"), only=table(spark, d, "term_probes"), posting_rows=postings.count())
     return distinctive.most_distinctive(scores).select("chunk_id", "term")
 
 
@@ -63,9 +64,14 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p7_counts(spark: SparkSession, d: str) -> DataFrame:
-    counts = term_counts.update_counts(None, added=table(spark, d, "postings"))
-    records = table(spark, d, "chunks").agg(F.count_distinct("chunk_id")).scalar()
-    return term_counts.mark_terms(counts, records)
+    """The stored state after two batches: the records up to a high-water mark, then those that came after it."""
+    postings = table(spark, d, "postings")
+    # The middle of the known ids.
+    mark = F.lit(table(spark, d, "doc_stats").agg(F.coalesce(F.percentile_approx("chunk_id", 0.5), F.lit(0)).alias("m")).collect()[0].m)
+    rows = postings.count() // 2
+    store = term_counts.CountStore(spark).apply(added=postings.where(F.col("chunk_id") <= mark), rows=rows).apply(added=postings.where(F.col("chunk_id") > mark), rows=rows)
+    records = table(spark, d, "chunks").agg(F.count_distinct("chunk_id").alias("n")).collect()[0].n
+    return term_counts.mark_terms(store.read(), records)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

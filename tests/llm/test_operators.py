@@ -254,12 +254,35 @@ def test_deltas_equal_a_recount(spark, tmp_path):
     frame = lambda x: spark.createDataFrame(x, schema).withColumn("records", F.lit(0))
     state = term_counts.update_counts(None, added=frame(old))
     assert rows(state) == [("a", 3, 2), ("b", 1, 1)]
-    term_counts.write_counts(state, str(tmp_path / "counts"), buckets=4)
-    after = term_counts.update_counts(term_counts.read_counts(spark, str(tmp_path / "counts")), added=frame(new), changed=(frame(old[:3]), frame(changed)), deleted=frame(old[3:5]))
+    store = term_counts.CountStore(spark, str(tmp_path / "counts"), buckets=4)
+    assert store.read().count() == 0 and rows(store.apply(added=frame(old)).read()) == rows(state)
+    # A later session opens the stored version; the join of its buckets with the delta shuffles the delta alone.
+    again = term_counts.CountStore.open(spark, store.folder, store.version, 4)
+    after = again.apply(added=frame(new), changed=(frame(old[:3]), frame(changed)), deleted=frame(old[3:5])).read()
     assert rows(after) == rows(term_counts.update_counts(None, added=frame(new + changed))) == [("a", 8, 2), ("d", 1, 1), ("e", 4, 1)]
     marks = {r.term: r.mark for r in term_counts.mark_terms(after, 4, rare_below=2).collect()}
     assert marks == {"a": "common", "d": "rare", "e": "rare"}
     assert term_counts.update_counts(None, added=frame(old).limit(0)).count() == 0
+    assert again.apply(added=frame(old).limit(0)).read().count() == 3
+
+
+def test_packed_totals_equal_a_recount(spark):
+    from quern.llm import packed
+
+    rng = random.Random(7)
+    posts = [(f"t{int(rng.expovariate(0.05))}é", rng.choice((-5, 1, 2**40)) * rng.randrange(300), rng.randrange(1, 400)) for _ in range(20_000)]
+    posts += [("hot", i, 1) for i in range(9000)] + [(f"of one {i}", 7, 70_000) for i in range(9000)]
+    best = {}
+    for t, c, n in posts:
+        best[t, c] = max(n, best.get((t, c), 0))
+    want = Counter()
+    for (t, _), n in best.items():
+        want[t] += n
+    got = packed.term_totals(spark.createDataFrame(posts, "term string, chunk_id bigint, tf int"), rows=5_000_000).collect()
+    assert {r.term: r.occurrences for r in got} == want and {r.term: r.records for r in got} == Counter(t for t, _ in best)
+    codes, ids, tf = np.array([0, 1, 0]), np.array([-3, -3, 2**50]), np.array([1, 9, 300])
+    terms, *rest = packed.decode_block(packed.encode_block([b"x", "ü".encode()], codes, ids, tf))
+    assert terms.to_pylist() == ["x", "ü"] and all((a == b).all() for a, b in zip(rest, (codes, ids, tf)))
 
 
 # ---- 8 -------------------------------------------------------------------------------------------------------------
