@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.ordering import numbered
+from quern.session import cut
+
 #: The weight of ``semantic`` where a query names none; ``bm25`` has the rest.
 DEFAULT_ALPHA = 0.55
 #: The weight of each further list.
@@ -17,13 +20,17 @@ MINOR = 0.1
 ABSENT = 0.02
 #: Rank error of a list's median, as a share of the list: 1 / ACCURACY.  Lists below that length have it exactly.
 ACCURACY = 10_000
+#: Ranks of a list that are searched together for a neighbour's score.
+STRETCH = 512
 
 
 def clean_evidence(evidence: DataFrame) -> DataFrame:
     """One row per query, retriever and chunk, with a usable score.
 
-    Of repeated rows the one logged last holds.  A missing score (null or NaN) is taken from the next chunk of the same
-    list by rank, a missing rank is left null; a row with neither is dropped.
+    Of repeated rows the one logged last holds, of those the one with the higher score.  A missing score (null or NaN) is
+    taken from the next chunk of the same list by rank, the following one before the preceding one, of equal ranks that
+    of the smaller chunk_id; a missing rank is left null; a row with neither is dropped.  Neighbours are sought within
+    stretches of ranks and then from stretch to stretch, so no list is gathered in one task.
     """
     score = F.when(~F.isnan("score"), F.col("score"))
     latest = (
@@ -32,37 +39,52 @@ def clean_evidence(evidence: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("logged_at", score.alias("score"), "rank")).alias("e"))
         .select("query_id", "retriever", "chunk_id", "e.score", "e.rank")
         .where("score is not null or rank is not null")
+        .withColumn("_stretch", F.floor(F.col("rank") / STRETCH))
     )
-    below = Window.partitionBy("query_id", "retriever").orderBy(F.desc_nulls_last("rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    above = Window.partitionBy("query_id", "retriever").orderBy(F.asc_nulls_last("rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = F.coalesce("score", F.last("score", True).over(below), F.last("score", True).over(above), F.lit(0.0))
-    return latest.withColumn("score", filled)
+    stretch = ["query_id", "retriever", "_stretch"]
+    place = F.when(F.col("score").isNotNull(), F.struct("rank", F.col("chunk_id").alias("c"), "score"))
+    edges = latest.where("rank is not null").groupBy(*stretch).agg(F.min(place).alias("_head"), F.max(F.when(F.col("score").isNotNull(), F.struct("rank", (-F.col("chunk_id")).alias("c"), "score"))).alias("_tail"))
+    along = Window.partitionBy("query_id", "retriever").orderBy("_stretch")
+    next_score = F.first("_head.score", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_next")
+    last_score = F.last("_tail.score", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_last")
+    around = edges.select(*stretch, next_score, last_score)
+    inside = Window.partitionBy(*stretch)
+    below = F.first("score", True).over(inside.orderBy("rank", "chunk_id").rowsBetween(0, Window.unboundedFollowing))
+    above = F.last("score", True).over(inside.orderBy("rank", F.desc("chunk_id")).rowsBetween(Window.unboundedPreceding, 0))
+    near = latest.withColumn("_below", below).withColumn("_above", above).join(around, stretch, "left")
+    # A row without a rank has a score of its own.
+    filled = F.coalesce("score", "_below", "_next", "_above", "_last", F.lit(0.0))
+    return near.select("query_id", "retriever", "chunk_id", filled.alias("score"), "rank")
 
 
-def squashed(clean: DataFrame) -> DataFrame:
-    """Adds ``value`` in (0, 1): the logistic of the robustly standardised score.
+def standardised(clean: DataFrame) -> DataFrame:
+    """``(query_id, retriever, chunk_id, z)``: the score in robust deviations from its list's median.
 
-    A list without spread around its median is scaled by its mean absolute deviation, and one without any spread gives
-    0.5 throughout.  Median and deviation are mergeable summaries, so no list is gathered in one place for them.
+    A list without spread around its median is scaled by its mean absolute deviation, and one without any spread gives 0
+    throughout.  Median and deviation are mergeable summaries, so no list is gathered in one place for them.
     """
     key = ["query_id", "retriever"]
     median = clean.groupBy(*key).agg(F.percentile_approx("score", 0.5, ACCURACY).alias("_median"))
     away = clean.join(median, key).withColumn("_away", F.abs(F.col("score") - F.col("_median")))
     spread = away.groupBy(*key).agg(F.percentile_approx("_away", 0.5, ACCURACY).alias("_mad"), F.avg("_away").alias("_mean_away"))
     scale = F.when(F.col("_mad") > 0, 1.4826 * F.col("_mad")).when(F.col("_mean_away") > 0, 1.2533 * F.col("_mean_away"))
-    z = F.coalesce((F.col("score") - F.col("_median")) / scale, F.lit(0.0))
-    # Beyond 30 the logistic is 1 in a double; the tails stay apart by their own small slope.
-    return away.join(spread, key).withColumn("value", 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0)))))
+    return away.join(spread, key).select(*key, "chunk_id", F.coalesce((F.col("score") - F.col("_median")) / scale, F.lit(0.0)).alias("z"))
+
+
+def log_value(z: Column, absent: float) -> Column:
+    """ln of the logistic of z, raised to ``absent`` at least.  It is taken from 1 down, so that large z keep their distances."""
+    return F.log1p(-(1 - absent) / (1 + F.exp(F.greatest(F.least(z, F.lit(700.0)), F.lit(-700.0)))))
 
 
 def fuse(evidence: DataFrame, queries: DataFrame, minor: float = MINOR, absent: float = ABSENT, default_alpha: float = DEFAULT_ALPHA) -> DataFrame:
     """``(query_id, chunk_id, score, rank, retrievers)``: the joint ranking of every query that has evidence.
 
     ``semantic`` weighs alpha and ``bm25`` 1 - alpha, any other retriever ``minor``; only the lists that a query has
-    count.  A null, NaN or missing alpha is ``default_alpha``.  ``retrievers`` is the number of the query's lists.  Equal
-    scores are ranked by chunk_id.
+    count.  A null, NaN or missing alpha is ``default_alpha``.  ``retrievers`` is the number of the query's lists.  Scores
+    that are equal to nine digits, as those of outliers beyond the logistic's reach, are ranked by the weighted sum of
+    their standardised scores, then by chunk_id.
     """
-    values = squashed(clean_evidence(evidence))
+    values = standardised(cut(clean_evidence(evidence)))
     alphas = queries.groupBy("query_id").agg(F.max(F.nanvl("alpha", F.lit(None).cast("double"))).alias("_alpha"))
     alpha = F.least(F.greatest(F.coalesce("_alpha", F.lit(default_alpha)), F.lit(0.0)), F.lit(1.0))
     weight: Column = F.when(F.col("retriever") == "semantic", alpha).when(F.col("retriever") == "bm25", 1 - alpha).otherwise(F.lit(minor))
@@ -70,7 +92,8 @@ def fuse(evidence: DataFrame, queries: DataFrame, minor: float = MINOR, absent:
     weighed = values.join(alphas, "query_id", "left").withColumn("_w", weight)
     lists = weighed.groupBy("query_id", "retriever").agg(F.max("_w").alias("_w")).groupBy("query_id").agg(F.sum("_w").alias("_all"), F.count(F.lit(1)).alias("retrievers"))
     # A list that lacks the chunk adds its weight times the floor: sum over the present ones of w (ln v - floor), plus floor.
-    lifted = weighed.groupBy("query_id", "chunk_id").agg(F.sum(F.col("_w") * (F.log(F.col("value") * (1 - absent) + absent) - floor)).alias("_lift"))
+    lifted = weighed.groupBy("query_id", "chunk_id").agg(F.sum(F.col("_w") * (log_value(F.col("z"), absent) - floor)).alias("_lift"), F.round(F.sum(F.col("_w") * F.col("z")), 6).alias("_lean"))
     score = F.when(F.col("_all") > 0, F.round(F.exp(F.col("_lift") / F.col("_all") + floor), 9)).otherwise(F.lit(0.0))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return lifted.join(lists, "query_id").withColumn("score", score).withColumn("rank", F.row_number().over(order)).select("query_id", "chunk_id", "score", "rank", "retrievers")
+    scored = lifted.join(lists, "query_id").select("query_id", "chunk_id", score.alias("score"), "_lean", "retrievers")
+    ranked = numbered(scored, "query_id", [F.desc("score"), F.desc("_lean"), "chunk_id"])
+    return ranked.select("query_id", "chunk_id", "score", F.col("rank").cast("int").alias("rank"), "retrievers")

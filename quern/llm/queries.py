@@ -133,14 +133,14 @@ distinct_postings AS (
 
 _P4 = """
 WITH latest AS (
-  SELECT query_id, retriever, chunk_id, arg_max(struct_pack(s := CASE WHEN isnan(score) THEN NULL ELSE score END, r := rank), (logged_at, CASE WHEN isnan(score) THEN NULL ELSE score END)) AS e
+  SELECT query_id, retriever, chunk_id, arg_max(struct_pack(s := CASE WHEN isnan(score) THEN NULL ELSE score END, r := rank), (logged_at, CASE WHEN isnan(score) THEN NULL ELSE score END, rank)) AS e
   FROM rank_evidence WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL AND retriever IS NOT NULL GROUP BY ALL
 ), kept AS (
   SELECT query_id, retriever, chunk_id, e.s AS score, e.r AS rank FROM latest WHERE e.s IS NOT NULL OR e.r IS NOT NULL
 ), filled AS (
   SELECT query_id, retriever, chunk_id, coalesce(score,
-    last_value(score IGNORE NULLS) OVER (PARTITION BY query_id, retriever ORDER BY rank DESC NULLS LAST ROWS UNBOUNDED PRECEDING),
-    last_value(score IGNORE NULLS) OVER (PARTITION BY query_id, retriever ORDER BY rank ASC NULLS LAST ROWS UNBOUNDED PRECEDING), 0.0) AS score FROM kept
+    last_value(score IGNORE NULLS) OVER (PARTITION BY query_id, retriever ORDER BY rank DESC NULLS LAST, chunk_id DESC ROWS UNBOUNDED PRECEDING),
+    last_value(score IGNORE NULLS) OVER (PARTITION BY query_id, retriever ORDER BY rank ASC NULLS LAST, chunk_id DESC ROWS UNBOUNDED PRECEDING), 0.0) AS score FROM kept
 ), med AS (
   SELECT query_id, retriever, quantile_disc(score, 0.5) AS m FROM filled GROUP BY ALL
 ), away AS (
@@ -148,25 +148,25 @@ WITH latest AS (
 ), spread AS (
   SELECT query_id, retriever, quantile_disc(a, 0.5) AS mad, avg(a) AS mean_away FROM away GROUP BY ALL
 ), valued AS (
-  SELECT query_id, retriever, chunk_id,
-    1 / (1 + exp(-greatest(least(coalesce((score - m) / CASE WHEN mad > 0 THEN 1.4826 * mad WHEN mean_away > 0 THEN 1.2533 * mean_away END, 0), 30), -30))) AS v,
+  SELECT query_id, retriever, chunk_id, coalesce((score - m) / CASE WHEN mad > 0 THEN 1.4826 * mad WHEN mean_away > 0 THEN 1.2533 * mean_away END, 0) AS z,
     CASE retriever WHEN 'semantic' THEN alpha WHEN 'bm25' THEN 1 - alpha ELSE 0.1 END AS w
   FROM away JOIN spread USING (query_id, retriever)
   LEFT JOIN (SELECT query_id, least(greatest(coalesce(max(CASE WHEN isnan(alpha) THEN NULL ELSE alpha END), 0.55), 0), 1) AS alpha FROM queries GROUP BY 1) USING (query_id)
 ), lists AS (
   SELECT query_id, sum(w) AS total, CAST(count(*) AS BIGINT) AS retrievers FROM (SELECT DISTINCT query_id, retriever, w FROM valued) GROUP BY 1
 ), scored AS (
-  SELECT query_id, chunk_id, any_value(retrievers) AS retrievers,
-    CASE WHEN any_value(total) > 0 THEN round(exp(sum(w * (ln(v * 0.98 + 0.02) - ln(0.02))) / any_value(total) + ln(0.02)), 9) ELSE 0 END AS score
+  SELECT query_id, chunk_id, any_value(retrievers) AS retrievers, round(sum(w * z), 6) AS lean,
+    CASE WHEN any_value(total) > 0 THEN round(exp(sum(w * (ln(1 - 0.98 / (1 + exp(greatest(least(z, 700), -700)))) - ln(0.02))) / any_value(total) + ln(0.02)), 9) ELSE 0 END AS score
   FROM valued JOIN lists USING (query_id) GROUP BY query_id, chunk_id
 ), ranked AS (
-  SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank, retrievers FROM scored
+  SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lean DESC, chunk_id) AS INT) AS rank, retrievers FROM scored
 )"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": _P4 + " SELECT query_id, chunk_id FROM ranked WHERE rank = 1 AND retrievers >= 2",
+        "p4_ranking": _P4 + " SELECT query_id, chunk_id, score, rank, retrievers FROM ranked",
         "p7_found": f"WITH {_DISTINCT} SELECT term, mark FROM marked WHERE mark IS NOT NULL",
         "p7_counts": f"WITH {_DISTINCT} SELECT term, occurrences, records, mark FROM marked",
         "p7_incremental": f"WITH {_DISTINCT} SELECT term, occurrences, records FROM term_counts",

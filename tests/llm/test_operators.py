@@ -148,6 +148,37 @@ def test_fusion_ignores_scale(spark):
     assert fusion.fuse(e.limit(0), q).count() == 0
 
 
+def test_outliers_keep_their_order(spark):
+    scores = [0.1 * i for i in range(1, 10)] + [1000.0, 5000.0, 4000.0]
+    e = spark.createDataFrame([(1, c, "bm25", s, None, None) for c, s in enumerate(scores)], "query_id bigint, chunk_id bigint, retriever string, score double, rank int, logged_at timestamp")
+    got = [r.chunk_id for r in fusion.fuse(e, spark.createDataFrame([], "query_id bigint, alpha double")).orderBy("rank").collect()]
+    assert got == sorted(range(len(scores)), key=lambda c: -scores[c])
+
+
+def test_missing_scores_come_from_the_next_rank(spark):
+    rng = random.Random(4)
+    listed = [(1, c, "bm25", None if rng.random() < 0.9 and 3 < c else 5000.0 - c, c // 2, None) for c in range(1, 4000)] + [(2, 1, "symbol", None, 3, None), (2, 2, "symbol", None, None, None)]
+    table = spark.createDataFrame(listed, "query_id bigint, chunk_id bigint, retriever string, score double, rank int, logged_at timestamp")
+    got = {(r.query_id, r.chunk_id): r.score for r in fusion.clean_evidence(table).collect()}
+    own = sorted((r, c, s) for q, c, _, s, r, _ in listed if q == 1)
+    for i, (_, c, s) in enumerate(own):
+        after = next((x for _, _, x in own[i:] if x is not None), None)
+        before = next((x for _, _, x in sorted(own[:i], key=lambda o: (-o[0], o[1])) if x is not None), None)
+        assert got[1, c] == (s if s is not None else after if after is not None else before)
+    assert got[2, 1] == 0.0 and (2, 2) not in got
+
+
+def test_places_of_a_group_that_fills_the_table(spark):
+    from quern.llm.ordering import numbered
+
+    data = [(1 if i % 3 else i, i * 7919 % 3001) for i in range(3000)] + [(None, 5), (None, 4)]
+    got = numbered(spark.createDataFrame(data, "g bigint, x bigint").repartition(7), "g", [F.desc("x")], "n").collect()
+    groups = {}
+    for g, x in data:
+        groups.setdefault(g, []).append(x)
+    assert {(r.g, r.x): r.n for r in got} == {(g, x): n for g, xs in groups.items() for n, x in enumerate(sorted(xs, reverse=True), 1)}
+
+
 # ---- 5 -------------------------------------------------------------------------------------------------------------
 
 
