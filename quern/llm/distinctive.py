@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.packed import term_totals
-from quern.llm.term_counts import clean_postings, distinct_postings
+from quern.llm.term_counts import distinct_postings
 
 #: Coefficients of the Stirling series of log-gamma.
 _STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
@@ -85,7 +85,7 @@ def term_scores(postings: DataFrame, doc_stats: DataFrame, index_stats: DataFram
     Ties are left as ties.  Empty inputs give no rows.  ``posting_rows`` is about the number of postings, as in
     ``term_totals``.
     """
-    totals = term_totals(clean_postings(postings), posting_rows).select("term", F.col("occurrences").alias("_K"))
+    totals = term_totals(postings, posting_rows).select("term", F.col("occurrences").alias("_K"))
     size = index_stats.dropDuplicates(["index_id"]).agg(F.coalesce(F.sum(F.col("doc_count") * F.col("avg_doc_len")), F.lit(0.0))).scalar()
     if only is None:
         rows = distinct_postings(postings)

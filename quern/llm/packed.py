@@ -80,12 +80,19 @@ def _blocks(buckets: int):
     def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
         coded = table.column(0).combine_chunks().dictionary_encode()
-        codes, words = coded.indices.to_numpy().astype(np.int64), [t.encode("utf-8", "surrogatepass") for t in coded.dictionary.to_pylist()]
+        # Terms are cleaned once per distinct one; those that become equal share a number, empty ones have -1.
+        numbers: dict[str, int] = {}
+        cleaned = np.array([numbers.setdefault(w, len(numbers)) if w else -1 for w in (t.strip(" ").lower() for t in coded.dictionary.to_pylist())], dtype=np.int64)
+        codes, words = cleaned[coded.indices.to_numpy()], [w.encode("utf-8", "surrogatepass") for w in numbers]
+        kept = codes >= 0
+        codes, chunk, tf = codes[kept], table.column(1).to_numpy()[kept], table.column(2).to_numpy()[kept]
+        if not len(codes):
+            return
         salts = np.array([salt_of(w) for w in words], dtype=np.uint64)
-        ids, chunk = np.unique(table.column(1).to_numpy(), return_inverse=True)
+        ids, chunk = np.unique(chunk, return_inverse=True)
         mixed = (ids.view(np.uint64)[chunk] * np.uint64(SALTS) + salts[codes]) * mix
         bucket = ((mixed ^ (mixed >> np.uint64(32))) * mix >> np.uint64(33)).astype(np.int64) % buckets
-        place, tf = _merged(bucket << 40 | chunk << 20 | codes, table.column(2).to_numpy())
+        place, tf = _merged(bucket << 40 | chunk << 20 | codes, tf)
         bucket, chunk, codes = bucket[place], ids[chunk[place]], codes[place]
         edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
         made = []
@@ -146,12 +153,14 @@ def bucket_count(df: DataFrame, rows: int | None) -> int:
 
 
 def term_totals(postings: DataFrame, rows: int | None = None) -> DataFrame:
-    """``(term, occurrences, records)`` from cleaned ``(term, chunk_id, tf)`` rows, none of them null.
+    """``(term, occurrences, records)`` of the terms, trimmed and in lower case.
 
-    Repeated rows of a term and a chunk count once, with their largest tf.  ``rows`` is about the number of rows, for the
-    number of buckets; a wrong one costs time only.  No rows give no rows.
+    Rows without a term or a chunk are left out; a null tf means that the chunk holds the term an unknown number of times
+    and counts as one.  Repeated rows of a term and a chunk count once, with their largest tf.  ``rows`` is about the
+    number of rows, for the number of buckets; a wrong one costs time only.  No rows give no rows.
     """
     n = bucket_count(postings, rows)
-    blocks = postings.select("term", F.col("chunk_id").cast("bigint"), F.col("tf").cast("bigint")).mapInArrow(_blocks(n), "bucket int, block binary")
+    plain = postings.where("term is not null and chunk_id is not null").select("term", F.col("chunk_id").cast("bigint"), F.coalesce("tf", F.lit(1)).cast("bigint"))
+    blocks = plain.mapInArrow(_blocks(n), "bucket int, block binary")
     parts = blocks.repartitionById(n, F.col("bucket")).mapInArrow(_totals, "term string, occurrences bigint, records bigint")
     return parts.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
