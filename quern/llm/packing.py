@@ -1,9 +1,10 @@
 """Problem 9: texts into containers of fixed token capacity, for each capacity, with as little room left as possible.
 
-The plan needs only how many items there are of each size, a table bounded by the capacity.  It routes the sizes to tiers
-by halving the capacity, opens containers with the longest tier that is left and fills their gaps from the shorter ones,
-preferring sizes that close a gap exactly.  The rows then find their containers by their rank within their size, so no
-container and no size is ever gathered in one place.  Step groups get containers of equal load.
+The plan needs only how many items there are of each size, a table bounded by the capacity.  It routes the sizes to tiers,
+the context sizes of a capacity and its halves: an item belongs to the smallest that holds it.  From the longest tier
+down each tier is packed on its own, then what its containers leave open is filled from the shorter tiers, preferring
+sizes that close a gap exactly.  The rows then find their containers by their rank within their size, so no container and
+no size is ever gathered in one place.  Steps group containers so that their loads are balanced.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from quern.session import cut
 STEP = 8
 
 Entry = tuple[int, int, int, int]  # size, first rank, containers, first container
+Run = tuple[int, int, int]  # first container, containers, load of each
 
 
 def tier_of(size: int, capacity: int) -> int:
-    """0 for more than half of the capacity, 1 for more than a quarter, and so on."""
+    """The tier whose context size is the least that holds the item: 0 for the capacity, 1 for half of it, and so on."""
     return max(0, (capacity // size).bit_length() - 1) if size else capacity.bit_length()
 
 
@@ -35,55 +37,73 @@ class _Stock:
     def __init__(self, counts: np.ndarray) -> None:
         self.left, self.used = counts.astype(np.int64).copy(), np.zeros(len(counts), dtype=np.int64)
 
-    def filler(self, gap: int) -> tuple[int, ...]:
-        """Sizes for the gap: the one or two that close it, else the largest that fits with the largest that fits beside it."""
-        if self.left[gap]:
+    def filler(self, gap: int, low: int, high: int) -> tuple[int, ...]:
+        """Of the sizes from ``low`` to ``high``: the one or two that close the gap, else the largest that fits."""
+        high = min(high, gap)
+        if low > high:
+            return ()
+        if high == gap and self.left[gap]:
             return (gap,)
-        have = self.left[: gap + 1] > 0
-        have[0] = False
-        high = np.arange((gap + 1) // 2, gap)
-        pair = high[have[high] & have[gap - high] & ((high * 2 != gap) | (self.left[high] > 1))]
+        have = self.left[low : high + 1] > 0
+        longer = np.arange(max(low, (gap + 1) // 2), min(high, gap - low) + 1)
+        pair = longer[have[longer - low] & have[gap - longer - low] & ((longer * 2 != gap) | (self.left[longer] > 1))]
         if len(pair):
             return int(pair[-1]), int(gap - pair[-1])
         fits = np.flatnonzero(have)
-        return (int(fits[-1]),) if len(fits) else ()
-
-
-def plan(counts: np.ndarray, capacity: int) -> tuple[list[Entry], np.ndarray]:
-    """``(entries, loads)`` for ``counts[s]`` items of each size s up to the capacity.
-
-    An entry says that the items of a size from a rank on go one by one into so many successive containers.  Containers
-    of one look are opened together, so the steps follow the number of sizes, not of items.
+        return (int(fits[-1]) + low,) if len(fits) else ()
+
+    def fill(self, looks: list[tuple[int, int, tuple[int, ...]]], capacity: int, low: int, high: int) -> list[tuple[int, int, tuple[int, ...]]]:
+        """Containers of one look, ``(containers, load, sizes inside)``, after items from ``low`` to ``high`` have joined them."""
+        todo, closed = looks[::-1], []
+        while todo:
+            n, load, inside = todo.pop()
+            chosen = self.filler(capacity - load, low, high) if load < capacity else ()
+            if not chosen:
+                closed.append((n, load, inside))
+                continue
+            m = min(n, *(int(self.left[s]) // chosen.count(s) for s in set(chosen)))
+            for s in chosen:
+                self.left[s] -= m
+            if n > m:
+                todo.append((n - m, load, inside))
+            todo.append((m, load + sum(chosen), (*inside, *chosen)))
+        return closed
+
+
+def plan(counts: np.ndarray, capacity: int) -> tuple[list[Entry], list[Run]]:
+    """``(entries, runs)`` for ``counts[s]`` items of each size s up to the capacity.
+
+    An entry says that the items of a size from a rank on go one by one into so many successive containers, a run that so
+    many successive containers have the same load.  Containers of one look are opened together, so the steps and the
+    memory follow the number of sizes, not of items.
     """
-    stock, entries, loads, opened = _Stock(counts), [], [], 0
-    sizes = sorted((s for s in range(1, capacity + 1) if counts[s]), key=lambda s: (tier_of(s, capacity), -s))
-    for size in sizes:
-        while stock.left[size]:
-            # (containers, load, sizes inside) that look alike; those are closed that nothing fits into.
-            look = [(int(stock.left[size]), size, (size,))]
-            stock.left[size] = 0
-            alike = []
-            while look:
-                n, load, inside = look.pop()
-                fill = stock.filler(capacity - load) if load < capacity else ()
-                if not fill:
-                    alike.append((n, load, inside))
-                    continue
-                m = n
-                for s in set(fill):
-                    m = min(m, int(stock.left[s]) // fill.count(s))
-                for s in fill:
-                    stock.left[s] -= m
-                look.append((m, load + sum(fill), (*inside, *fill)))
-                if n > m:
-                    look.append((n - m, load, inside))
-            for n, load, inside in alike:
-                for s in inside:
-                    entries.append((s, int(stock.used[s]), n, opened))
-                    stock.used[s] += n
-                loads.append(np.full(n, load) if n < 1 << 16 else np.broadcast_to(load, n))
-                opened += n
-    return entries, np.concatenate(loads) if loads else np.zeros(0, dtype=np.int64)
+    stock, entries, runs, opened = _Stock(counts), [], [], 0
+    for tier in range(capacity.bit_length()):
+        low, high = capacity // 2 ** (tier + 1) + 1, capacity // 2**tier
+        looks: list[tuple[int, int, tuple[int, ...]]] = []
+        for size in range(high, low - 1, -1):
+            if stock.left[size]:
+                n, stock.left[size] = int(stock.left[size]), 0
+                # Items of one size that are too short to stand alone share containers among themselves first.
+                each = capacity // size
+                whole, rest = divmod(n, each)
+                looks += stock.fill([(k, size * m, (size,) * m) for k, m in ((whole, each), (1 if rest else 0, rest)) if k], capacity, low, size)
+        for n, load, inside in stock.fill(looks, capacity, 1, low - 1):
+            for s in inside:
+                entries.append((s, int(stock.used[s]), n, opened))
+                stock.used[s] += n
+            runs.append((opened, n, load))
+            opened += n
+    return entries, runs
+
+
+def load_places(runs: list[Run]) -> tuple[np.ndarray, np.ndarray]:
+    """``(first, place)`` of every run: its first container, and where that stands among all by falling load."""
+    first, n, load = (np.array(x, dtype=np.int64) for x in zip(*runs)) if runs else (np.zeros(0, dtype=np.int64),) * 3
+    order = np.argsort(-load, kind="stable")
+    place = np.empty(len(first), dtype=np.int64)
+    place[order] = np.cumsum(n[order]) - n[order]
+    return first, place
 
 
 def _lookup(plans: dict[int, list[Entry]]):
@@ -110,6 +130,24 @@ def _lookup(plans: dict[int, list[Entry]]):
     return find
 
 
+def _places(runs: dict[int, list[Run]]):
+    """Where the containers of (capacity_id, container_id) stand by falling load."""
+    table = {c: load_places(r) for c, r in runs.items()}
+
+    def find(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for capacity_id, container in batches:
+            out, asked = container.to_numpy(dtype=np.int64).copy(), capacity_id.to_numpy()
+            for c in np.unique(asked):
+                first, place = table[c]
+                rows = np.flatnonzero(asked == c)
+                at = np.searchsorted(first, out[rows], side="right") - 1
+                if len(first):
+                    out[rows] += place[at] - first[at]
+            yield pd.Series(out)
+
+    return find
+
+
 def pack(documents: DataFrame, capacities: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = bpe.TOKENIZER) -> DataFrame:
     """``pack_sizes`` of the texts' numbers of tokens."""
     return pack_sizes(cut(bpe.count_tokens(documents, key, text, tokenizer)), capacities, key)
@@ -120,8 +158,8 @@ def pack_sizes(sizes: DataFrame, capacities: DataFrame, key: str = "doc_id") ->
 
     ``sizes`` is ``(key, tokens)`` with one row per item; repeated rows are items of their own.  Only an item above the
     capacity is divided: into pieces that fill a container each, and a rest that is packed like any item.  Items without
-    tokens (also null ones) take no room and are spread over the containers.  ``step`` groups ``STEP`` containers of
-    about equal load.  Rows of capacities without a positive size are left out, and of a repeated capacity_id the
+    tokens (also null ones) take no room and are spread over the containers.  ``step`` groups about ``STEP`` containers;
+    dealt out to and fro by falling load, no two steps differ by more than one container's load.  Rows of capacities without a positive size are left out, and of a repeated capacity_id the
     largest.  ``capacities`` is a small table of settings and is read to the driver, as is one count per size up to each
     capacity.
     """
@@ -144,14 +182,14 @@ def pack_sizes(sizes: DataFrame, capacities: DataFrame, key: str = "doc_id") ->
     by_salt = rests.groupBy("capacity_id", "_rest", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     full_by_salt = items.groupBy("capacity_id", "_salt").agg(F.sum("_full").alias("_n"))
     counts = by_salt.groupBy("capacity_id", "_rest").agg(F.sum("_n").alias("n")).collect()
-    plans, opened = {}, {}
+    plans, opened, runs = {}, {}, {}
     for c, capacity in kinds.items():
         histogram = np.zeros(int(capacity) + 1, dtype=np.int64)
         for r in counts:
             if r.capacity_id == c:
                 histogram[r._rest] = r.n
-        plans[c], loads = plan(histogram, int(capacity))
-        opened[c] = len(loads) or int(histogram[0] > 0)
+        plans[c], runs[c] = plan(histogram, int(capacity))
+        opened[c] = sum(n for _, n, _ in runs[c]) or int(histogram[0] > 0)
     of = lambda values: F.create_map(*(x for c, v in values.items() for x in (F.lit(c).cast("bigint"), F.lit(int(v)).cast("bigint"))))[F.col("capacity_id")]
     before = Window.partitionBy("capacity_id", "_rest").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_salt.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -174,11 +212,15 @@ def pack_sizes(sizes: DataFrame, capacities: DataFrame, key: str = "doc_id") ->
         .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_full") - 1)))
         .select("capacity_id", (of(opened) + F.col("_before") + F.col("_own") + F.col("piece")).alias("container_id"), key, "piece", (F.col("piece") * F.col("_cap")).alias("start"), F.col("_cap").alias("tokens"))
     )
-    # Containers are numbered by falling load within a look; dealing them out to and fro evens out the steps.
-    steps_all = F.greatest(F.ceil(of(opened) / F.lit(STEP)), F.lit(1)).cast("bigint")
-    lap, at = F.floor(F.col("container_id") / steps_all), F.pmod(F.col("container_id"), steps_all)
-    dealt = F.when(F.col("container_id") >= of(opened), steps_all + F.floor((F.col("container_id") - of(opened)) / STEP)).when(lap % 2 == 0, at).otherwise(steps_all - 1 - at)
-    return planned.unionByName(full).select("capacity_id", "container_id", dealt.cast("bigint").alias("step"), key, "piece", "start", "tokens")
+    # By falling load: first the pieces that fill a container, then the planned containers.
+    filled = {r.capacity_id: r.n for r in full_by_salt.groupBy("capacity_id").agg(F.sum("_n").alias("n")).collect()}
+    fulls = {c: int(filled.get(c, 0)) for c in kinds}
+    by_load = F.pandas_udf(_places(runs), "bigint")
+    placed = planned.withColumn("_place", of(fulls) + by_load("capacity_id", "container_id")).unionByName(full.withColumn("_place", F.col("container_id") - of(opened)))
+    steps_all = F.greatest(F.ceil((of(opened) + of(fulls)) / F.lit(STEP)), F.lit(1)).cast("bigint")
+    lap, at = F.floor(F.col("_place") / steps_all), F.pmod(F.col("_place"), steps_all)
+    dealt = F.when(lap % 2 == 0, at).otherwise(steps_all - 1 - at)
+    return placed.select("capacity_id", "container_id", dealt.cast("bigint").alias("step"), key, "piece", "start", "tokens")
 
 
 def room_left(packed: DataFrame, capacities: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Problem 10: how much of a text repeats what the same text said before, and what that says of its source.
 
 Each text is measured on its own; rules turn the measures into failures; failure rates per source are shrunk with a beta
-prior that is fitted to all sources, and the source's verdict is joined back to its documents.
+prior that is fitted to all sources, and the source's verdict is joined back to its documents.  A document that fails a
+rule itself or comes from a suspect source is then judged by the exact share of its repeated words.
 """
 
 from __future__ import annotations
@@ -21,8 +22,11 @@ RUN = 4
 #: From this share of repeated words on, a text fails; below so many words it is no case.
 FAILS_FROM = 0.40
 LEAST_WORDS = 20
-#: A text also fails, for the verdict on its source, if this share of its lines stood in it before.
+#: Rules: a text fails one from this share of repeated words on, the other if this share of its lines (so many at least)
+#: stood in it before.  Both are weaker than the final judgement, so that no case passes both.
+RULE_FROM = 0.20
 LINES_FROM = 0.50
+LEAST_LINES = 4
 #: The shrunk failure rate from which a source as a whole is suspect.
 SUSPECT_FROM = 0.30
 
@@ -95,25 +99,26 @@ def host_rates(measured: DataFrame) -> DataFrame:
 
 
 def assess(documents: DataFrame, fails_from: float = FAILS_FROM, least_words: int = LEAST_WORDS, suspect_from: float = SUSPECT_FROM) -> DataFrame:
-    """``(doc_id, source, words, share, line_share, repetitive, source_rate, source_suspect)``, one row per row.
+    """``(doc_id, source, words, share, line_share, fails, source_rate, source_suspect, repetitive)``, one row per row.
 
-    ``share`` is the share of words in repeated runs, 0 without words.  ``repetitive`` is the document's own verdict;
-    a document without a source has a null source_rate and is not suspect.  The measures are cut off before the rates,
-    so that no text is read twice.
+    ``share`` is the share of words in repeated runs, 0 without words.  ``fails`` says whether a rule speaks against the
+    document, ``source_rate`` is the shrunk rate of such documents in its source.  ``repetitive`` is the verdict: of the
+    documents that fail or whose source is suspect, those with enough words and at least ``fails_from`` of them repeated.
+    A document without a source has a null source_rate and no suspect source.  The measures are cut off before the
+    rates, so that no text is read twice.
     """
+    if fails_from < RULE_FROM:
+        raise ValueError(f"fails_from is below the rule's {RULE_FROM}")
     measured = cut(measure(documents))
     share = F.when(F.col("words") > 0, F.col("repeated") / F.col("words")).otherwise(F.lit(0.0))
     line_share = F.when(F.col("lines") > 0, F.col("repeated_lines") / F.col("lines")).otherwise(F.lit(0.0))
     enough = F.col("words") >= least_words
-    judged = (
+    ruled = (
         measured.withColumn("share", share)
         .withColumn("line_share", line_share)
-        .withColumn("repetitive", enough & (F.col("share") >= fails_from))
-        .withColumn("fails", F.col("repetitive") | (enough & (F.col("lines") >= 4) & (F.col("line_share") >= LINES_FROM)))
-    )
-    rates = host_rates(judged).select("source", F.col("rate").alias("source_rate"))
-    return (
-        judged.join(rates, "source", "left")
-        .withColumn("source_suspect", F.coalesce(F.col("source_rate") >= suspect_from, F.lit(False)))
-        .select("doc_id", "source", "words", "share", "line_share", "repetitive", "source_rate", "source_suspect")
+        .withColumn("fails", enough & ((F.col("share") >= RULE_FROM) | ((F.col("lines") >= LEAST_LINES) & (F.col("line_share") >= LINES_FROM))))
     )
+    rates = host_rates(ruled).select("source", F.col("rate").alias("source_rate"))
+    judged = ruled.join(rates, "source", "left").withColumn("source_suspect", F.coalesce(F.col("source_rate") >= suspect_from, F.lit(False)))
+    repetitive = (F.col("fails") | F.col("source_suspect")) & enough & (F.col("share") >= fails_from)
+    return judged.select("doc_id", "source", "words", "share", "line_share", "fails", "source_rate", "source_suspect", repetitive.alias("repetitive"))

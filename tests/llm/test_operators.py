@@ -356,10 +356,28 @@ def test_packing_keeps_everything(spark):
             if parts is not None:
                 assert sum(p[2] for p in parts) == (tokens or 0) and [p[0] for p in parts] == list(range(len(parts))) and len(parts) == max(1, -(-(tokens or 0) // capacity))
         assert Counter(r.doc_id for r in mine if r.doc_id < 5000).keys() == {d for d, _ in sizes if d < 5000}
+        steps = {}
+        for r in mine:
+            steps.setdefault(r.step, set()).add(r.container_id)
+        weights = [sum(load[x] for x in xs) for xs in steps.values()]
+        assert max(map(len, steps.values())) <= packing.STEP and max(weights) - min(weights) <= capacity
     assert {r.capacity_id for r in packed} == {1, 2}
     assert packing.pack_sizes(table.limit(0), capacities).count() == 0 and packing.pack_sizes(table, capacities.limit(0)).count() == 0
 
 
+def test_tiers_are_packed_before_they_are_filled():
+    # 5 + 3 + 2 would close a container at once; the tier of 5 is packed first, and 9 is filled from shorter tiers only.
+    counts = np.bincount([9, 5, 5, 3, 2, 1], minlength=11)
+    entries, runs = packing.plan(counts, 10)
+    inside = {}
+    for size, _, n, first in entries:
+        for x in range(first, first + n):
+            inside.setdefault(x, []).append(size)
+    assert sorted(map(sorted, inside.values())) == [[1, 9], [2, 3], [5, 5]] and [r[2] for r in runs] == [10, 10, 5]
+    assert [packing.tier_of(s, 10) for s in (10, 6, 5, 3, 2, 1)] == [0, 0, 1, 1, 2, 3]
+    assert packing.plan(np.bincount([7], weights=[3e8], minlength=9).astype(np.int64), 8)[1] == [(0, 300_000_000, 7)]
+
+
 # ---- 10 ------------------------------------------------------------------------------------------------------------
 
 
@@ -389,4 +407,5 @@ def test_repetition_and_sources(spark):
     assert len(got) == len(docs)
     assert {i for i, r in got.items() if r.repetitive} == {*range(8), 103, 104}
     assert got[0].source_suspect and not got[20].source_suspect and got[101].source_rate is None and got[100].share == 0
+    assert got[0].fails and not got[20].fails and got[0].source_rate > got[20].source_rate
     assert repetition.assess(table.limit(0)).count() == 0
