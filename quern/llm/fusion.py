@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.ordering import numbered
-from quern.session import cut
 
 #: The weight of ``semantic`` where a query names none; ``bm25`` has the rest.
 DEFAULT_ALPHA = 0.55
@@ -24,51 +23,54 @@ ACCURACY = 10_000
 STRETCH = 512
 
 
-def clean_evidence(evidence: DataFrame) -> DataFrame:
-    """One row per query, retriever and chunk, with a usable score.
+LIST = ["query_id", "retriever"]
+
+
+def latest_evidence(evidence: DataFrame) -> DataFrame:
+    """``(query_id, retriever, chunk_id, score, rank, stretch)``: one row per query, retriever and chunk.
 
-    Of repeated rows the one logged last holds, of those the one with the higher score.  A missing score (null or NaN) is
-    taken from the next chunk of the same list by rank, the following one before the preceding one, of equal ranks that
-    of the smaller chunk_id; a missing rank is left null; a row with neither is dropped.  Neighbours are sought within
-    stretches of ranks and then from stretch to stretch, so no list is gathered in one task.
+    Of repeated rows the one logged last holds, of those the one with the higher score.  NaN scores become null; a row
+    with neither score nor rank is dropped.  A list lies in stretches of ranks, each of which is in one place.
     """
     score = F.when(~F.isnan("score"), F.col("score"))
-    latest = (
+    stretch = F.coalesce(F.floor(F.col("rank") / STRETCH), -1 - F.pmod(F.xxhash64("chunk_id"), F.lit(64)))
+    return (
         evidence.where("query_id is not null and chunk_id is not null and retriever is not null")
-        .groupBy("query_id", "retriever", "chunk_id")
+        .groupBy(*LIST, "chunk_id")
         .agg(F.max(F.struct("logged_at", score.alias("score"), "rank")).alias("e"))
-        .select("query_id", "retriever", "chunk_id", "e.score", "e.rank")
+        .select(*LIST, "chunk_id", "e.score", "e.rank")
         .where("score is not null or rank is not null")
-        .withColumn("_stretch", F.floor(F.col("rank") / STRETCH))
+        .withColumn("stretch", stretch)
+        .repartition(*LIST, "stretch")
     )
-    stretch = ["query_id", "retriever", "_stretch"]
-    place = F.when(F.col("score").isNotNull(), F.struct("rank", F.col("chunk_id").alias("c"), "score"))
-    edges = latest.where("rank is not null").groupBy(*stretch).agg(F.min(place).alias("_head"), F.max(F.when(F.col("score").isNotNull(), F.struct("rank", (-F.col("chunk_id")).alias("c"), "score"))).alias("_tail"))
-    along = Window.partitionBy("query_id", "retriever").orderBy("_stretch")
-    next_score = F.first("_head.score", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_next")
-    last_score = F.last("_tail.score", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_last")
-    around = edges.select(*stretch, next_score, last_score)
-    inside = Window.partitionBy(*stretch)
+
+
+def stretches(latest: DataFrame) -> DataFrame:
+    """``(query_id, retriever, stretch, after, before)``: per stretch the score that follows it in its list and the one before it."""
+    known = F.col("score").isNotNull() & F.col("rank").isNotNull()
+    head = F.min(F.when(known, F.struct("rank", F.col("chunk_id").alias("c"), "score")))
+    tail = F.max(F.when(known, F.struct("rank", (-F.col("chunk_id")).alias("c"), "score")))
+    along = Window.partitionBy(*LIST).orderBy("stretch")
+    after = F.first("_head.score", True).over(along.rowsBetween(1, Window.unboundedFollowing))
+    before = F.last("_tail.score", True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    return latest.groupBy(*LIST, "stretch").agg(head.alias("_head"), tail.alias("_tail")).select(*LIST, "stretch", after.alias("after"), before.alias("before"))
+
+
+def filled(latest: DataFrame, around: DataFrame) -> DataFrame:
+    """The missing scores are taken from the next chunk of the same list by rank, the following one before the preceding one,
+    of equal ranks that of the smaller chunk_id; a list without any score has 0 throughout."""
+    inside = Window.partitionBy(*LIST, "stretch")
     below = F.first("score", True).over(inside.orderBy("rank", "chunk_id").rowsBetween(0, Window.unboundedFollowing))
     above = F.last("score", True).over(inside.orderBy("rank", F.desc("chunk_id")).rowsBetween(Window.unboundedPreceding, 0))
-    near = latest.withColumn("_below", below).withColumn("_above", above).join(around, stretch, "left")
+    near = latest.withColumn("_below", below).withColumn("_above", above).join(around, [*LIST, "stretch"])
     # A row without a rank has a score of its own.
-    filled = F.coalesce("score", "_below", "_next", "_above", "_last", F.lit(0.0))
-    return near.select("query_id", "retriever", "chunk_id", filled.alias("score"), "rank")
-
+    return near.withColumn("score", F.coalesce("score", "_below", "after", "_above", "before", F.lit(0.0))).drop("_below", "_above", "after", "before")
 
-def standardised(clean: DataFrame) -> DataFrame:
-    """``(query_id, retriever, chunk_id, z)``: the score in robust deviations from its list's median.
 
-    A list without spread around its median is scaled by its mean absolute deviation, and one without any spread gives 0
-    throughout.  Median and deviation are mergeable summaries, so no list is gathered in one place for them.
-    """
-    key = ["query_id", "retriever"]
-    median = clean.groupBy(*key).agg(F.percentile_approx("score", 0.5, ACCURACY).alias("_median"))
-    away = clean.join(median, key).withColumn("_away", F.abs(F.col("score") - F.col("_median")))
-    spread = away.groupBy(*key).agg(F.percentile_approx("_away", 0.5, ACCURACY).alias("_mad"), F.avg("_away").alias("_mean_away"))
-    scale = F.when(F.col("_mad") > 0, 1.4826 * F.col("_mad")).when(F.col("_mean_away") > 0, 1.2533 * F.col("_mean_away"))
-    return away.join(spread, key).select(*key, "chunk_id", F.coalesce((F.col("score") - F.col("_median")) / scale, F.lit(0.0)).alias("z"))
+def clean_evidence(evidence: DataFrame) -> DataFrame:
+    """``latest_evidence`` with a usable score in every row."""
+    latest = latest_evidence(evidence)
+    return filled(latest, stretches(latest)).drop("stretch")
 
 
 def log_value(z: Column, absent: float) -> Column:
@@ -84,16 +86,25 @@ def fuse(evidence: DataFrame, queries: DataFrame, minor: float = MINOR, absent:
     that are equal to nine digits, as those of outliers beyond the logistic's reach, are ranked by the weighted sum of
     their standardised scores, then by chunk_id.
     """
-    values = standardised(cut(clean_evidence(evidence)))
+    latest = latest_evidence(evidence)
+    around = stretches(latest)
+    rows = filled(latest, around)
+    # Figures of a list are joined by stretch, so that a list that holds a third of all rows stays spread.
+    median = rows.groupBy(*LIST).agg(F.percentile_approx("score", 0.5, ACCURACY).alias("_median"))
+    away = rows.join(around.select(*LIST, "stretch").join(median, LIST), [*LIST, "stretch"]).withColumn("_away", F.abs(F.col("score") - F.col("_median")))
+    spread = away.groupBy(*LIST).agg(F.first("_median").alias("_median"), F.percentile_approx("_away", 0.5, ACCURACY).alias("_mad"), F.avg("_away").alias("_mean_away"))
     alphas = queries.groupBy("query_id").agg(F.max(F.nanvl("alpha", F.lit(None).cast("double"))).alias("_alpha"))
     alpha = F.least(F.greatest(F.coalesce("_alpha", F.lit(default_alpha)), F.lit(0.0)), F.lit(1.0))
     weight: Column = F.when(F.col("retriever") == "semantic", alpha).when(F.col("retriever") == "bm25", 1 - alpha).otherwise(F.lit(minor))
+    # A list without spread around its median is scaled by its mean absolute deviation, one without any is 0 throughout.
+    scale = F.when(F.col("_mad") > 0, 1.4826 * F.col("_mad")).when(F.col("_mean_away") > 0, 1.2533 * F.col("_mean_away"))
+    lists = spread.join(alphas, "query_id", "left").select(*LIST, "_median", scale.alias("_scale"), weight.alias("_w"))
+    totals = lists.groupBy("query_id").agg(F.sum("_w").alias("_all"), F.count(F.lit(1)).alias("retrievers"))
+    weighed = rows.join(around.select(*LIST, "stretch").join(lists, LIST), [*LIST, "stretch"]).withColumn("_z", F.coalesce((F.col("score") - F.col("_median")) / F.col("_scale"), F.lit(0.0)))
     floor = F.log(F.lit(absent))
-    weighed = values.join(alphas, "query_id", "left").withColumn("_w", weight)
-    lists = weighed.groupBy("query_id", "retriever").agg(F.max("_w").alias("_w")).groupBy("query_id").agg(F.sum("_w").alias("_all"), F.count(F.lit(1)).alias("retrievers"))
     # A list that lacks the chunk adds its weight times the floor: sum over the present ones of w (ln v - floor), plus floor.
-    lifted = weighed.groupBy("query_id", "chunk_id").agg(F.sum(F.col("_w") * (log_value(F.col("z"), absent) - floor)).alias("_lift"), F.round(F.sum(F.col("_w") * F.col("z")), 6).alias("_lean"))
+    lifted = weighed.groupBy("query_id", "chunk_id").agg(F.sum(F.col("_w") * (log_value(F.col("_z"), absent) - floor)).alias("_lift"), F.round(F.sum(F.col("_w") * F.col("_z")), 6).alias("_lean"))
     score = F.when(F.col("_all") > 0, F.round(F.exp(F.col("_lift") / F.col("_all") + floor), 9)).otherwise(F.lit(0.0))
-    scored = lifted.join(lists, "query_id").select("query_id", "chunk_id", score.alias("score"), "_lean", "retrievers")
+    scored = lifted.join(totals, "query_id").select("query_id", "chunk_id", score.alias("score"), "_lean", "retrievers")
     ranked = numbered(scored, "query_id", [F.desc("score"), F.desc("_lean"), "chunk_id"])
     return ranked.select("query_id", "chunk_id", "score", F.col("rank").cast("int").alias("rank"), "retrievers")
