@@ -22,7 +22,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.block_lines(splitting.boundaries(table(spark, d, "chunks")))
+    return splitting.block_lines(splitting.pieces_by_chunk(table(spark, d, "chunks"), contents=False))
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Boundaries are the line starts of a text, ranked by how natural a cut there is, and places within lines that are too long
 themselves.  An as-of join gives every boundary the farthest legal successor: the next piece begins ``OVERLAP`` lines
 earlier and must end within the limit.  Squaring the successor table doubles the cuts that are known from the first
-boundary of every chunk, so all cuts are found after the logarithm of the longest chunk's number of pieces.
+boundary of every chunk, so all cuts are found after the logarithm of the longest chunk's number of pieces.  Boundaries
+of different chunks never meet, so the tables are arrays over all chunks of a batch, and no boundary is shuffled.
 """
 
 from __future__ import annotations
@@ -12,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.blocks import block_starts, language_of
-from quern.session import cut
 
 LIMIT = 1500
 OVERLAP = 5
@@ -61,17 +62,81 @@ def boundaries_of(content: str, blocks: list[int], limit: int = LIMIT, overlap:
     return [*made, (ends, END, max(0, len(lines) - (2 if content.endswith("\n") else 1)), ends)]
 
 
-def _scan(limit: int, overlap: int):
+def successors(base: np.ndarray, offset: np.ndarray, rank: np.ndarray, begin: np.ndarray, limit: int) -> np.ndarray:
+    """The place in the table of the cut that follows each boundary; the end of a text follows itself.
+
+    ``base`` sets the texts so far apart that no reach leads into the next one.  The farthest boundary within reach of
+    the highest rank follows, as long as the piece keeps a quarter of the limit of new text; else the farthest of the
+    next lower rank.
+    """
+    at, reach = base + offset, base + begin + limit
+    following = at.copy()
+    for r in (INSIDE, LINE, BLANK, BLOCK):
+        places = at[rank >= r]
+        far = places[np.maximum(np.searchsorted(places, reach, side="right") - 1, 0)]
+        good = far > at if r < BLANK else far >= at + limit // 4
+        following = np.where(good & (far <= reach), far, following)
+    return np.where(rank == END, np.arange(len(at)), np.searchsorted(at, following))
+
+
+def cuts(following: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which boundaries are reached from the ``first`` ones, by squaring the successor table."""
+    reached = np.zeros(len(following), dtype=bool)
+    reached[first] = True
+    while True:
+        reached[following[reached]] = True
+        further = following[following]
+        if (further == following).all():
+            return reached
+        following = further
+
+
+#: A piece: its new text from ``at`` to ``next``, its content from ``begin`` on, its lines in the file, the lines that it
+#: repeats and the lines at which a block starts in its new text.
+SPAN = "at:bigint, next:bigint, start_line:bigint, end_line:bigint, repeated_lines:bigint, block_lines:array<bigint>"
+
+
+def _pieces_of(texts: list[str], languages: list, paths: list, firsts: list[int], limit: int, overlap: int, contents: bool) -> pa.ListArray:
+    tables = [np.array(boundaries_of(t, block_starts(t, language_of(k, p)), limit, overlap), dtype=np.int64) for t, k, p in zip(texts, languages, paths)]
+    sizes = np.array([len(t) for t in tables])
+    offset, rank, line, begin = np.concatenate(tables).T
+    which = np.repeat(np.arange(len(texts)), sizes)
+    starts = np.cumsum(sizes) - sizes
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    apart = np.cumsum(lengths + limit + 1) - (lengths + limit + 1)
+    following = successors(apart[which], offset, rank, begin, limit)
+    cut_at = np.flatnonzero(cuts(following, starts) & (rank != END))
+    ends, owner = following[cut_at], which[cut_at]
+    at, upto = offset[cut_at], offset[ends]
+    begin_line = line[np.searchsorted(apart[which] + offset, apart[owner] + begin[cut_at])]
+    # A piece that ends before a line's first letter ends with the line above it.
+    above = np.fromiter((n < len(texts[o]) and texts[o][n - 1] == "\n" for o, n in zip(owner, upto)), dtype=bool, count=len(owner))
+    file_line = np.array(firsts, dtype=np.int64)
+    blocks = np.flatnonzero(rank == BLOCK)
+    holder = np.searchsorted(cut_at, blocks, side="right") - 1
+    edges = np.concatenate([[0], np.cumsum(np.bincount(holder, minlength=len(cut_at)))]).astype(np.int32)
+    columns = {
+        "at": pa.array(at), "next": pa.array(upto), "start_line": pa.array(file_line[owner] + begin_line), "end_line": pa.array(file_line[owner] + line[ends] - above), "repeated_lines": pa.array(line[cut_at] - begin_line),
+        "block_lines": pa.ListArray.from_arrays(edges, pa.array(file_line[which[blocks]] + line[blocks])),
+    }
+    if contents:
+        columns["content"] = pa.array([texts[o][b:n] for o, b, n in zip(owner, begin[cut_at], upto)], pa.string())
+    counts = np.bincount(owner, minlength=len(texts))
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
+
+
+def _split(names: list[str], limit: int, overlap: int, contents: bool, letters: int = 8_000_000):
+    """Rows of ``names`` with their pieces; the first four are the content, the language, the path and the first line."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, firsts, rows, counts = batch.column(0), batch.column(4), [], []
-            for text, language, path in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                found = boundaries_of(text, block_starts(text, language_of(language, path)), limit, overlap)
-                rows.extend(found)
-                counts.append(len(found))
-            table = np.array(rows, dtype=np.int64).reshape(-1, 4)
-            which = pa.array(np.repeat(np.arange(len(counts)), counts).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([keys.take(which), firsts.take(which), *(pa.array(table[:, i]) for i in range(4))], names=["chunk_id", "first_line", "offset", "rank", "line", "begin"])
+            texts, languages, paths, firsts = (batch.column(i).to_pylist() for i in range(4))
+            sizes = np.cumsum([len(t) for t in texts])
+            edges = [0, *(np.flatnonzero(np.diff(sizes // letters)) + 1).tolist(), len(texts)] if texts else []
+            for a, b in zip(edges, edges[1:]):
+                pieces = _pieces_of(texts[a:b], languages[a:b], paths[a:b], firsts[a:b], limit, overlap, contents)
+                digests = pa.array([xxhash.xxh128_digest(t.encode("utf-8", "surrogatepass")) for t in texts[a:b]], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(1, len(names))), digests, pieces], names=[*names[1:], "digest", "pieces"])
 
     return run
 
@@ -81,52 +146,27 @@ def oversized(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
     return chunks.where(F.col("chunk_id").isNotNull() & (F.char_length("content") > limit))
 
 
-def boundaries(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """``(chunk_id, first_line, offset, rank, line, begin)`` of the oversized chunks; lines count from 0, first_line is the file's.
+def pieces_by_chunk(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, contents: bool = True) -> DataFrame:
+    """One row per oversized chunk: ``(chunk_id, file_path, language, first_line, symbols, breadcrumbs, pieces)``.
 
-    Repeated rows of a chunk count once; a null start_line is 1.
+    Repeated rows of a chunk count once; where they differ the one indexed last holds, then the one with the greater
+    digest.  A null start_line is 1.  ``contents`` says whether the pieces carry their text or only where they lie.
     """
-    rows = oversized(chunks, limit).select("chunk_id", "content", "language", "file_path", F.coalesce("start_line", F.lit(1)).cast("bigint").alias("first_line"))
-    kind = chunks.schema["chunk_id"].dataType.simpleString()
-    made = rows.mapInArrow(_scan(limit, overlap), f"chunk_id {kind}, first_line bigint, offset bigint, rank bigint, line bigint, begin bigint")
-    return made.groupBy("chunk_id", "offset").agg(F.min("first_line").alias("first_line"), F.max("rank").alias("rank"), F.min("line").alias("line"), F.min("begin").alias("begin"))
-
-
-def block_lines(found: DataFrame) -> DataFrame:
-    """``(chunk_id, line)``: the file's lines at which a top-level block starts, from the boundaries of oversized chunks."""
-    return found.where(F.col("rank") == BLOCK).select("chunk_id", (F.col("first_line") + F.col("line")).alias("line")).distinct()
-
-
-def successors(found: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """``(chunk_id, at, next, begin)``: of every boundary but the last of a chunk, the cut that follows it.
-
-    The farthest boundary within reach of the highest rank, as long as the piece keeps a quarter of the limit of new text;
-    else the farthest of the next lower rank.
-    """
-    last = F.max("offset").over(Window.partitionBy("chunk_id"))
-    asks = found.withColumn("_last", last).where("offset < _last").select("chunk_id", (F.col("begin") + limit).alias("_pos"), F.lit(1).alias("_ask"), F.col("offset").alias("at"), "begin", F.lit(None).cast("bigint").alias("rank"))
-    places = found.select("chunk_id", F.col("offset").alias("_pos"), F.lit(0).alias("_ask"), F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("begin"), "rank")
-    upto = Window.partitionBy("chunk_id").orderBy("_pos", "_ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reach = {r: F.last(F.when((F.col("_ask") == 0) & (F.col("rank") >= r), F.col("_pos")), True).over(upto) for r in (BLOCK, BLANK, LINE, INSIDE)}
-    met = places.unionByName(asks).select("*", *(c.alias(f"_r{r}") for r, c in reach.items())).where("_ask = 1")
-    enough = F.col("at") + limit // 4
-    following = F.coalesce(
-        *(F.when(F.col(f"_r{r}") >= enough, F.col(f"_r{r}")) for r in (BLOCK, BLANK)),
-        *(F.when(F.col(f"_r{r}") > F.col("at"), F.col(f"_r{r}")) for r in (LINE, INSIDE)),
-    )
-    return met.select("chunk_id", "at", following.alias("next"), "begin")
+    if limit < 12:
+        raise ValueError("limit must be at least 12")
+    carried = ["symbols", "breadcrumbs"] if contents else []
+    first = F.coalesce("start_line", F.lit(1)).cast("bigint").alias("first_line")
+    rows = oversized(chunks, limit).select("content", "language", "file_path", first, "chunk_id", "indexed_at", *carried)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    span = SPAN + (", content:string" if contents else "")
+    made = rows.mapInArrow(_split(rows.columns, limit, overlap, contents), ", ".join(f"{n} {kinds[n]}" for n in rows.columns[1:]) + f", digest binary, pieces array<struct<{span}>>")
+    row = ["file_path", "language", "first_line", *carried, "pieces"]
+    return made.groupBy("chunk_id").agg(F.max(F.struct("indexed_at", "digest", *row)).alias("_r")).select("chunk_id", *(f"_r.{c}" for c in row))
 
 
-def cuts(step: DataFrame) -> DataFrame:
-    """``(chunk_id, at)``: the boundaries that are reached from offset 0 of each chunk, by squaring the successor table."""
-    jump = step.select("chunk_id", "at", "next")
-    reached = jump.where("at = 0").select("chunk_id", "at")
-    while True:
-        far = jump.select("chunk_id", "at", "next")
-        reached = cut(reached.unionByName(reached.join(far, ["chunk_id", "at"]).select("chunk_id", F.col("next").alias("at"))).distinct())
-        jump = cut(far.join(far.select("chunk_id", F.col("at").alias("next"), F.col("next").alias("_far")), ["chunk_id", "next"]).select("chunk_id", "at", F.col("_far").alias("next")))
-        if jump.isEmpty():
-            return reached
+def block_lines(split: DataFrame) -> DataFrame:
+    """``(chunk_id, line)``: the file's lines at which a top-level block starts, from the pieces of oversized chunks."""
+    return split.select("chunk_id", F.explode(F.flatten("pieces.block_lines")).alias("line"))
 
 
 def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -134,31 +174,12 @@ def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP)
 
     Every piece has at most ``limit`` code points; put together without their repeated lines the pieces are the chunk.
     Lines are those of the file.  A breadcrumb that names a symbol of the chunk goes to the pieces that hold the symbol's
-    line, any other to all pieces; null breadcrumbs become an empty list.  Repeated rows of a chunk count once.
+    line, any other to all pieces; null breadcrumbs become an empty list.
     """
-    if limit < 12:
-        raise ValueError("limit must be at least 12")
-    found = cut(boundaries(chunks, limit, overlap))
-    step = cut(successors(found, limit))
-    lines = found.select("chunk_id", F.col("offset").alias("at"), "line")
-    at = cuts(step).join(step, ["chunk_id", "at"])
-    spans = (
-        at.join(lines, ["chunk_id", "at"])
-        .join(lines.select("chunk_id", F.col("at").alias("next"), F.col("line").alias("_next_line")), ["chunk_id", "next"])
-        .join(lines.select("chunk_id", F.col("at").alias("begin"), F.col("line").alias("_begin_line")), ["chunk_id", "begin"])
-    )
-    pieces = spans.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("at", "next", "begin", "line", "_next_line", "_begin_line"))).alias("_p"))
-    once = oversized(chunks, limit).select("chunk_id", "file_path", "language", "content", "start_line", "symbols", "breadcrumbs").dropDuplicates(["chunk_id"])
-    rows = once.join(pieces, "chunk_id").select("*", F.posexplode("_p").alias("piece", "p"))
-    text = F.expr("substring(content, cast(p.begin as int) + 1, cast(p.next - p.begin as int))")
-    start = F.coalesce("start_line", F.lit(1)) + F.col("p._begin_line")
-    # A piece that ends before a line's first letter ends with the line above it.
-    ends_line = F.expr("substring(content, cast(p.next as int), 1) = '\n'") | (F.col("p.next") == F.char_length("content"))
-    ends = F.coalesce("start_line", F.lit(1)) + F.col("p._next_line") - F.when(ends_line & (F.col("p.next") < F.char_length("content")), 1).otherwise(0)
+    rows = pieces_by_chunk(chunks, limit, overlap).select("chunk_id", "file_path", "language", "symbols", "breadcrumbs", F.posexplode("pieces").alias("piece", "p"))
+    shaped = rows.select("chunk_id", "file_path", "language", "piece", "p.content", "p.start_line", "p.end_line", "symbols", "breadcrumbs", "p.repeated_lines")
     kept = F.expr(
         "filter(coalesce(breadcrumbs, array()), b -> not exists(coalesce(symbols, array()), s -> concat(s.kind, ' ', s.name) = b)"
         " or exists(symbols, s -> concat(s.kind, ' ', s.name) = b and s.line between start_line and end_line))"
     )
-    repeated = F.col("p.line") - F.col("p._begin_line")
-    shaped = rows.select("chunk_id", "file_path", "language", F.col("piece"), text.alias("content"), start.alias("start_line"), ends.alias("end_line"), "symbols", "breadcrumbs", repeated.alias("repeated_lines"))
     return shaped.select("chunk_id", "file_path", "language", "piece", "content", "start_line", "end_line", kept.alias("breadcrumbs"), "repeated_lines")

@@ -96,6 +96,31 @@ def test_pieces_fit_and_join(spark):
     assert splitting.split_chunks(table.limit(0)).count() == 0
 
 
+def test_squared_successors_equal_a_walk():
+    rng = random.Random(21)
+    texts = ["\n".join("w" * rng.choice((0, 3, 9, 400)) for _ in range(rng.randint(1, 200))) for _ in range(30)]
+    tables = [np.array(splitting.boundaries_of(t, [], 60, 3)) for t in texts]
+    base = np.cumsum([0, *(len(t) + 61 for t in texts)])
+    flat, which = np.concatenate(tables), np.repeat(np.arange(len(texts)), [len(t) for t in tables])
+    first = np.flatnonzero(np.diff(which, prepend=-1))
+    following = splitting.successors(base[which], *flat[:, [0, 1, 3]].T, 60)
+    walked = set()
+    for i in first.tolist():
+        while i not in walked:
+            walked.add(i)
+            assert which[following[i]] == which[i] and flat[following[i], 0] - flat[i, 3] <= 60
+            i = int(following[i])
+    assert set(np.flatnonzero(splitting.cuts(following, first)).tolist()) == walked
+
+
+def test_block_starts_come_with_the_pieces(spark):
+    text = "import a\n\n" + "".join(f"def f{i}():\n    return {i}\n\n" for i in range(200))
+    late = spark.sql("SELECT timestamp'2025-01-02' AS t").collect()[0].t
+    table = [chunk(1, content=text, start=11), (*chunk(1, content=text + "X = 1\n", start=11)[:-1], late), chunk(2, content="x\n" * 10), chunk(3, content=None)]
+    split = splitting.pieces_by_chunk(spark.createDataFrame(table, CHUNK), contents=False)
+    assert rows(splitting.block_lines(split)) == [(1, 13 + 3 * i) for i in range(201)] and split.count() == 1
+
+
 def test_breadcrumbs_go_with_their_lines(spark):
     text = "\n".join(f"line {i}" for i in range(40))
     table = spark.createDataFrame([chunk(1, content=text, symbols=[("a", "def", 1), ("b", "def", 39)], breadcrumbs=["def a", "def b", "module m"])], CHUNK)
