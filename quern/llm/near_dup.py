@@ -1,9 +1,11 @@
-"""Problem 6: chunks that are edited copies of one another, by MinHash LSH with exact verification.
-
-A chunk is the set of its word shingles.  Chunks with the same set are one class and only one of them is compared.  Each
-tree is one band of minimum hashes, all of one length: the longest with which pairs at the threshold are found with the
-target probability (``prefix_length``).  Classes that agree in a band are candidates.
-Candidate pairs are then verified on the shingle sets themselves.
+"""Problem 6: chunks that are edited copies of one another, by a MinHash LSH forest with exact verification.
+
+A chunk is the set of its word shingles.  Chunks with the same set are one class and only one of them is compared.  A
+tree of the forest gives each class a string of minimum hashes; sorted, the strings are a prefix trie.  Matching starts
+from the longest prefix.  What matches is verified on the shingle sets themselves, and from the similarities that are
+found follows which share of all links this length finds; while that is below the target, the prefix is shortened by one
+hash and the pairs that match only now are verified.  ``prefix_length`` is the shortest prefix that is ever needed: with
+it, a pair just at the threshold is a candidate with the probability ``FLOOR``.
 """
 
 from __future__ import annotations
@@ -17,27 +19,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.tables import bucketed
 from quern.session import cut
 
 #: Shingles of this many words; pairs from this similarity on.
 SHINGLE = 3
 THRESHOLD = 0.6
-#: Trees of the forest and the hashes of one tree's string.
+#: Trees of the forest, and the hashes that a tree's string has beyond the shortest prefix, of so many bits each.
 TREES = 24
-DEPTH = 8
-#: The probability with which a pair at the threshold must become a candidate.
-RECALL = 0.99
+LEVELS = 3
+LEVEL_BITS = 21
+#: The probability with which a pair at the threshold is a candidate at the shortest prefix.
+FLOOR = 0.99
+#: The share of all links at which prefixes are no longer shortened.
+RECALL = 0.999
 SEED = 7
 
 _WORDS = re.compile(r"[A-Za-z0-9_]+").findall
 
 
-def prefix_length(threshold: float, trees: int, depth: int, recall: float) -> int:
-    """The longest prefix with which ``trees`` trees find pairs at the threshold with the target probability."""
-    for r in range(depth, 0, -1):
-        if 1 - (1 - threshold**r) ** trees >= recall:
-            return r
-    return 1
+def prefix_length(threshold: float, trees: int = TREES, floor: float = FLOOR, longest: int = 32) -> int:
+    """The longest prefix with which a pair at the threshold meets in one of the trees with the probability ``floor``."""
+    return next((r for r in range(longest, 0, -1) if 1 - (1 - threshold**r) ** trees >= floor), 1)
 
 
 class _WordHashes(dict):
@@ -75,7 +78,9 @@ def minimum_hashes(flat: np.ndarray, starts: np.ndarray, count: int, seed: int =
     return out
 
 
-def _forest_rows(key: str, trees: int, length: int, size: int):
+def _forest_rows(key: str, trees: int, least: int, size: int):
+    length = least + LEVELS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _WordHashes()
         for batch in batches:
@@ -88,19 +93,22 @@ def _forest_rows(key: str, trees: int, length: int, size: int):
                 # The class: equal sets, or for texts too short for a shingle equal texts.
                 digests = [xxhash.xxh128_digest(s.tobytes()) if len(s) else xxhash.xxh128_digest(t.encode("utf-8", "replace"), seed=1) for s, t in zip(sets, part)]
                 full = np.flatnonzero([len(s) > 0 for s in sets])
-                prefixes = np.zeros((len(part), trees), dtype=np.int64)
+                prefixes, tails = np.zeros((2, len(part), trees), dtype=np.int64)
                 if len(full):
                     lengths = np.array([len(sets[i]) for i in full])
                     minima = minimum_hashes(np.concatenate([sets[i] for i in full]), np.cumsum(lengths) - lengths, trees * length)
                     for t in range(trees):
                         mixed = np.full(len(full), t + 1, dtype=np.uint64)
-                        for j in range(length):
+                        for j in range(least):
                             mixed = (mixed ^ minima[t * length + j]) * np.uint64(0x9E3779B97F4A7C15)
                             mixed ^= mixed >> np.uint64(31)
                         prefixes[full, t] = mixed.view(np.int64)
+                        for j in range(least, length):
+                            tails[full, t] = tails[full, t] << LEVEL_BITS | minima[t * length + j] >> (32 - LEVEL_BITS)
                 offsets = np.where(np.isin(np.arange(len(part)), full), trees, 0).cumsum()
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], offsets]).astype(np.int32), prefixes[full].ravel())
-                yield pa.RecordBatch.from_arrays([keys.slice(at, len(part)), pa.array(digests, pa.binary()), lists], names=[key, "class", "nodes"])
+                strings = pa.StructArray.from_arrays([pa.array(prefixes[full].ravel()), pa.array(tails[full].ravel())], names=["node", "tail"])
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], offsets]).astype(np.int32), strings)
+                yield pa.RecordBatch.from_arrays([keys.slice(at, len(part)), pa.array(digests, pa.binary()), lists], names=[key, "class", "strings"])
 
     return run
 
@@ -117,52 +125,116 @@ def _shingle_rows(key: str, size: int):
     return run
 
 
-def classes(chunks: DataFrame, threshold: float = THRESHOLD, key: str = "chunk_id", text: str = "content", size: int = SHINGLE, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
-    """``(key, class, nodes)``: each key once, with the class of its set and its nodes in the trees.
+def classes(chunks: DataFrame, threshold: float = THRESHOLD, key: str = "chunk_id", text: str = "content", size: int = SHINGLE, trees: int = TREES) -> DataFrame:
+    """``(key, class, strings)``: each key once, with the class of its set and its string in every tree.
 
-    Rows without a key and null or blank texts take no part.  Repeated rows of one key count once.
+    A string is the node of its shortest prefix, which carries the tree, and the hashes that follow.  Rows without a key
+    and null or blank texts take no part.  Repeated rows of one key count once.
     """
-    length = prefix_length(threshold, trees, depth, recall)
     rows = chunks.select(F.col(key), F.col(text).alias("_text")).where(F.col(key).isNotNull() & F.col("_text").rlike(r"\S"))
     kind = chunks.schema[key].dataType.simpleString()
-    made = rows.mapInArrow(_forest_rows(key, trees, length, size), f"`{key}` {kind}, class binary, nodes array<bigint>")
-    return made.groupBy(key).agg(F.min(F.struct("class", "nodes")).alias("_m")).select(key, "_m.class", "_m.nodes")
+    made = rows.mapInArrow(_forest_rows(key, trees, prefix_length(threshold, trees), size), f"`{key}` {kind}, class binary, strings array<struct<node:bigint,tail:bigint>>")
+    return made.groupBy(key).agg(F.min(F.struct("class", "strings")).alias("_m")).select(key, "_m.class", "_m.strings")
+
+
+def trie_pairs(node: np.ndarray, tail: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(i, j, length)`` of the places in the sorted strings that share a node, with the length of their common prefix."""
+    i, step = np.arange(len(node) - 1), 1
+    while len(i):
+        i = i[node[i] == node[np.minimum(i + step, len(node) - 1)]]
+        i = i[i + step < len(node)]
+        if len(i):
+            differ = tail[i] ^ tail[i + step]
+            length = least + sum((differ < 1 << (LEVEL_BITS * k)).astype(np.int32) for k in range(LEVELS))
+            yield i, i + step, length.astype(np.int32)
+        step += 1
+
 
+def _tries(least: int, kind: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            node, tail, head = (table.column(i).to_numpy() for i in range(3))
+            for i, j, length in trie_pairs(node, tail, least):
+                a, b = head[i], head[j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), kind), pa.array(np.maximum(a, b), kind), pa.array(length)], names=["head_a", "head_b", "length"])
 
-def candidate_pairs(members: DataFrame, key: str = "chunk_id") -> tuple[DataFrame, DataFrame]:
-    """``(classes, pairs)``: each class's smallest key and its nodes, and the distinct pairs of such keys that share a node."""
-    heads = members.groupBy("class").agg(F.min(F.struct(F.col(key), "nodes")).alias("_h")).select(F.col(f"_h.{key}").alias("head"), "_h.nodes")
-    # The hash of a node carries its tree, so one column is the join key; AQE splits nodes that many classes share.
-    nodes = heads.select("head", F.explode("nodes").alias("node"))
-    a, b = nodes.alias("a"), nodes.alias("b")
-    pairs = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.head") < F.col("b.head"))).select(F.col("a.head").alias("head_a"), F.col("b.head").alias("head_b"))
-    return heads, pairs.distinct()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            # The last node may go on in the next batch.
+            if held[0].column(0)[0] == batch.column(0)[batch.num_rows - 1]:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            node = table.column(0).to_numpy()
+            edge = len(node) - int(np.argmax(node[::-1] != node[-1]))
+            yield from pairs(table.slice(0, edge))
+            held = table.slice(edge).to_batches()
+        if held:
+            yield from pairs(pa.Table.from_batches(held).combine_chunks())
+
+    return run
 
 
-def similar_heads(chunks: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, key: str = "chunk_id", text: str = "content", size: int = SHINGLE) -> DataFrame:
-    """``(head_a, head_b, similarity)`` of the candidate pairs whose sets are at least so similar, by exact intersection."""
-    wanted = pairs.select(F.col("head_a").alias(key)).union(pairs.select(F.col("head_b").alias(key))).distinct()
+def candidate_pairs(members: DataFrame, least: int, key: str = "chunk_id") -> DataFrame:
+    """``(head_a, head_b, length)``: the pairs of classes, by their smallest keys, that share a node of some tree, and their longest common prefix.
+
+    The trees' strings are sorted within the nodes of the shortest prefix, so every longer match is a stretch of a node.
+    Keys are integers.
+    """
+    heads = members.groupBy("class").agg(F.min(F.struct(F.col(key), "strings")).alias("_h")).select(F.col(f"_h.{key}").alias("head"), "_h.strings")
+    strings = heads.select(F.inline("strings"), "head").select("node", "tail", F.col("head").cast("bigint"))
+    tries = strings.repartition("node").sortWithinPartitions("node", "tail")
+    return tries.mapInArrow(_tries(least, pa.int64()), "head_a bigint, head_b bigint, length int").groupBy("head_a", "head_b").agg(F.max("length").alias("length"))
+
+
+def shingle_sets(chunks: DataFrame, pairs: DataFrame, key: str = "chunk_id", text: str = "content", size: int = SHINGLE) -> DataFrame:
+    """``(head, shingles)`` of the classes that occur in the pairs, in buckets of ``head``."""
+    wanted = pairs.select(F.inline(F.array(F.struct(F.col("head_a").alias(key)), F.struct(F.col("head_b").alias(key))))).distinct()
     kind = chunks.schema[key].dataType.simpleString()
     texts = chunks.select(F.col(key), F.col(text).alias("_text")).where(F.col("_text").isNotNull()).join(wanted, key, "left_semi")
     sets = texts.mapInArrow(_shingle_rows(key, size), f"`{key}` {kind}, shingles array<bigint>").dropDuplicates([key])
-    left, right = sets.select(F.col(key).alias("head_a"), F.col("shingles").alias("_a")), sets.select(F.col(key).alias("head_b"), F.col("shingles").alias("_b"))
-    both = pairs.join(left, "head_a").join(right, "head_b")
+    return bucketed(sets.select(F.col(key).cast("bigint").alias("head"), "shingles"), "head")
+
+
+def similar_heads(sets: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``(head_a, head_b, similarity)`` of the pairs whose sets are at least so similar, by exact intersection."""
+    left, right = sets.select(F.col("head").alias("head_a"), F.col("shingles").alias("_a")), sets.select(F.col("head").alias("head_b"), F.col("shingles").alias("_b"))
+    both = pairs.select("head_a", "head_b").join(left, "head_a").join(right, "head_b")
     shared = F.size(F.array_intersect("_a", "_b"))
     similarity = shared / (F.size("_a") + F.size("_b") - shared)
     return both.select("head_a", "head_b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD, key: str = "chunk_id", text: str = "content", size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+def found_share(links: DataFrame, length: int, trees: int) -> float:
+    """The share of all links that prefixes of this length find, estimated from the links found: each stands for as many as
+    its similarity would need to be found once.  0 without links."""
+    chance = 1 - F.pow(1 - F.pow("similarity", F.lit(length)), F.lit(trees))
+    n, total = links.agg(F.count(F.lit(1)), F.sum(1 / chance)).collect()[0]
+    return n / total if n else 0.0
+
+
+def near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD, key: str = "chunk_id", text: str = "content", size: int = SHINGLE, trees: int = TREES, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """``(members, links)``: ``(key, head)`` with the class head of every key, and ``(head_a, head_b, similarity)``.
 
     The links join class heads only; copies are members of one class and need no links.  Together they lose no pair that
     the forest finds, and nothing is capped.
     """
-    made = cut(classes(chunks, threshold, key, text, size))
+    made = cut(classes(chunks, threshold, key, text, size, trees))
     heads = made.groupBy("class").agg(F.min(key).alias("head"))
     members = made.select(key, "class").join(heads, "class").select(key, "head")
-    _, pairs = candidate_pairs(made, key)
-    return members, similar_heads(chunks, cut(pairs), threshold, key, text, size)
+    least = prefix_length(threshold, trees)
+    pairs = cut(candidate_pairs(made, least, key))
+    sets = shingle_sets(chunks, pairs, key, text, size)
+    links = None
+    for length in range(least + LEVELS, least - 1, -1):
+        matched = cut(similar_heads(sets, pairs.where(F.col("length") == length), threshold))
+        links = matched if links is None else links.unionByName(matched)
+        if length > least and found_share(links, length, trees) >= recall:
+            break
+    return members, links
 
 
 def all_pairs(members: DataFrame, links: DataFrame, key: str = "chunk_id") -> DataFrame:

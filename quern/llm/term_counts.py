@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.packed import term_totals
+from quern.llm.tables import write_bucketed
 from quern.session import checkpoint_dir
 
 #: A term that fewer records hold is ``rare``; one that more than this share of the records hold is ``common``.
@@ -118,7 +119,7 @@ class CountStore:
         """Merge one batch of postings."""
         delta = merge_deltas(batch_deltas(added, changed, deleted, rows))
         if self.version < 0:
-            merged = delta.where("records > 0").repartition(self.buckets, "term")
+            merged = delta.where("records > 0")
         else:
             old = self.read().select("term", F.col("occurrences").alias("_o"), F.col("records").alias("_r"))
             added_up = lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
@@ -128,7 +129,7 @@ class CountStore:
                 .where("records > 0")
             )
         step = self.version + 1
-        merged.write.bucketBy(self.buckets, "term").sortBy("term").option("path", f"{self.folder}/v{step}").saveAsTable(self._table(step))
+        write_bucketed(merged, "term", self.buckets, f"{self.folder}/v{step}", self._table(step))
         self.version = step
         return self
 

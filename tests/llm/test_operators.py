@@ -287,6 +287,23 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_dup.all_pairs(*near_dup.near_duplicates(table.limit(0))).count() == 0
 
 
+def test_tries_hold_all_pairs_of_a_node():
+    rng = random.Random(61)
+    strings = sorted((rng.randrange(40), *(rng.randrange(3) for _ in range(near_dup.LEVELS))) for _ in range(400))
+    node = np.array([s[0] for s in strings])
+    tail = np.array([sum(h << near_dup.LEVEL_BITS * k for k, h in enumerate(reversed(s[1:]))) for s in strings])
+    got = {(x, y): n for i, j, length in near_dup.trie_pairs(node, tail, 3) for x, y, n in zip(i.tolist(), j.tolist(), length.tolist())}
+    common = lambda s, t: next((k for k in range(1, len(s)) if s[k] != t[k]), len(s)) - 1
+    assert got == {(x, y): 3 + common(strings[x], strings[y]) for x in range(400) for y in range(x + 1, 400) if node[x] == node[y]}
+
+
+def test_prefixes_are_shortened_to_the_target(spark):
+    assert near_dup.prefix_length(0.6, 24, 0.99) == 3 and near_dup.prefix_length(0.9, 24, 0.99) > 8 and near_dup.prefix_length(0.01) == 1
+    links = spark.createDataFrame([(0, 1, 1.0), (0, 2, 0.99), (1, 2, 0.6)], "head_a bigint, head_b bigint, similarity double")
+    shares = [near_dup.found_share(links, length, 24) for length in (3, 4, 5, 6)]
+    assert shares == sorted(shares, reverse=True) and shares[0] > 0.998 and near_dup.found_share(links.limit(0), 3, 24) == 0
+
+
 def test_groups_follow_long_chains(spark):
     rng = random.Random(8)
     ids = rng.sample(range(10_000), 600)
