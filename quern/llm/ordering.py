@@ -45,7 +45,8 @@ def numbered(df: DataFrame, by: str, order: list[str | Column], name: str = "ran
     begun before it, so the driver needs one count per range.  ``order`` must leave no ties that matter; rows with a
     null ``by`` are a group too.
     """
-    ranges = cut(df.repartitionByRange(by, *order).sortWithinPartitions(by, *order)).withColumn("_range", F.spark_partition_id())
+    # Ranges are sampled first, so what leads to the rows is written once before.
+    ranges = cut(cut(df).repartitionByRange(by, *order).sortWithinPartitions(by, *order)).withColumn("_range", F.spark_partition_id())
     group = F.struct(F.col(by))
     ends = ranges.groupBy("_range").agg(F.min(group).alias("first"), F.max(group).alias("last"), F.count(F.lit(1)).alias("n"))
     tails = ranges.join(F.broadcast(ends.select(F.col("_range").alias("_r"), "last")), (F.col("_range") == F.col("_r")) & (group == F.col("last")))

@@ -140,7 +140,7 @@ WITH latest AS (
 ), filled AS (
   SELECT query_id, retriever, chunk_id, coalesce(score,
     last_value(score IGNORE NULLS) OVER (PARTITION BY query_id, retriever ORDER BY rank DESC NULLS LAST, chunk_id DESC ROWS UNBOUNDED PRECEDING),
-    last_value(score IGNORE NULLS) OVER (PARTITION BY query_id, retriever ORDER BY rank ASC NULLS LAST, chunk_id DESC ROWS UNBOUNDED PRECEDING), 0.0) AS score FROM kept
+    last_value(score IGNORE NULLS) OVER (PARTITION BY query_id, retriever ORDER BY rank ASC NULLS LAST, chunk_id ROWS UNBOUNDED PRECEDING), 0.0) AS score FROM kept
 ), med AS (
   SELECT query_id, retriever, quantile_disc(score, 0.5) AS m FROM filled GROUP BY ALL
 ), away AS (

@@ -180,17 +180,22 @@ def test_outliers_keep_their_order(spark):
     assert got == sorted(range(len(scores)), key=lambda c: -scores[c])
 
 
-def test_missing_scores_come_from_the_next_rank(spark):
+def test_hot_queries_come_to_the_same_result(spark):
     rng = random.Random(4)
-    listed = [(1, c, "bm25", None if rng.random() < 0.9 and 3 < c else 5000.0 - c, c // 2, None) for c in range(1, 4000)] + [(2, 1, "symbol", None, 3, None), (2, 2, "symbol", None, None, None)]
+    listed = [(q, c, r, None if rng.random() < 0.7 and 3 < c else rng.choice((1, 900)) * rng.random(), None if rng.random() < 0.1 else c // 2, None) for q in (1, 2) for r in ("bm25", "semantic", "symbol") for c in rng.sample(range(4000), 2000)]
+    listed += [(3, 1, "symbol", None, 3, None), (3, 2, "symbol", None, None, None), (None, 2, "symbol", 1.0, 1, None)]
     table = spark.createDataFrame(listed, "query_id bigint, chunk_id bigint, retriever string, score double, rank int, logged_at timestamp")
-    got = {(r.query_id, r.chunk_id): r.score for r in fusion.clean_evidence(table).collect()}
-    own = sorted((r, c, s) for q, c, _, s, r, _ in listed if q == 1)
-    for i, (_, c, s) in enumerate(own):
-        after = next((x for _, _, x in own[i:] if x is not None), None)
-        before = next((x for _, _, x in sorted(own[:i], key=lambda o: (-o[0], o[1])) if x is not None), None)
-        assert got[1, c] == (s if s is not None else after if after is not None else before)
-    assert got[2, 1] == 0.0 and (2, 2) not in got
+    q = spark.createDataFrame([(1, 0.3)], "query_id bigint, alpha double")
+    assert fusion.hot_queries(table.where("query_id is not null"), 0) and not fusion.hot_queries(table)
+    assert rows(fusion.fuse(table, q, hot_rows=0)) == rows(fusion.fuse(table, q))
+    # Scores are taken from the following rank, else from the preceding one.
+    flat = table.withColumn("score", F.when(F.col("chunk_id") == 11, 7.0).when(F.col("chunk_id") == 500, 3.0)).withColumn("rank", F.col("chunk_id").cast("int"))
+    z = {}
+    for form in (fusion.standardised, fusion.standardised_in_stretches):
+        got = {r.chunk_id: round(r.z, 9) for r in form(fusion.latest_evidence(flat.where("query_id = 1 and retriever = 'bm25'").unionByName(spark.createDataFrame([(1, c, "bm25", float(c % 11 - 4), c, None) for c in (11, 500)], flat.schema)))).collect()}
+        z.setdefault("first", got)
+        assert got == z["first"] and len({v for c, v in got.items() if c < 11}) <= 1 and len({v for c, v in got.items() if 11 < c}) <= 1
+    assert fusion.fuse(table.where("query_id = 3"), q).count() == 1
 
 
 def test_places_of_a_group_that_fills_the_table(spark):
