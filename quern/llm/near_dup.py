@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.tables import bucketed
@@ -34,6 +34,8 @@ FLOOR = 0.99
 #: The share of all links at which prefixes are no longer shortened.
 RECALL = 0.999
 SEED = 7
+#: Bits of the filter that is sent to all workers (2 MB).
+FILTER_BITS = 1 << 24
 
 _WORDS = re.compile(r"[A-Za-z0-9_]+").findall
 
@@ -113,14 +115,20 @@ def _forest_rows(key: str, trees: int, least: int, size: int):
     return run
 
 
-def _shingle_rows(key: str, size: int):
+def _shingle_rows(key: str, size: int, bitmap: bytes):
+    bits = np.frombuffer(bitmap, dtype=np.uint8)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _WordHashes()
         for batch in batches:
-            sets = [shingle_hashes(t, codes, size).view(np.int64) for t in batch.column(1).to_pylist()]
+            bit = batch.column(2).to_numpy()
+            asked = pa.array(np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1))
+            sets = [shingle_hashes(t, codes, size).view(np.int64) for t in batch.column(1).take(asked).to_pylist()]
+            if len(codes) > 2_000_000:
+                codes.clear()
             edges = np.cumsum([0, *(len(s) for s in sets)])
             lists = pa.ListArray.from_arrays(edges.astype(np.int32), np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(asked), lists], names=[key, "shingles"])
 
     return run
 
@@ -190,13 +198,26 @@ def candidate_pairs(members: DataFrame, least: int, key: str = "chunk_id") -> Da
     return tries.mapInArrow(_tries(least, pa.int64()), "head_a bigint, head_b bigint, length int").groupBy("head_a", "head_b").agg(F.max("length").alias("length"))
 
 
+def _bitmap(keys: DataFrame, key: str) -> tuple[Column, bytes]:
+    """``(bit of a key, bits of all keys)``: a filter of ``FILTER_BITS``, whatever the number of keys."""
+    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS))
+    word = 32_768  # bits of one bitmap of the aggregate function
+    parts = keys.select(bit.alias("b")).groupBy(F.floor(F.col("b") / word).alias("w")).agg(F.bitmap_construct_agg(F.col("b") % word).alias("m")).collect()
+    held = {r.w: bytes(r.m) for r in parts}
+    return bit, b"".join(held.get(w, bytes(word // 8)) for w in range(FILTER_BITS // word))
+
+
 def shingle_sets(chunks: DataFrame, pairs: DataFrame, key: str = "chunk_id", text: str = "content", size: int = SHINGLE) -> DataFrame:
-    """``(head, shingles)`` of the classes that occur in the pairs, in buckets of ``head``."""
-    wanted = pairs.select(F.inline(F.array(F.struct(F.col("head_a").alias(key)), F.struct(F.col("head_b").alias(key))))).distinct()
-    kind = chunks.schema[key].dataType.simpleString()
-    texts = chunks.select(F.col(key), F.col(text).alias("_text")).where(F.col("_text").isNotNull()).join(wanted, key, "left_semi")
-    sets = texts.mapInArrow(_shingle_rows(key, size), f"`{key}` {kind}, shingles array<bigint>").dropDuplicates([key])
-    return bucketed(sets.select(F.col(key).cast("bigint").alias("head"), "shingles"), "head")
+    """``(head, shingles)`` of the classes that occur in the pairs, in buckets of ``head``.
+
+    Texts that no pair asks for are passed over where they are read, by a filter of fixed size; what that lets through in
+    error is dropped by an exact join of the sets.
+    """
+    wanted = cut(pairs.select(F.explode(F.array("head_a", "head_b")).alias("head")).distinct())
+    bit, bitmap = _bitmap(wanted, "head")
+    texts = chunks.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("head"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    sets = texts.select("head", "_text", bit).mapInArrow(_shingle_rows("head", size, bitmap), "head bigint, shingles array<bigint>")
+    return bucketed(sets.join(wanted, "head", "left_semi").dropDuplicates(["head"]), "head")
 
 
 def similar_heads(sets: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
