@@ -4,6 +4,10 @@ A text is cut into words by the tokenizer's pattern.  Words repeat, so each batc
 not met: their bytes become rows ``(word, pos, id)`` of an embedded SQL engine, whose recursive query joins neighbours
 to the merge table and contracts the pairs of minimum rank of every word until no word has a pair left.  An ordered
 aggregation turns the rows back into one list of ids per word, and the lists are strung together per text.
+
+Long words are taken in windows, so that neither time nor memory grows faster than the word.  Tokens are those of the
+whole word if and only if every two neighbours are what their joined bytes encode to, so only the seams between windows
+are looked at, and the tokens around a seam that does not hold are encoded again, in growing reach.
 """
 
 from __future__ import annotations
@@ -56,31 +60,27 @@ WITH RECURSIVE step(word, i, id, next_id, done) AS (
 SELECT word, list(id ORDER BY i) AS ids FROM step WHERE done GROUP BY word ORDER BY word
 """
 
-#: Longer words, among them very long runs of one letter, have all their pairs of minimum rank contracted in one step:
-#: from the left, every second one within a run of overlapping pairs.  That equals taking the leftmost again and again, as a pair that a contraction creates
-#: always has a higher rank than the contraction itself.
+#: Bytes of the windows that longer words are taken in.
+WINDOW = 32
+
+#: One step over pieces that are too long for the indices above: all pairs of a piece's minimum rank are contracted, from
+#: the left, every second one within a run of overlapping pairs.  That equals taking the leftmost again and again, as a
+#: pair that a contraction creates always has a higher rank than the contraction itself.
 _ALL_LEAST = """
-WITH RECURSIVE step(n, word, pos, id) AS (
-  SELECT 0, word, pos, id FROM seed
-  UNION ALL
-  (
-    WITH pairs AS (
-      SELECT n, word, pos, id, lead(id) OVER w AS next_id, row_number() OVER w AS i FROM step WINDOW w AS (PARTITION BY word ORDER BY pos)
-    ), ranked AS (
-      SELECT p.*, m.rank, m.merged, min(m.rank) OVER (PARTITION BY p.word) AS least
-      FROM pairs p LEFT JOIN merges m ON m.pair = p.id::BIGINT * 131072 + p.next_id
-    ), hits AS (
-      SELECT *, CASE WHEN rank = least THEN i - row_number() OVER (PARTITION BY word, rank = least ORDER BY i) END AS run
-      FROM ranked WHERE least IS NOT NULL
-    ), chosen AS (
-      SELECT *, run IS NOT NULL AND (row_number() OVER (PARTITION BY word, run ORDER BY i)) % 2 = 1 AS here FROM hits
-    ), shifted AS (
-      SELECT *, lag(here, 1, false) OVER (PARTITION BY word ORDER BY i) AS eaten FROM chosen
-    )
-    SELECT n + 1, word, pos, CASE WHEN here THEN merged ELSE id END FROM shifted WHERE NOT eaten
-  )
-), ends AS (SELECT word, max(n) AS n FROM step GROUP BY word)
-SELECT s.word, list(s.id ORDER BY s.pos) AS ids FROM step s JOIN ends e ON s.word = e.word AND s.n = e.n GROUP BY s.word ORDER BY s.word
+CREATE OR REPLACE TEMP TABLE later AS
+WITH pairs AS (
+  SELECT word, pos, id, lead(id) OVER w AS next_id, row_number() OVER w AS i FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)
+), ranked AS (
+  SELECT p.*, m.rank, m.merged, min(m.rank) OVER (PARTITION BY p.word) AS least
+  FROM pairs p LEFT JOIN merges m ON m.pair = p.id::BIGINT * 131072 + p.next_id
+), hits AS (
+  SELECT *, CASE WHEN rank = least THEN i - row_number() OVER (PARTITION BY word, rank = least ORDER BY i) END AS run FROM ranked
+), chosen AS (
+  SELECT *, run IS NOT NULL AND (row_number() OVER (PARTITION BY word, run ORDER BY i)) % 2 = 1 AS here FROM hits
+), shifted AS (
+  SELECT *, lag(here, 1, false) OVER (PARTITION BY word ORDER BY i) AS eaten FROM chosen
+)
+SELECT word, pos, CASE WHEN here THEN merged ELSE id END AS id FROM shifted WHERE NOT eaten
 """
 
 
@@ -134,8 +134,17 @@ class WordEncoder:
 
         if len(merges) and merges.max() >= 131072:
             raise ValueError("ids and ranks must be below 131072")
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "512MB"})
+        # Without a folder to spill to: what a query holds is bounded by BYTES_A_QUERY or the longest piece.
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
         self.of_byte = of_byte
+        self.token_bytes: dict[int, bytes] = {int(t): bytes([b]) for b, t in enumerate(of_byte)}
+        for x, y, _, merged in merges.tolist():
+            self.token_bytes[merged] = self.token_bytes[x] + self.token_bytes[y]
+        # Whether some token holds the two bytes side by side; elsewhere a word can be cut without changing its tokens.
+        self.joined = np.zeros(65536, dtype=bool)
+        for t in self.token_bytes.values():
+            for x, y in zip(t, t[1:]):
+                self.joined[x * 256 + y] = True
         wide = merges.astype(np.int64)
         merge_rows = pa.table({"pair": wide[:, 0] * 131072 + wide[:, 1], "rank": wide[:, 2], "merged": wide[:, 3]})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
@@ -148,9 +157,11 @@ class WordEncoder:
         self.codes, self.word_codes = _Codes(), _Codes()
         self.ids, self.starts = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
         self.word_ids, self.word_starts = self.ids, self.starts
+        self.pieces: dict[bytes, np.ndarray] = {}
+        self.holds: dict[int, bool] = {}
 
-    def solve(self, query: str, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """``(sizes, ids)`` of the words."""
+    def solve(self, raw: list[bytes], short: bool) -> list[np.ndarray]:
+        """The ids of the pieces."""
         sizes = np.array([len(r) for r in raw])
         ids = self.of_byte[np.frombuffer(b"".join(raw), dtype=np.uint8)]
         follow = np.append(ids[1:], -1)
@@ -163,23 +174,84 @@ class WordEncoder:
                 "next_id": follow.astype(np.int32),
             }
         )
-        lists = self.db.sql(query).to_arrow_table()["ids"].combine_chunks()
+        if short:
+            found = self.db.sql(_LEFTMOST)
+        else:
+            # Only the last step is kept.
+            self.db.execute("CREATE OR REPLACE TEMP TABLE state AS SELECT word, pos, id FROM seed")
+            rows, left = int(sizes.sum()) + 1, int(sizes.sum())
+            while left < rows:
+                rows, left = left, self.db.execute(_ALL_LEAST).fetchone()[0]
+                self.db.execute("DROP TABLE state; ALTER TABLE later RENAME TO state")
+            found = self.db.sql("SELECT word, list(id ORDER BY pos) AS ids FROM state GROUP BY word ORDER BY word")
+        lists = found.to_arrow_table()["ids"].combine_chunks()
         offsets = lists.offsets.to_numpy()
-        return np.diff(offsets), lists.values.to_numpy()[offsets[0] : offsets[-1]]
+        return np.split(lists.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int32), (offsets - offsets[0])[1:-1])
+
+    def encode_pieces(self, raw: list[bytes]) -> list[np.ndarray]:
+        """The ids of byte strings, of which each distinct one is encoded once."""
+        new = list(dict.fromkeys(r for r in raw if r not in self.pieces))
+        for short in (True, False):
+            part = [r for r in new if (len(r) <= SHORT) == short]
+            edges = np.flatnonzero(np.diff(np.cumsum([len(r) for r in part]) // BYTES_A_QUERY)) + 1 if part else []
+            for a, b in zip([0, *edges], [*edges, len(part)]):
+                if a < b:
+                    self.pieces.update(zip(part[a:b], self.solve(part[a:b], short)))
+        return [self.pieces[r] for r in raw]
+
+    def torn(self, ids: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+        """Of the gaps after the tokens ``gaps`` those whose two tokens are not what their joined bytes encode to."""
+        pair = ids[gaps].astype(np.int64) * 131072 + ids[gaps + 1]
+        new = [p for p in np.unique(pair).tolist() if p not in self.holds]
+        for p, got in zip(new, self.encode_pieces([self.token_bytes[p // 131072] + self.token_bytes[p % 131072] for p in new])):
+            self.holds[p] = len(got) == 2 and got[0] == p // 131072 and got[1] == p % 131072
+        return gaps[[not self.holds[p] for p in pair.tolist()]] if len(gaps) else gaps
+
+    def encode_long(self, raw: list[bytes]) -> list[np.ndarray]:
+        """The ids of long words, by windows and mended seams."""
+        windows, owner, seams = [], [], []
+        for w, r in enumerate(raw):
+            b = np.frombuffer(r, dtype=np.uint8).astype(np.int64)
+            edges = [0, *(np.flatnonzero(~self.joined[b[:-1] * 256 + b[1:]]) + 1).tolist(), len(r)]
+            for x, y in zip(edges, edges[1:]):
+                for z in range(x, y, WINDOW):
+                    windows.append(r[z : min(y, z + WINDOW)])
+                    owner.append(w)
+                    seams.append(z + WINDOW < y)
+        lists = self.encode_pieces(windows)
+        sizes = np.array([len(x) for x in lists])
+        ids, word = np.concatenate(lists), np.repeat(owner, sizes)
+        gaps, reach = (np.cumsum(sizes) - 1)[np.array(seams)], 2
+        while len(torn := self.torn(ids, gaps)):
+            low = np.maximum(torn - reach + 1, np.searchsorted(word, word[torn]))
+            high = np.minimum(torn + reach + 1, np.searchsorted(word, word[torn], side="right"))
+            # Regions that overlap are one.
+            first = np.flatnonzero(np.concatenate([[True], low[1:] >= np.maximum.accumulate(high)[:-1]]))
+            low, high = low[first], np.maximum.reduceat(high, first)
+            mended = self.encode_pieces([b"".join(self.token_bytes[t] for t in ids[x:y].tolist()) for x, y in zip(low, high)])
+            sizes = np.array([len(x) for x in mended])
+            moved = np.cumsum(sizes - (high - low))
+            kept = np.ones(len(ids), dtype=bool)
+            for x, y in zip(low, high):
+                kept[x:y] = False
+            begin, own = low + moved - (sizes - (high - low)), word[low]
+            order = np.argsort(np.concatenate([np.flatnonzero(kept), np.repeat(low, sizes)]), kind="stable")
+            ids = np.concatenate([ids[kept], *mended])[order]
+            word = np.concatenate([word[kept], np.repeat(own, sizes)])[order]
+            gaps = np.unique(np.concatenate([begin - 1, begin + sizes - 1]))
+            gaps = gaps[(gaps >= 0) & (gaps + 1 < len(ids))]
+            gaps, reach = gaps[word[gaps] == word[gaps + 1]], reach * 2
+        return np.split(ids, np.searchsorted(word, np.arange(1, len(raw))))
 
     def learn_words(self, words: list[str]) -> None:
         """Encode new words; their lists follow on those of the words met before."""
         raw = [w.encode("utf-8", "replace") for w in words]
-        short = np.array([len(r) <= SHORT for r in raw])
-        sizes, parts = np.zeros(len(raw), dtype=np.int64), [None] * len(raw)
-        for query, which in ((_LEFTMOST, np.flatnonzero(short)), (_ALL_LEAST, np.flatnonzero(~short))):
-            edges = np.cumsum([len(raw[i]) for i in which]) // BYTES_A_QUERY
-            for part in np.split(which, np.flatnonzero(np.diff(edges)) + 1) if len(which) else ():
-                sizes[part], ids = self.solve(query, [raw[i] for i in part])
-                for i, x in zip(part, np.split(ids, np.cumsum(sizes[part])[:-1])):
-                    parts[i] = x
+        parts: list = [None] * len(raw)
+        for encode, which in ((self.encode_pieces, [i for i, r in enumerate(raw) if len(r) <= SHORT]), (self.encode_long, [i for i, r in enumerate(raw) if len(r) > SHORT])):
+            for i, ids in zip(which, encode([raw[i] for i in which]) if which else ()):
+                parts[i] = ids
         self.word_ids = np.concatenate([self.word_ids, *parts]).astype(np.int32)
-        self.word_starts = np.concatenate([self.word_starts, self.word_starts[-1] + np.cumsum(sizes)])
+        self.word_starts = np.concatenate([self.word_starts, self.word_starts[-1] + np.cumsum([len(x) for x in parts])])
 
     def learn(self, segments: list[str]) -> None:
         known, code = len(self.word_codes), self.word_codes.__getitem__
@@ -197,7 +269,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """``(offsets, ids)`` of the texts: those of text i are ``ids[offsets[i]:offsets[i + 1]]``."""
-        if len(self.codes) > CACHED_WORDS:
+        if max(len(self.codes), len(self.pieces)) > CACHED_WORDS:
             self.clear()
         code, known, rows = self.codes.__getitem__, len(self.codes), []
         for text in texts:

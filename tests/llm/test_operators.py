@@ -382,6 +382,21 @@ def test_ids_equal_the_library(spark):
     assert bpe.encode_documents(table.limit(0)).count() == 0
 
 
+def test_long_words_equal_the_library():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(81)
+    library = Tokenizer.from_file(bpe.TOKENIZER)
+    library.encode_special_tokens = True
+    encoder = bpe.WordEncoder(*bpe.load_merges(bpe.TOKENIZER))
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "aents", "ab", "=-", "éüñß", "漢字かな", "\u0e01\u0e33"]
+    words = ["".join(rng.choice(a) for _ in range(rng.choice((49, 64, 300, 5000)))) for a in alphabets for _ in range(12)]
+    words += ["a" * n for n in (49, 65, 97, 12_345)] + ["=" * n + x for n in (64, 127, 4096) for x in ("", "-")] + ["".join(rng.choice(alphabets[0]) for _ in range(1_000_000))]
+    offsets, ids = encoder.encode(words)
+    for i, w in enumerate(words):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == library.encode(w, add_special_tokens=False).ids, w[:60]
+
+
 # ---- 9 -------------------------------------------------------------------------------------------------------------
 
 
