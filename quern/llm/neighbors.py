@@ -1,11 +1,13 @@
 """Problem 5: the most similar vectors of every vector, by a forest of sorted hash strings.
 
 A tree gives every vector a string of 64 sign bits of random projections; its array is sorted by them, and vectors that
-share a prefix are a node.  ``forest_shape`` shortens the prefix until a node holds about ``NODE`` vectors and then takes
-as many trees as a pair at the least similarity needs to share a node with the target probability, so the forest grows
-with the collection.  Within a node all vectors meet: they are screened by the number of bits that differ, and what
-passes is compared exactly.  Where so many pass that the bits cannot tell the nearest, the node's vectors themselves are
-compared in blocks.
+share a prefix are a node.  ``forest_shape`` sets the shortest prefix, with about ``NODE`` vectors in a node, and as many
+trees as a pair at the least similarity needs to share such a node with the target probability, so the forest grows with
+the collection; where a node is much fuller its prefix is longer.  Within a node all vectors meet and are screened by the
+number of bits that differ; where so many pass that the bits cannot tell the nearest, the node's vectors themselves are
+compared in blocks.  What has met carries the longest prefix that it shares in any tree.  From there all trees are
+ascended together: first the pairs with long common prefixes are compared, then those with shorter ones, and a vector
+stops as soon as its k nearest are so similar that longer prefixes would have found any better ones.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.tables import bucketed
 from quern.session import cut
 
 DIMENSIONS = 64
@@ -27,7 +30,11 @@ TREES = 16
 RECALL = 0.99
 #: Vectors of one node, about; a node that is much fuller (``FULL``) is divided by further bits of its strings.
 NODE = 2048
-FULL = 65_536
+FULL = 8192
+#: Vectors that are drawn to find such nodes before anything is shuffled.
+SAMPLE = 20_000
+#: Bits by which a common prefix is shortened from one ascent to the next, and the number of ascents before the last.
+ASCENT, ASCENTS = 4, 2
 #: A vector that more than so many others of its node may be similar to is compared with them exactly.
 KEEP = 24
 #: Rows of crowded vectors that are still sent to all workers.
@@ -77,20 +84,39 @@ def _bits(x: np.ndarray, projections: np.ndarray) -> np.ndarray:
     return signs.reshape(len(x), -1, 8).view(">u8")[:, :, 0].astype(np.uint64)
 
 
-def _tree_rows(projections: np.ndarray, trees: int):
+def full_nodes(sample: np.ndarray, n: int, projections: np.ndarray, bits: int, trees: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of every tree the nodes that hold more than ``FULL`` of ``n`` vectors, and the bits to divide them by, from a sample."""
+    strings, found = _bits(sample, projections), []
+    for t in range(trees):
+        prefix, times = np.unique(strings[:, t] >> np.uint64(64 - bits) if bits else np.zeros(len(sample), dtype=np.uint64), return_counts=True)
+        size = times * (n / max(len(sample), 1))
+        full = (size > FULL) & (times > 1)
+        found.append((prefix[full], np.ceil(np.log2(size[full] / NODE)).astype(np.uint64)))
+    return found
+
+
+def _tree_rows(projections: np.ndarray, bits: int, trees: int, full: list[tuple[np.ndarray, np.ndarray]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            bits_of = _bits(flat.reshape(n, -1), projections)
+            # A node is its prefix below a leading one, so that prefixes of all lengths are different numbers.
+            length = np.full((n, trees), bits, dtype=np.uint64)
+            for t, (prefix, more) in enumerate(full):
+                if len(prefix):
+                    own = bits_of[:, t] >> np.uint64(64 - bits) if bits else np.zeros(n, dtype=np.uint64)
+                    at = np.minimum(np.searchsorted(prefix, own), len(prefix) - 1)
+                    length[:, t] += np.where(prefix[at] == own, more[at], np.uint64(0))
+            node = np.where(length > 0, bits_of[:, :trees] >> (np.uint64(64) - np.maximum(length, 1)), 0) | np.uint64(1) << length
             # The order of unsigned strings is that of signed numbers once the highest bit is turned.
-            bits = _bits(flat.reshape(n, -1), projections) ^ np.uint64(1 << 63)
-            bits = np.ascontiguousarray(bits).view(np.int64)
+            strings = np.ascontiguousarray(bits_of ^ np.uint64(1 << 63)).view(np.int64)
             every = np.repeat(np.arange(n), trees)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(np.arange(trees, dtype=np.int32), n)), pa.array(bits[:, :trees].ravel()), batch.column(0).take(pa.array(every)), pa.array(bits[every, trees])],
-                names=["tree", "string", "id", "sketch"],
+                [pa.array(np.tile(np.arange(trees, dtype=np.int32), n)), pa.array(node.astype(np.int64).ravel()), pa.array(strings[:, :trees].ravel()), batch.column(0).take(pa.array(every)), pa.array(strings[every, trees])],
+                names=["tree", "node", "string", "id", "sketch"],
             )
 
     return run
@@ -146,13 +172,21 @@ def _close(string: np.ndarray, sketch: np.ndarray, most_bits: float) -> Iterator
         yield i[later] + begin, j[later] + begin
 
 
-def _meet(bits: int, keep: int, most_bits: float, full: int = FULL, held: int = 2_000_000):
-    """``(a, b, node)`` from rows sorted by tree and string: pairs that pass the screen, and, with a null b, the crowded
-    vectors of a node, each of which more than ``keep`` others may be similar to.  Pairs of two crowded ones are left out."""
+def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The length of the common prefix of strings."""
+    differ = x ^ y
+    for step in (1, 2, 4, 8, 16, 32):
+        differ = differ | differ >> np.uint64(step)
+    return (64 - np.bitwise_count(differ)).astype(np.int32)
+
+
+def _meet(keep: int, most_bits: float, full: int = FULL, held: int = 2_000_000):
+    """``(a, b, length, node)`` from rows sorted by tree, node and string: pairs that pass the screen with the length of
+    their common prefix, and, with a null b, the crowded vectors of a node, each of which more than ``keep`` others may be
+    similar to.  Pairs of two crowded ones are left out."""
 
     def starts(table):
-        tree, string = table.column(0).to_numpy(), table.column(1).to_numpy()
-        node = string >> np.int64(64 - bits) if bits else np.zeros(len(string), dtype=np.int64)
+        tree, node = table.column(0).to_numpy(), table.column(1).to_numpy()
         return np.flatnonzero((tree[1:] != tree[:-1]) | (node[1:] != node[:-1])) + 1
 
     def part(tree, string, sketch, ids):
@@ -169,33 +203,36 @@ def _meet(bits: int, keep: int, most_bits: float, full: int = FULL, held: int =
             open_ = ~(crowded[i] & crowded[j])
             i, j = i[open_], j[open_]
             one = (times[i] == 1) & (times[j] == 1)
-            yield ids[first[i[one]]], ids[first[j[one]]]
-            for x, y in zip(i[~one], j[~one]):
-                yield np.repeat(ids[first[x] : first[x] + times[x]], times[y]), np.tile(ids[first[y] : first[y] + times[y]], times[x])
+            length = _common(codes[i], codes[j])
+            yield ids[first[i[one]]], ids[first[j[one]]], length[one]
+            for x, y, n in zip(i[~one], j[~one], length[~one]):
+                yield np.repeat(ids[first[x] : first[x] + times[x]], times[y]), np.tile(ids[first[y] : first[y] + times[y]], times[x]), np.full(times[x] * times[y], n)
         for x in np.flatnonzero((times > 1) & ~crowded):
             i, j = np.triu_indices(times[x], 1)
-            yield ids[first[x] + i], ids[first[x] + j]
+            yield ids[first[x] + i], ids[first[x] + j], np.full(len(i), 64, dtype=np.int32)
         yield ids[np.repeat(crowded, times)], xxhash.xxh64_intdigest(np.array([tree, string[0]], dtype=np.uint64).tobytes()) >> 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _nodes(batches, starts):
-            tree, string, ids, sketch = (table.column(i).to_numpy() for i in range(4))
+            tree, string, ids, sketch = (table.column(i).to_numpy() for i in (0, 2, 3, 4))
             string, sketch = string.view(np.uint64), sketch.view(np.uint64)
             order = np.lexsort((sketch, string))
             string, ids, sketch = string[order], ids[order], sketch[order]
             for begin, end in _parts(string, 0, len(ids), full):
                 *pairs, (crowd, node) = part(tree[0], string[begin:end], sketch[begin:end], ids[begin:end])
-                for a, b in pairs:
+                for a, b, length in pairs:
                     if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], names=["a", "b", "node"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(length, pa.int32()), pa.nulls(len(a), pa.int64())], names=["a", "b", "length", "node"])
                 if len(crowd) > 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(crowd), pa.nulls(len(crowd), pa.int64()), pa.array(np.full(len(crowd), node))], names=["a", "b", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(crowd), pa.nulls(len(crowd), pa.int64()), pa.nulls(len(crowd), pa.int32()), pa.array(np.full(len(crowd), node))], names=["a", "b", "length", "node"])
 
     return run
 
 
 def _exact(k: int, min_similarity: float):
-    """``(a, b)``: of the vectors of every node each one's ``k`` nearest, by block products, ties to the smaller key."""
+    """``(a, b, length)``: of the vectors of every node each one's ``k`` nearest, by block products, ties to the smaller key.
+
+    They are exact within the node, so their prefix counts as a whole string."""
 
     def starts(table):
         node = table.column(0).to_numpy()
@@ -231,48 +268,79 @@ def _exact(k: int, min_similarity: float):
             ids = table.column(1).to_numpy()
             v = table.column(2).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
             for a, b in pairs_of(ids, v):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), 64, dtype=np.int32))], names=["a", "b", "length"])
 
     return run
 
 
-def candidate_pairs(units: DataFrame, min_similarity: float, k: int = 5, key: str = "chunk_id", dimensions: int = DIMENSIONS, trees: int = TREES, keep: int = KEEP, recall: float = RECALL) -> DataFrame:
-    """``(a, b)``: distinct pairs of keys that share a node and differ in few enough bits for the similarity, and of crowded
-    vectors the ``k`` nearest in every node.
+def candidate_pairs(units: DataFrame, bits: int, trees: int, n: int, min_similarity: float, k: int = 5, key: str = "chunk_id", dimensions: int = DIMENSIONS, keep: int = KEEP) -> DataFrame:
+    """``(a, b, length)``: distinct pairs of keys that share a node and differ in few enough bits for the similarity, and of
+    crowded vectors the ``k`` nearest in every node, with the longest common prefix of any tree.
 
-    A pair exactly at ``min_similarity`` passes the screen in about 985 of 1,000 trees that it meets in.
+    A pair exactly at ``min_similarity`` passes the screen in about 985 of 1,000 trees that it meets in.  Without bits all
+    vectors are one node and are compared exactly.
     """
-    bits, trees = forest_shape(units.count(), min_similarity, trees, recall)
-    rows = units.mapInArrow(_tree_rows(planes(dimensions, trees), trees), "tree int, string bigint, id bigint, sketch bigint")
-    node = F.shiftright("string", 64 - bits) if bits else F.lit(0)
-    arrays = rows.repartition("tree", node).sortWithinPartitions("tree", "string")
+    if not bits:
+        whole = units.select(F.lit(0).cast("bigint").alias("node"), F.col(key).alias("a"), "v")
+        return whole.repartition(1).mapInArrow(_exact(k, min_similarity), "a bigint, b bigint, length int").distinct()
+    projections = planes(dimensions, trees)
+    drawn = units.select("v").sample(min(1.0, SAMPLE / max(n, 1)), seed=SEED).limit(2 * SAMPLE).collect()
+    full = full_nodes(np.array([r.v for r in drawn], dtype=np.float32).reshape(-1, dimensions), n, projections, bits, trees)
+    rows = units.mapInArrow(_tree_rows(projections, bits, trees, full), "tree int, node bigint, string bigint, id bigint, sketch bigint")
+    arrays = rows.repartition("tree", "node").sortWithinPartitions("tree", "node", "string")
     chance, free = math.acos(max(-1.0, min(1.0, min_similarity))) / math.pi, 128 - bits
     most_bits = free * chance + SLACK * math.sqrt(free * chance * (1 - chance))
-    met = cut(arrays.mapInArrow(_meet(bits, keep, most_bits), "a bigint, b bigint, node bigint"))
-    pairs, crowd = met.where("b is not null").select("a", "b"), met.where("b is null").select("node", "a")
+    met = cut(arrays.mapInArrow(_meet(keep, most_bits), "a bigint, b bigint, length int, node bigint"))
+    pairs, crowd = met.where("b is not null").select("a", "b", "length"), met.where("b is null").select("node", "a")
     crowded = crowd.count()
     if crowded:
         # A few rows go to the vectors rather than all vectors to them.
         few = F.broadcast(crowd) if crowded <= BROADCAST else crowd
         theirs = units.select(F.col(key).alias("a"), "v").join(few, "a").select("node", "a", "v")
-        pairs = pairs.unionByName(theirs.repartition("node").sortWithinPartitions("node").mapInArrow(_exact(k, min_similarity), "a bigint, b bigint"))
-    return pairs.distinct()
+        pairs = pairs.unionByName(theirs.repartition("node").sortWithinPartitions("node").mapInArrow(_exact(k, min_similarity), "a bigint, b bigint, length int"))
+    return pairs.groupBy("a", "b").agg(F.max("length").alias("length"))
+
+
+def _ranked(close: DataFrame, k: int, key: str) -> DataFrame:
+    both = close.select(F.inline(F.array(F.struct(F.col("a").alias(key), F.col("b").alias("neighbor"), "similarity"), F.struct(F.col("b").alias(key), F.col("a").alias("neighbor"), "similarity"))))
+    order = Window.partitionBy(key).orderBy(F.desc("similarity"), "neighbor")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def settled_from(length: int, trees: int, recall: float) -> float:
+    """The least similarity at which a pair shares a prefix of this length in one of the trees with the target probability."""
+    agree = (1 - (1 - recall) ** (1 / trees)) ** (1 / length) if length else 0.0
+    return math.cos(math.pi * (1 - agree))
 
 
 def nearest(vectors: DataFrame, k: int = 5, min_similarity: float = 0.85, key: str = "chunk_id", column: str = "embedding", dimensions: int = DIMENSIONS, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """``(key, neighbor, similarity, rank)``: for every vector its ``k`` nearest by cosine, from ``min_similarity`` on.
 
     Every vector is indexed; the cosine is exact, the search approximate: a pair at ``min_similarity`` is met with the
-    probability ``recall``, more similar ones with a higher one.  Equal cosines are ranked by the neighbour's key.
+    probability ``recall``, more similar ones with a higher one.  Equal cosines are ranked by the neighbour's key.  Keys
+    are integers.
     """
     units = cut(usable(vectors, key, column, dimensions))
-    pairs = cut(candidate_pairs(units, min_similarity, k, key, dimensions, trees, recall=recall))
-    left, right = units.select(F.col(key).alias("a"), F.col("v").alias("va")), units.select(F.col(key).alias("b"), F.col("v").alias("vb"))
+    n = units.count()
+    bits, trees = forest_shape(n, min_similarity, trees, recall)
+    pairs = cut(candidate_pairs(units, bits, trees, n, min_similarity, k, key, dimensions))
+    stored = bucketed(units, key)
+    left, right = stored.select(F.col(key).alias("a"), F.col("v").alias("va")), stored.select(F.col(key).alias("b"), F.col("v").alias("vb"))
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    close = pairs.join(left, "a").join(right, "b").select("a", "b", dot.alias("similarity")).where(F.col("similarity") >= min_similarity)
-    both = close.select(F.inline(F.array(F.struct(F.col("a").alias(key), F.col("b").alias("neighbor"), "similarity"), F.struct(F.col("b").alias(key), F.col("a").alias("neighbor"), "similarity"))))
-    order = Window.partitionBy(key).orderBy(F.desc("similarity"), "neighbor")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    close = settled = None
+    upto = 65
+    for length in [bits + ASCENT * i for i in range(ASCENTS, 0, -1)] + [0] if bits else [0]:
+        asked = pairs.where((F.col("length") >= length) & (F.col("length") < upto)).select("a", "b")
+        if settled is not None:
+            # What neither side still looks for is left out.
+            mark = settled.withColumn("_done", F.lit(True))
+            asked = asked.join(mark.withColumnRenamed(key, "a").withColumnRenamed("_done", "_a"), "a", "left").join(mark.withColumnRenamed(key, "b").withColumnRenamed("_done", "_b"), "b", "left").where("_a is null or _b is null").select("a", "b")
+        found = cut(asked.join(left, "a").join(right, "b").select("a", "b", dot.alias("similarity")).where(F.col("similarity") >= min_similarity))
+        close = found if close is None else close.unionByName(found)
+        if length:
+            settled = cut(_ranked(close, k, key).where((F.col("rank") == k) & (F.col("similarity") >= settled_from(length, trees, recall))).select(key))
+        upto = length
+    return _ranked(close, k, key)
 
 
 def mutual_pairs(neighbors: DataFrame, key: str = "chunk_id") -> DataFrame:
