@@ -36,7 +36,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_scores(spark: SparkSession, d: str) -> DataFrame:
-    return distinctive.term_scores(table(spark, d, "postings"), table(spark, d, "doc_stats"), table(spark, d, "bm25_stats"))
+    postings = table(spark, d, "postings")
+    scores = distinctive.term_scores(postings, table(spark, d, "doc_stats"), table(spark, d, "bm25_stats"), posting_rows=postings.count())
+    return scores.select("chunk_id", "term", F.col("tf").cast("bigint").alias("tf"), F.round("surprise", 3).alias("surprise"), F.round("score", 3).alias("score"))
 
 
 def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -48,11 +50,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    return neighbors.nearest(table(spark, d, "vectors"))
+    return neighbors.nearest(table(spark, d, "vectors")).withColumn("similarity", F.round("similarity", 5))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return neighbors.mutual_pairs(p5_neighbors(spark, d))
+    return neighbors.mutual_pairs(neighbors.nearest(table(spark, d, "vectors")))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -110,11 +112,12 @@ def p9_room(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_assessed(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.assess(table(spark, d, "documents"))
+    judged = repetition.assess(table(spark, d, "documents"))
+    return judged.withColumns({c: F.round(c, 9) for c in ("share", "line_share", "source_rate")})
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return p10_assessed(spark, d).where("repetitive").select("doc_id")
+    return repetition.assess(table(spark, d, "documents")).where("repetitive").select("doc_id")
 
 
 def queries() -> dict[str, Query]:
@@ -163,12 +166,105 @@ WITH latest AS (
 )"""
 
 
+# Scores of every posting by the definition: the tail as a sum of masses.
+_P3 = f"""
+WITH {_DISTINCT}, lengths AS (
+  SELECT chunk_id, max(doc_len) AS len FROM doc_stats WHERE chunk_id IS NOT NULL GROUP BY chunk_id
+), size AS (
+  SELECT coalesce(sum(n * a), 0) AS n FROM (SELECT any_value(doc_count) AS n, any_value(avg_doc_len) AS a FROM bm25_stats GROUP BY index_id)
+), rows AS (
+  SELECT p.chunk_id, p.term, p.tf AS k, c.occurrences AS big_k, greatest(coalesce(l.len, 0), sum(p.tf) OVER (PARTITION BY p.chunk_id))::DOUBLE AS n, count(*) OVER (PARTITION BY p.chunk_id) AS m
+  FROM distinct_postings p JOIN term_counts c USING (term) LEFT JOIN lengths l USING (chunk_id)
+), drawn AS (
+  SELECT *, greatest(round((SELECT n FROM size)), n + big_k - k) AS big_n FROM rows
+), cases AS (
+  SELECT DISTINCT k, big_k, n, big_n FROM drawn
+), masses AS (
+  SELECT k, big_k, n, big_n, lgamma(big_k + 1) - lgamma(i + 1) - lgamma(big_k - i + 1) + lgamma(big_n - big_k + 1) - lgamma(n - i + 1) - lgamma(big_n - big_k - n + i + 1) - lgamma(big_n + 1) + lgamma(n + 1) + lgamma(big_n - n + 1) AS ln_p
+  FROM (SELECT *, unnest(generate_series(greatest(k, n + big_k - big_n)::BIGINT, least(n, big_k, greatest(k, n + big_k - big_n) + 400)::BIGINT)) AS i FROM cases)
+), tails AS (
+  SELECT k, big_k, n, big_n, greatest(-(max(ln_p) + ln(sum(exp(ln_p - top)))) / ln(10), 0) AS surprise FROM (SELECT *, max(ln_p) OVER (PARTITION BY k, big_k, n, big_n) AS top FROM masses) GROUP BY ALL
+), ranked AS (
+  SELECT d.*, t.surprise, m - rank() OVER (PARTITION BY chunk_id ORDER BY round(t.surprise, 11)) + 1 AS place FROM drawn d JOIN tails t USING (k, big_k, n, big_n)
+), scored AS (
+  SELECT chunk_id, term, k, surprise, greatest(max(surprise - log10(m / place)) OVER (PARTITION BY chunk_id ORDER BY round(surprise, 11) RANGE UNBOUNDED PRECEDING), 0) AS score FROM ranked
+)"""
+
+_P5 = """
+WITH sound AS (
+  SELECT chunk_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM vectors WHERE chunk_id IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), units AS (
+  SELECT chunk_id, min(list_transform(v, lambda x: CAST(x / sqrt(list_inner_product(v, v)) AS FLOAT))) AS v FROM sound GROUP BY chunk_id
+), wide AS (
+  SELECT chunk_id, list_transform(v, lambda x: CAST(x AS DOUBLE)) AS v FROM units
+), pairs AS (
+  SELECT a.chunk_id, b.chunk_id AS neighbor, list_inner_product(a.v, b.v) AS similarity FROM wide a JOIN wide b ON a.chunk_id <> b.chunk_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY similarity DESC, neighbor) AS rank FROM pairs WHERE similarity >= 0.85
+)"""
+
+_P6 = r"""
+WITH texts AS (
+  SELECT chunk_id, any_value(content) AS content FROM chunks WHERE chunk_id IS NOT NULL AND regexp_matches(content, '\S') GROUP BY chunk_id
+), words AS (
+  SELECT chunk_id, content, regexp_extract_all(content, '[A-Za-z0-9_]+') AS w FROM texts
+), shingles AS (
+  SELECT DISTINCT chunk_id, lower(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS s FROM (SELECT chunk_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM words WHERE len(w) >= 3)
+), sizes AS (
+  SELECT chunk_id, count(*) AS n FROM shingles GROUP BY chunk_id
+), shared AS (
+  SELECT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.chunk_id < b.chunk_id GROUP BY ALL
+), pairs AS (
+  SELECT chunk_a, chunk_b FROM shared JOIN sizes x ON chunk_a = x.chunk_id JOIN sizes y ON chunk_b = y.chunk_id WHERE shared.n >= 0.6 * (x.n + y.n - shared.n)
+  UNION ALL SELECT a.chunk_id, b.chunk_id FROM words a JOIN words b ON a.content = b.content AND a.chunk_id < b.chunk_id WHERE len(a.w) < 3
+)"""
+
+_P10 = r"""
+WITH words AS (
+  SELECT doc_id, source, text, regexp_extract_all(lower(coalesce(text, '')), '\p{L}+') AS w FROM documents
+), runs AS (
+  SELECT doc_id, i, min(i) OVER (PARTITION BY doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) AS first FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 3)) AS i FROM words WHERE len(w) > 3)
+), repeated AS (
+  SELECT doc_id, count(DISTINCT i + k) AS repeated FROM (SELECT doc_id, i FROM runs WHERE i > first) r, (VALUES (0), (1), (2), (3)) o(k) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]'),
+    lambda x: regexp_replace(x, '^[\s\x0B\x1C-\x1F\x{85}\p{Z}]+|[\s\x0B\x1C-\x1F\x{85}\p{Z}]+$', '', 'g')), lambda x: x <> '') AS ls FROM documents
+), measured AS (
+  SELECT w.doc_id, w.source, CAST(len(w.w) AS BIGINT) AS words, coalesce(r.repeated, 0) AS repeated, len(l.ls) AS lines, len(l.ls) - len(list_distinct(l.ls)) AS repeated_lines
+  FROM words w JOIN lines l USING (doc_id) LEFT JOIN repeated r USING (doc_id)
+), shares AS (
+  SELECT *, CASE WHEN words > 0 THEN repeated / words ELSE 0 END AS share, CASE WHEN lines > 0 THEN repeated_lines / lines ELSE 0 END AS line_share FROM measured
+), ruled AS (
+  SELECT *, words >= 20 AND (share >= 0.2 OR (lines >= 4 AND line_share >= 0.5)) AS fails FROM shares
+), hosts AS (
+  SELECT source, count(*) AS n, sum(fails::INT)::BIGINT AS f FROM ruled WHERE source IS NOT NULL GROUP BY source
+), fitted AS (
+  SELECT coalesce(sum(f) / sum(n), 0) AS mean, coalesce(var_pop(f / n), 0) AS variance, coalesce(avg(n), 1) AS size FROM hosts
+), prior AS (
+  SELECT mean, CASE WHEN variance - mean * (1 - mean) / size > 0 THEN greatest(mean * (1 - mean) / (variance - mean * (1 - mean) / size) - 1, 1) ELSE size END AS weight FROM fitted
+), rates AS (
+  SELECT source, (f + mean * weight) / (n + weight) AS source_rate FROM hosts, prior
+), judged AS (
+  SELECT doc_id, source, words, share, line_share, fails, source_rate, coalesce(source_rate >= 0.3, false) AS source_suspect FROM ruled LEFT JOIN rates USING (source)
+), verdicts AS (
+  SELECT *, (fails OR source_suspect) AND words >= 20 AND share >= 0.4 AS repetitive FROM judged
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_scores": _P3 + " SELECT chunk_id, term, k::BIGINT AS tf, round(surprise, 3) AS surprise, round(score, 3) AS score FROM scored",
+        "p3_found": _P3 + " SELECT chunk_id, term FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY round(score, 9) DESC, round(surprise, 9) DESC, term) AS r FROM scored WHERE chunk_id IN (SELECT chunk_id FROM term_probes)) WHERE r = 1",
         "p4_found": _P4 + " SELECT query_id, chunk_id FROM ranked WHERE rank = 1 AND retrievers >= 2",
         "p4_ranking": _P4 + " SELECT query_id, chunk_id, score, rank, retrievers FROM ranked",
+        "p5_neighbors": _P5 + " SELECT chunk_id, neighbor, round(similarity, 5) AS similarity, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 5",
+        "p5_found": _P5 + " SELECT DISTINCT least(chunk_id, neighbor) AS chunk_a, greatest(chunk_id, neighbor) AS chunk_b FROM ranked WHERE rank <= 5",
+        "p6_found": _P6 + " SELECT chunk_a, chunk_b FROM pairs",
         "p7_found": f"WITH {_DISTINCT} SELECT term, mark FROM marked WHERE mark IS NOT NULL",
         "p7_counts": f"WITH {_DISTINCT} SELECT term, occurrences, records, mark FROM marked",
         "p7_incremental": f"WITH {_DISTINCT} SELECT term, occurrences, records FROM term_counts",
+        "p10_assessed": _P10 + " SELECT doc_id, source, words, round(share, 9) AS share, round(line_share, 9) AS line_share, fails, round(source_rate, 9) AS source_rate, source_suspect, repetitive FROM verdicts",
+        "p10_found": _P10 + " SELECT doc_id FROM verdicts WHERE repetitive",
         "p8_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }

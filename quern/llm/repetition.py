@@ -62,7 +62,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for text in batch.column("text").to_pylist():
-            words = _WORDS(text.lower()) if text else []
+            # Cut before the case is dropped, which can turn one letter into two characters.
+            words = " ".join(_WORDS(text)).lower().split() if text else []
             lines = [x for x in map(str.strip, text.splitlines()) if x] if text else []
             rows.append((len(words), repeated_words(words), len(lines), len(lines) - len(set(lines))))
         measures = np.array(rows, dtype=np.int64).reshape(-1, 4)

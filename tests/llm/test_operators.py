@@ -474,11 +474,11 @@ def test_repeated_words_against_brute_force():
 def test_repetition_and_sources(spark):
     plain = " ".join(f"{a}{b}" for a in "abcdefghij" for b in "klmnop")
     loop = "buy this thing right now or never " * 20
-    docs = [(i, loop if i < 8 else plain, "spam" if i < 8 else "good") for i in range(40)] + [(100, None, "good"), (101, "", None), (102, "a b c d " * 4, None), (103, "Ünï Çö " * 30, None), (104, loop * 500, None)]
+    docs = [(i, loop if i < 8 else plain, "spam" if i < 8 else "good") for i in range(40)] + [(100, None, "good"), (101, "", None), (102, "a b c d " * 4, None), (103, "Ünï Çö " * 30, None), (104, loop * 500, None), (105, "\u0130stanbul " * 30, None)]
     table = spark.createDataFrame(docs, "doc_id bigint, text string, source string").withColumn("share", F.lit(2.0))
     got = {r.doc_id: r for r in repetition.assess(table).collect()}
     assert len(got) == len(docs)
-    assert {i for i, r in got.items() if r.repetitive} == {*range(8), 103, 104}
+    assert {i for i, r in got.items() if r.repetitive} == {*range(8), 103, 104, 105} and got[105].words == 30
     assert got[0].source_suspect and not got[20].source_suspect and got[101].source_rate is None and got[100].share == 0
     assert got[0].fails and not got[20].fails and got[0].source_rate > got[20].source_rate
     assert repetition.assess(table.limit(0)).count() == 0
