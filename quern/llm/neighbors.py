@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.tables import bucketed
+from quern.llm.tables import bucket_number, bucketed
 from quern.session import cut
 
 DIMENSIONS = 64
@@ -52,7 +52,7 @@ def usable(vectors: DataFrame, key: str = "chunk_id", column: str = "embedding",
     v = F.col(column)
     kept = vectors.where(F.col(key).isNotNull() & v.isNotNull() & (F.size(v) == dimensions)).select(F.col(key), v)
     made = kept.mapInArrow(_unit_rows(key, dimensions), f"`{key}` {vectors.schema[key].dataType.simpleString()}, v array<float>")
-    return made.groupBy(key).agg(F.min("v").alias("v"))
+    return made.repartition(bucket_number(made), key).groupBy(key).agg(F.min("v").alias("v"))
 
 
 def _unit_rows(key: str, dimensions: int):
@@ -103,20 +103,20 @@ def _tree_rows(projections: np.ndarray, bits: int, trees: int, full: list[tuple[
                 continue
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
             bits_of = _bits(flat.reshape(n, -1), projections)
-            # A node is its prefix below a leading one, so that prefixes of all lengths are different numbers.
+            # A node is its tree and its prefix below a leading one, so that prefixes of all lengths are different numbers.
             length = np.full((n, trees), bits, dtype=np.uint64)
             for t, (prefix, more) in enumerate(full):
                 if len(prefix):
                     own = bits_of[:, t] >> np.uint64(64 - bits) if bits else np.zeros(n, dtype=np.uint64)
                     at = np.minimum(np.searchsorted(prefix, own), len(prefix) - 1)
                     length[:, t] += np.where(prefix[at] == own, more[at], np.uint64(0))
-            node = np.where(length > 0, bits_of[:, :trees] >> (np.uint64(64) - np.maximum(length, 1)), 0) | np.uint64(1) << length
+            node = np.where(length > 0, bits_of[:, :trees] >> (np.uint64(64) - np.maximum(length, 1)), 0) | np.uint64(1) << length | np.arange(trees, dtype=np.uint64) << np.uint64(48)
             # The order of unsigned strings is that of signed numbers once the highest bit is turned.
             strings = np.ascontiguousarray(bits_of ^ np.uint64(1 << 63)).view(np.int64)
             every = np.repeat(np.arange(n), trees)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(np.arange(trees, dtype=np.int32), n)), pa.array(node.astype(np.int64).ravel()), pa.array(strings[:, :trees].ravel()), batch.column(0).take(pa.array(every)), pa.array(strings[every, trees])],
-                names=["tree", "node", "string", "id", "sketch"],
+                [pa.array(node.view(np.int64).ravel()), pa.array(strings[:, :trees].ravel()), batch.column(0).take(pa.array(every)), pa.array(strings[every, trees])],
+                names=["node", "string", "id", "sketch"],
             )
 
     return run
@@ -181,15 +181,15 @@ def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _meet(keep: int, most_bits: float, full: int = FULL, held: int = 2_000_000):
-    """``(a, b, length, node)`` from rows sorted by tree, node and string: pairs that pass the screen with the length of
+    """``(a, b, length, node)`` from rows sorted by node and string: pairs that pass the screen with the length of
     their common prefix, and, with a null b, the crowded vectors of a node, each of which more than ``keep`` others may be
     similar to.  Pairs of two crowded ones are left out."""
 
     def starts(table):
-        tree, node = table.column(0).to_numpy(), table.column(1).to_numpy()
-        return np.flatnonzero((tree[1:] != tree[:-1]) | (node[1:] != node[:-1])) + 1
+        node = table.column(0).to_numpy()
+        return np.flatnonzero(node[1:] != node[:-1]) + 1
 
-    def part(tree, string, sketch, ids):
+    def part(node, string, sketch, ids):
         # Rows with the same bits are one code, so that copies cost no more than one vector.
         first = np.flatnonzero(np.concatenate([[True], (string[1:] != string[:-1]) | (sketch[1:] != sketch[:-1])]))
         times, codes, others = np.diff([*first, len(ids)]), string[first], sketch[first]
@@ -210,21 +210,21 @@ def _meet(keep: int, most_bits: float, full: int = FULL, held: int = 2_000_000):
         for x in np.flatnonzero((times > 1) & ~crowded):
             i, j = np.triu_indices(times[x], 1)
             yield ids[first[x] + i], ids[first[x] + j], np.full(len(i), 64, dtype=np.int32)
-        yield ids[np.repeat(crowded, times)], xxhash.xxh64_intdigest(np.array([tree, string[0]], dtype=np.uint64).tobytes()) >> 1
+        yield ids[np.repeat(crowded, times)], xxhash.xxh64_intdigest(np.array([node, string[0]], dtype=np.uint64).tobytes()) >> 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _nodes(batches, starts):
-            tree, string, ids, sketch = (table.column(i).to_numpy() for i in (0, 2, 3, 4))
+            node, string, ids, sketch = (table.column(i).to_numpy() for i in range(4))
             string, sketch = string.view(np.uint64), sketch.view(np.uint64)
             order = np.lexsort((sketch, string))
             string, ids, sketch = string[order], ids[order], sketch[order]
             for begin, end in _parts(string, 0, len(ids), full):
-                *pairs, (crowd, node) = part(tree[0], string[begin:end], sketch[begin:end], ids[begin:end])
+                *pairs, (crowd, part_id) = part(node[0], string[begin:end], sketch[begin:end], ids[begin:end])
                 for a, b, length in pairs:
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(length, pa.int32()), pa.nulls(len(a), pa.int64())], names=["a", "b", "length", "node"])
                 if len(crowd) > 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(crowd), pa.nulls(len(crowd), pa.int64()), pa.nulls(len(crowd), pa.int32()), pa.array(np.full(len(crowd), node))], names=["a", "b", "length", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(crowd), pa.nulls(len(crowd), pa.int64()), pa.nulls(len(crowd), pa.int32()), pa.array(np.full(len(crowd), part_id))], names=["a", "b", "length", "node"])
 
     return run
 
@@ -286,8 +286,8 @@ def candidate_pairs(units: DataFrame, bits: int, trees: int, n: int, min_similar
     projections = planes(dimensions, trees)
     drawn = units.select("v").sample(min(1.0, SAMPLE / max(n, 1)), seed=SEED).limit(2 * SAMPLE).collect()
     full = full_nodes(np.array([r.v for r in drawn], dtype=np.float32).reshape(-1, dimensions), n, projections, bits, trees)
-    rows = units.mapInArrow(_tree_rows(projections, bits, trees, full), "tree int, node bigint, string bigint, id bigint, sketch bigint")
-    arrays = rows.repartition("tree", "node").sortWithinPartitions("tree", "node", "string")
+    rows = units.mapInArrow(_tree_rows(projections, bits, trees, full), "node bigint, string bigint, id bigint, sketch bigint")
+    arrays = rows.repartition("node").sortWithinPartitions("node", "string")
     chance, free = math.acos(max(-1.0, min(1.0, min_similarity))) / math.pi, 128 - bits
     most_bits = free * chance + SLACK * math.sqrt(free * chance * (1 - chance))
     met = cut(arrays.mapInArrow(_meet(keep, most_bits), "a bigint, b bigint, length int, node bigint"))
@@ -320,12 +320,11 @@ def nearest(vectors: DataFrame, k: int = 5, min_similarity: float = 0.85, key: s
     probability ``recall``, more similar ones with a higher one.  Equal cosines are ranked by the neighbour's key.  Keys
     are integers.
     """
-    units = cut(usable(vectors, key, column, dimensions))
+    units = bucketed(usable(vectors, key, column, dimensions), key, placed=True)
     n = units.count()
     bits, trees = forest_shape(n, min_similarity, trees, recall)
     pairs = cut(candidate_pairs(units, bits, trees, n, min_similarity, k, key, dimensions))
-    stored = bucketed(units, key)
-    left, right = stored.select(F.col(key).alias("a"), F.col("v").alias("va")), stored.select(F.col(key).alias("b"), F.col("v").alias("vb"))
+    left, right = units.select(F.col(key).alias("a"), F.col("v").alias("va")), units.select(F.col(key).alias("b"), F.col("v").alias("vb"))
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     close = settled = None
     upto = 65

@@ -13,13 +13,16 @@ def bucket_number(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def write_bucketed(df: DataFrame, by: str, buckets: int, folder: str, name: str) -> DataFrame:
-    """Write ``df`` as the table ``name`` in ``buckets`` buckets of ``by``, sorted by it; one file per bucket."""
-    df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", folder).saveAsTable(name)
+def write_bucketed(df: DataFrame, by: str, buckets: int, folder: str, name: str, placed: bool = False) -> DataFrame:
+    """Write ``df`` as the table ``name`` in ``buckets`` buckets of ``by``, sorted by it; one file per bucket.
+
+    ``placed`` says that the rows lie so already, by a ``repartition(buckets, by)``.
+    """
+    (df if placed else df.repartition(buckets, by)).write.bucketBy(buckets, by).sortBy(by).option("path", folder).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
-def bucketed(df: DataFrame, by: str) -> DataFrame:
+def bucketed(df: DataFrame, by: str, placed: bool = False) -> DataFrame:
     """``df`` written in buckets of ``by`` in the shared folder: a join on ``by`` reads them without a shuffle."""
     name = f"quern_{uuid.uuid4().hex}"
-    return write_bucketed(df, by, bucket_number(df), f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}", name)
+    return write_bucketed(df, by, bucket_number(df), f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}", name, placed)
