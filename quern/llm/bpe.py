@@ -38,6 +38,8 @@ BYTES_A_QUERY = 700_000
 #: Words of at most so many bytes take one contraction a step, the leftmost; the row's index and its successor's id are
 #: kept up in place, so that a step joins only the merge table and each word's best pair.
 SHORT = 48
+#: The same query takes the windows and seams of longer words up to so many bytes.
+LONGEST = 255
 
 _LEFTMOST = """
 WITH RECURSIVE step(word, i, id, next_id, done) AS (
@@ -47,10 +49,10 @@ WITH RECURSIVE step(word, i, id, next_id, done) AS (
     WITH live AS (
       SELECT word, i, id, next_id FROM step WHERE NOT done
     ), best AS (
-      SELECT l.word, min((m.rank * 64 + l.i) * 131072 + m.merged) AS b
+      SELECT l.word, min((m.rank * 256 + l.i) * 131072 + m.merged) AS b
       FROM live l JOIN merges m ON m.pair = l.id::BIGINT * 131072 + l.next_id WHERE l.next_id >= 0 GROUP BY l.word
     ), hit AS (
-      SELECT word, ((b // 131072) % 64)::INT AS h, (b % 131072)::INT AS merged FROM best
+      SELECT word, ((b // 131072) % 256)::INT AS h, (b % 131072)::INT AS merged FROM best
     )
     SELECT l.word, CASE WHEN l.i > h THEN l.i - 1 ELSE l.i END, CASE WHEN l.i = h + 1 THEN merged ELSE l.id END,
            CASE WHEN l.i = h - 1 THEN merged ELSE l.next_id END, h IS NULL
@@ -192,13 +194,15 @@ class WordEncoder:
         """The ids of byte strings, of which each distinct one is encoded once."""
         new = list(dict.fromkeys(r for r in raw if r not in self.pieces))
         for short in (True, False):
-            part = [r for r in new if (len(r) <= SHORT) == short]
-            edges = np.flatnonzero(np.diff(np.cumsum([len(r) for r in part]) // BYTES_A_QUERY)) + 1 if part else []
-            for a, b in zip([0, *edges], [*edges, len(part)]):
-                if a < b:
-                    self.pieces.update(zip(part[a:b], self.solve(part[a:b], short)))
+            part = [r for r in new if (len(r) <= LONGEST) == short]
+            self.pieces.update(zip(part, self.solve_all(part, short)))
         return [self.pieces[r] for r in raw]
 
+    def solve_all(self, raw: list[bytes], short: bool) -> Iterator[np.ndarray]:
+        edges = (np.flatnonzero(np.diff(np.cumsum([len(r) for r in raw]) // BYTES_A_QUERY)) + 1).tolist() if raw else []
+        for a, b in zip([0, *edges], [*edges, len(raw)] if raw else []):
+            yield from self.solve(raw[a:b], short)
+
     def torn(self, ids: np.ndarray, gaps: np.ndarray) -> np.ndarray:
         """Of the gaps after the tokens ``gaps`` those whose two tokens are not what their joined bytes encode to."""
         pair = ids[gaps].astype(np.int64) * 131072 + ids[gaps + 1]
@@ -221,7 +225,7 @@ class WordEncoder:
         lists = self.encode_pieces(windows)
         sizes = np.array([len(x) for x in lists])
         ids, word = np.concatenate(lists), np.repeat(owner, sizes)
-        gaps, reach = (np.cumsum(sizes) - 1)[np.array(seams)], 2
+        gaps, reach = (np.cumsum(sizes) - 1)[np.array(seams)], 4
         while len(torn := self.torn(ids, gaps)):
             low = np.maximum(torn - reach + 1, np.searchsorted(word, word[torn]))
             high = np.minimum(torn + reach + 1, np.searchsorted(word, word[torn], side="right"))
@@ -240,16 +244,18 @@ class WordEncoder:
             word = np.concatenate([word[kept], np.repeat(own, sizes)])[order]
             gaps = np.unique(np.concatenate([begin - 1, begin + sizes - 1]))
             gaps = gaps[(gaps >= 0) & (gaps + 1 < len(ids))]
-            gaps, reach = gaps[word[gaps] == word[gaps + 1]], reach * 2
+            gaps, reach = gaps[word[gaps] == word[gaps + 1]], reach * 8
         return np.split(ids, np.searchsorted(word, np.arange(1, len(raw))))
 
     def learn_words(self, words: list[str]) -> None:
         """Encode new words; their lists follow on those of the words met before."""
         raw = [w.encode("utf-8", "replace") for w in words]
         parts: list = [None] * len(raw)
-        for encode, which in ((self.encode_pieces, [i for i, r in enumerate(raw) if len(r) <= SHORT]), (self.encode_long, [i for i, r in enumerate(raw) if len(r) > SHORT])):
-            for i, ids in zip(which, encode([raw[i] for i in which]) if which else ()):
-                parts[i] = ids
+        short, long = [i for i, r in enumerate(raw) if len(r) <= SHORT], [i for i, r in enumerate(raw) if len(r) > SHORT]
+        for i, ids in zip(short, self.solve_all([raw[i] for i in short], True)):
+            parts[i] = ids
+        for i, ids in zip(long, self.encode_long([raw[i] for i in long]) if long else ()):
+            parts[i] = ids
         self.word_ids = np.concatenate([self.word_ids, *parts]).astype(np.int32)
         self.word_starts = np.concatenate([self.word_starts, self.word_starts[-1] + np.cumsum([len(x) for x in parts])])
 
