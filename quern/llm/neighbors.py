@@ -21,20 +21,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.tables import bucket_number, bucketed
-from quern.session import cut
+from quern.llm.tables import bucket_number, bucketed, stored
 
 DIMENSIONS = 64
-#: Trees at least, and the probability with which a pair at the least similarity must share a node of some tree.
-TREES = 16
-RECALL = 0.99
+#: The probability with which a pair at the least similarity must share a node of some tree.
+RECALL = 0.995
 #: Vectors of one node, about; a node that is much fuller (``FULL``) is divided by further bits of its strings.
-NODE = 2048
-FULL = 8192
+NODE = 4096
+FULL = 16_384
 #: Vectors that are drawn to find such nodes before anything is shuffled.
 SAMPLE = 20_000
 #: Bits by which a common prefix is shortened from one ascent to the next, and the number of ascents before the last.
-ASCENT, ASCENTS = 4, 2
+ASCENT, ASCENTS = 6, 1
 #: A vector that more than so many others of its node may be similar to is compared with them exactly.
 KEEP = 24
 #: Rows of crowded vectors that are still sent to all workers.
@@ -122,13 +120,13 @@ def _tree_rows(projections: np.ndarray, bits: int, trees: int, full: list[tuple[
     return run
 
 
-def forest_shape(n: int, min_similarity: float, trees: int = TREES, recall: float = RECALL) -> tuple[int, int]:
+def forest_shape(n: int, min_similarity: float, recall: float = RECALL) -> tuple[int, int]:
     """``(bits, trees)``: the length of a node's prefix for ``n`` vectors, and the trees that this length needs."""
     bits = max(0, math.ceil(math.log2(max(n, 1) / NODE)))
     if not bits:
         return 0, 1
     shared = (1 - math.acos(max(-1.0, min(1.0, min_similarity))) / math.pi) ** bits
-    return bits, max(trees, math.ceil(math.log(1 - recall) / math.log1p(-shared))) if shared < 1 else trees
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log1p(-shared))) if shared < 1 else 1
 
 
 def _nodes(batches: Iterator[pa.RecordBatch], starts) -> Iterator[list[np.ndarray | pa.Array]]:
@@ -290,7 +288,7 @@ def candidate_pairs(units: DataFrame, bits: int, trees: int, n: int, min_similar
     arrays = rows.repartition("node").sortWithinPartitions("node", "string")
     chance, free = math.acos(max(-1.0, min(1.0, min_similarity))) / math.pi, 128 - bits
     most_bits = free * chance + SLACK * math.sqrt(free * chance * (1 - chance))
-    met = cut(arrays.mapInArrow(_meet(keep, most_bits), "a bigint, b bigint, length int, node bigint"))
+    met = stored(arrays.mapInArrow(_meet(keep, most_bits), "a bigint, b bigint, length int, node bigint"))
     pairs, crowd = met.where("b is not null").select("a", "b", "length"), met.where("b is null").select("node", "a")
     crowded = crowd.count()
     if crowded:
@@ -313,7 +311,7 @@ def settled_from(length: int, trees: int, recall: float) -> float:
     return math.cos(math.pi * (1 - agree))
 
 
-def nearest(vectors: DataFrame, k: int = 5, min_similarity: float = 0.85, key: str = "chunk_id", column: str = "embedding", dimensions: int = DIMENSIONS, trees: int = TREES, recall: float = RECALL) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, min_similarity: float = 0.85, key: str = "chunk_id", column: str = "embedding", dimensions: int = DIMENSIONS, recall: float = RECALL) -> DataFrame:
     """``(key, neighbor, similarity, rank)``: for every vector its ``k`` nearest by cosine, from ``min_similarity`` on.
 
     Every vector is indexed; the cosine is exact, the search approximate: a pair at ``min_similarity`` is met with the
@@ -322,8 +320,8 @@ def nearest(vectors: DataFrame, k: int = 5, min_similarity: float = 0.85, key: s
     """
     units = bucketed(usable(vectors, key, column, dimensions), key, placed=True)
     n = units.count()
-    bits, trees = forest_shape(n, min_similarity, trees, recall)
-    pairs = cut(candidate_pairs(units, bits, trees, n, min_similarity, k, key, dimensions))
+    bits, trees = forest_shape(n, min_similarity, recall)
+    pairs = stored(candidate_pairs(units, bits, trees, n, min_similarity, k, key, dimensions))
     left, right = units.select(F.col(key).alias("a"), F.col("v").alias("va")), units.select(F.col(key).alias("b"), F.col("v").alias("vb"))
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     close = settled = None
@@ -334,10 +332,11 @@ def nearest(vectors: DataFrame, k: int = 5, min_similarity: float = 0.85, key: s
             # What neither side still looks for is left out.
             mark = settled.withColumn("_done", F.lit(True))
             asked = asked.join(mark.withColumnRenamed(key, "a").withColumnRenamed("_done", "_a"), "a", "left").join(mark.withColumnRenamed(key, "b").withColumnRenamed("_done", "_b"), "b", "left").where("_a is null or _b is null").select("a", "b")
-        found = cut(asked.join(left, "a").join(right, "b").select("a", "b", dot.alias("similarity")).where(F.col("similarity") >= min_similarity))
+        found = stored(asked.join(left, "a").join(right, "b").select("a", "b", dot.alias("similarity")).where(F.col("similarity") >= min_similarity))
         close = found if close is None else close.unionByName(found)
         if length:
-            settled = cut(_ranked(close, k, key).where((F.col("rank") == k) & (F.col("similarity") >= settled_from(length, trees, recall))).select(key))
+            sure = close.where(F.col("similarity") >= settled_from(length, trees, recall)).select(F.explode(F.array("a", "b")).alias(key))
+            settled = stored(sure.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(key))
         upto = length
     return _ranked(close, k, key)
 

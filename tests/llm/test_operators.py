@@ -260,7 +260,7 @@ def test_neighbours_in_large_and_crowded_sets(spark, tmp_path):
 
 def test_forest_follows_the_size():
     shapes = [neighbors.forest_shape(n, 0.85) for n in (0, 1000, 20_000, 200_000, 10**8)]
-    assert shapes[0] == shapes[1] == (0, 1) and shapes == sorted(shapes)
+    assert shapes[0] == shapes[1] == (0, 1) and shapes == sorted(shapes) and shapes[-1][1] > 16
     shared = 1 - math.acos(0.85) / math.pi
     assert all(1 - (1 - shared**bits) ** trees >= neighbors.RECALL for bits, trees in shapes)
 
@@ -270,7 +270,7 @@ def test_full_nodes_are_divided():
     x = np.concatenate([rng.standard_normal(64) + 0.01 * rng.standard_normal((500, 64)), rng.standard_normal((500, 64))]).astype(np.float32)
     projections = neighbors.planes(64, 4)
     full = neighbors.full_nodes(x, 1_000_000, projections, 9, 4)
-    assert all(len(prefix) >= 1 and more.max() == 8 for prefix, more in full)
+    assert all(len(prefix) >= 1 and more.max() >= 7 for prefix, more in full)
     assert neighbors._common(np.array([0, 1 << 63, 5], dtype=np.uint64), np.array([0, 0, 4], dtype=np.uint64)).tolist() == [64, 0, 63]
     low, high = neighbors.settled_from(9, 16, 0.99), neighbors.settled_from(17, 16, 0.99)
     assert 0.8 < low < high < 1 and abs(1 - (1 - (1 - math.acos(high) / math.pi) ** 17) ** 16 - 0.99) < 1e-9
