@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 
+#: Stands for the greatest pool of a batch of queries until the batch is known.
+GREATEST_POOL = "{greatest_pool}"
+
+
 class Spark:
     """Spark SQL text."""
 
@@ -17,6 +21,15 @@ class Spark:
     def no_strings(self) -> str:
         return "cast(array() as array<string>)"
 
+    def string(self) -> str:
+        return "STRING"
+
+    def no_numbers(self) -> str:
+        return "cast(array() as array<bigint>)"
+
+    def null_strings(self) -> str:
+        return "cast(null as array<string>)"
+
     def map(self, a: str, x: str, body: str) -> str:
         return f"transform({a}, {x} -> {body})"
 
@@ -89,6 +102,14 @@ class Spark:
     def sorted(self, a: str) -> str:
         return f"array_sort({a})"
 
+    def within(self, rank: str, pool: str) -> str:
+        """``rank`` up to the column ``pool``; the greatest pool of the batch is a literal, so that tasks keep no more rows."""
+        return f"{rank} <= {GREATEST_POOL} AND {rank} <= {pool}"
+
+    def settled(self, column: str, expression: str, alias: str) -> str:
+        """A column that is computed once, whatever reads it."""
+        return f" LATERAL VIEW explode(array({expression})) {alias} AS {column}"
+
     def bytes(self, s: str) -> str:
         return f"cast(octet_length({s}) as bigint)"
 
@@ -113,6 +134,15 @@ class Duck(Spark):
     def no_strings(self) -> str:
         return "CAST([] AS VARCHAR[])"
 
+    def string(self) -> str:
+        return "VARCHAR"
+
+    def no_numbers(self) -> str:
+        return "CAST([] AS BIGINT[])"
+
+    def null_strings(self) -> str:
+        return "CAST(NULL AS VARCHAR[])"
+
     def map(self, a: str, x: str, body: str) -> str:
         return f"list_transform({a}, lambda {x}: {body})"
 
@@ -182,6 +212,12 @@ class Duck(Spark):
     def sorted(self, a: str) -> str:
         return f"list_sort({a})"
 
+    def within(self, rank: str, pool: str) -> str:
+        return f"{rank} <= {pool}"
+
+    def settled(self, column: str, expression: str, alias: str) -> str:
+        return f" CROSS JOIN LATERAL (SELECT {expression} AS {column}) {alias}"
+
     def bytes(self, s: str) -> str:
         return f"CAST(strlen({s}) AS BIGINT)"
 

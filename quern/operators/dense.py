@@ -1,7 +1,13 @@
-"""Exact nearest vectors of a batch of queries, as block products."""
+"""Exact nearest vectors of a stated set of queries against all rows, as block products.
+
+Queries and rows meet by a key: every row goes to one of ``parts`` places, every query to all of them, in blocks of at
+most ``BLOCK`` queries.  A place holds one block's matrix and its best rows so far, takes the rows batch by batch and
+gives at most k rows per query.  Nothing passes through the driver, and the plan does not grow with the queries.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
@@ -13,62 +19,130 @@ from pyspark.sql import functions as F
 if TYPE_CHECKING:
     from quern.plans.runner import Run
 
-#: Queries of one block; a block's matrix goes to all workers, so this times the width bounds what is sent.
+#: Queries of one block, about: its matrix and its best rows are what a place holds.
 BLOCK = 2048
 
+QUERY = "query_id bigint, v array<double>, k bigint, languages array<string>, paths array<string>"
+
 
-def top_products(vectors: DataFrame, queries: list[tuple], key: str, column: str, filters: str | None = None, digits: int = 6) -> DataFrame:
-    """``(query_id, key, score, rank)``: the best keys of each query by rounded product, ties to the smaller key.
+def _best_rows(digits: int):
+    """``(query_id, id, score)``: per place and query the k best rows by rounded product, ties to the smaller id.
 
-    ``queries`` are ``(query_id, unit vector, k, allowed values or None)``, ``filters`` the column they allow; ``vectors``
-    hold unit vectors.  A batch of rows yields at most k rows per query, a window ranks the batches' bests.
+    The rows of a place are sorted with the queries first: (place, kind, id, v, k, languages, paths, language, path).
     """
-    out = None
-    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
-    for begin in range(0, max(len(queries), 1), BLOCK):
-        block = queries[begin : begin + BLOCK]
-        ids = np.array([q[0] for q in block], dtype=np.int64)
-        matrix = np.array([q[1] for q in block], dtype=np.float64)
-        limits = np.array([q[2] for q in block], dtype=np.int64)
-        allowed = [set(q[3]) if q[3] else None for q in block]
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix, limits=limits, allowed=allowed) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                n = batch.num_rows
-                if not n or not len(ids):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, asked, block, best = None, [], None, None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if best is not None:
+                ids, scores = best
+                q, at = np.nonzero(ids >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(block[0][q]), pa.array(ids[q, at]), pa.array(scores[q, at])], names=["query_id", "id", "score"])
+
+        for batch in batches:
+            places, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero((places[1:] != places[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
                     continue
-                keys = batch.column(0).to_numpy(zero_copy_only=False)
-                rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64)
-                scores = np.round(matrix @ rows.T + 0.0, digits) + 0.0
-                values = np.array(batch.column(2).to_pylist(), dtype=object) if filters else None
-                found = []
-                for q in range(len(ids)):
-                    at = np.arange(n) if allowed[q] is None else np.flatnonzero([v in allowed[q] for v in values])
-                    order = at[np.lexsort((keys[at], -scores[q, at]))[: limits[q]]]
-                    found.append((np.full(len(order), ids[q]), keys[order], scores[q, order]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["query_id", key, "score"])
-
-        chosen = vectors.select(key, column, *([filters] if filters else []))
-        part = chosen.mapInArrow(run, f"query_id bigint, {key} {kinds[key]}, score double")
-        out = part if out is None else out.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return out.withColumn("rank", F.row_number().over(order))
+                if places[a] != place:
+                    yield from close()
+                    place, asked, block, best = places[a], [], None, None
+                part = batch.slice(a, b - a)
+                if kinds[a] == 0:
+                    asked.append(part)
+                    continue
+                if not asked:
+                    continue
+                if block is None:
+                    table = pa.Table.from_batches(asked)
+                    matrix = np.stack(table.column(3).to_pylist()).astype(np.float64)
+                    limits = table.column(4).to_numpy()
+                    filters = [[set(x) if x else None for x in table.column(c).to_pylist()] for c in (5, 6)]
+                    block = (table.column(2).to_numpy(), matrix, limits, filters)
+                    best = (np.full((len(matrix), int(limits.max())), -1, dtype=np.int64), np.full((len(matrix), int(limits.max())), -np.inf))
+                best = _merge(best, block, part, digits)
+        yield from close()
+
+    return run
+
+
+def _merge(best: tuple[np.ndarray, np.ndarray], block: tuple, part: pa.RecordBatch, digits: int) -> tuple[np.ndarray, np.ndarray]:
+    _, matrix, limits, filters = block
+    keys = part.column(2).to_numpy()
+    rows = part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
+    scores = np.round(matrix @ rows.T + 0.0, digits) + 0.0
+    for wanted, column in zip(filters, (7, 8)):
+        if any(w is not None for w in wanted):
+            values = part.column(column).to_pylist()
+            for q, w in enumerate(wanted):
+                if w is not None:
+                    scores[q, [v not in w for v in values]] = -np.inf
+    every = np.concatenate([best[1], scores], axis=1)
+    ids = np.concatenate([best[0], np.where(np.isneginf(scores), -1, keys)], axis=1)
+    width = best[0].shape[1]
+    if every.shape[1] > 4 * width:
+        # What is below the k-th best score cannot stay.
+        edge = np.partition(every, every.shape[1] - width, axis=1)[:, [every.shape[1] - width]]
+        keep = np.flatnonzero(((every >= edge) & (ids >= 0)).any(axis=0))
+        every, ids = every[:, keep], ids[:, keep]
+    order = np.lexsort((np.where(ids < 0, np.iinfo(np.int64).max, ids), -every), axis=1)[:, :width]
+    ids, every = np.take_along_axis(ids, order, axis=1), np.take_along_axis(every, order, axis=1)
+    if ids.shape[1] < width:
+        ids, every = np.pad(ids, ((0, 0), (0, width - ids.shape[1])), constant_values=-1), np.pad(every, ((0, 0), (0, width - every.shape[1])), constant_values=-np.inf)
+    beyond = np.arange(width)[None, :] >= limits[:, None]
+    ids[beyond], every[beyond] = -1, -np.inf
+    return ids, every
+
+
+def top_products(vectors: DataFrame, queries: DataFrame, asked: int, by: str | None = None, digits: int = 6) -> DataFrame:
+    """``(query_id, id, score, rank)``: the k best rows of every query by rounded product, ties to the smaller id.
+
+    ``vectors`` are ``(id, v, language, path)`` with unit vectors, ``queries`` as in ``QUERY`` and, where rows are only
+    compared within a value of it, the column ``by`` in both.  A null or empty list of languages or paths takes all.
+    ``asked`` is the number of queries, for the number of blocks.
+    """
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    blocks = max(1, math.ceil(asked / BLOCK))
+    within = F.col(by) if by else F.lit(0)
+    spot = lambda block, part: F.xxhash64(within, block, part)
+    nothing = F.lit(None).cast("array<string>")
+    q = queries.withColumn("_block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    left = q.select(spot(F.col("_block"), F.col("_part")).alias("place"), F.lit(0).alias("kind"), F.col("query_id").alias("id"), "v", "k", "languages", "paths", F.lit(None).cast("string").alias("language"), F.lit(None).cast("string").alias("path"))
+    v = vectors.withColumn("_part", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(parts)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = v.select(spot(F.col("_block"), F.col("_part")).alias("place"), F.lit(1).alias("kind"), "id", F.col("v").cast("array<double>").alias("v"), F.lit(None).cast("bigint").alias("k"), nothing.alias("languages"), nothing.alias("paths"), "language", "path")
+    met = left.unionByName(right).repartition("place").sortWithinPartitions("place", "kind")
+    found = met.mapInArrow(_best_rows(digits), "query_id bigint, id bigint, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(order))
+
+
+def dense_rows(spread: DataFrame, key: str, dimensions: int) -> DataFrame:
+    """``(key, v)``: unit vectors from the components ``(key, i, v)`` that are not zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, places, weights = batch.column(1), batch.column(1).values.field(0).to_numpy(), batch.column(1).values.field(1).to_numpy()
+            ends = lists.offsets.to_numpy()
+            v = np.zeros((batch.num_rows, dimensions))
+            v[np.repeat(np.arange(batch.num_rows), np.diff(ends)), places[ends[0] : ends[-1]]] = weights[ends[0] : ends[-1]]
+            norms = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            v /= np.where(norms > 0, norms, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(0, v.size + 1, dimensions, dtype=np.int32), v.ravel())], names=[key, "v"])
+
+    parts = spread.groupBy(key).agg(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), F.col("v").cast("double").alias("x"))).alias("p"))
+    return parts.mapInArrow(run, f"{key} bigint, v array<double>")
 
 
 def block_hits(run: Run) -> DataFrame:
-    """``dense_hits`` by block products: the queries' vectors are few and sent out, the chunks' stay where they are."""
+    """``dense_hits`` by block products."""
     from quern.plans.stages import DIMENSIONS
 
-    spark = run.spark
-    norms, weights = run.stage("chunk_norms"), run.stage("chunk_vectors")
-    spread = weights.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("i").cast("int"), F.col("v").cast("double")))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0)) / F.col("norm"))
-    vectors = spread.join(norms, "chunk_id").join(run.stage("chunk_keys").select("chunk_id", "language"), "chunk_id").select("chunk_id", dense.alias("v"), "language")
-    pools = {r.query_id: (r.pool, r.filter_languages) for r in run.stage("query_rows").select("query_id", "pool", "filter_languages").collect()}
-    made: dict[int, np.ndarray] = {}
-    for r in run.stage("query_vectors").collect():
-        made.setdefault(r.query_id, np.zeros(DIMENSIONS))[r.i] = r.v
-    queries = [(q, v / np.linalg.norm(v), *pools[q]) for q, v in sorted(made.items())]
-    hits = top_products(vectors, queries, "chunk_id", "v", "language")
-    limits = run.stage("query_rows").select("query_id", "pool")
-    return hits.join(limits, "query_id").where("rank <= pool").select("query_id", "chunk_id", "score", "rank")
+    keys = run.stage("chunk_keys").select("chunk_id", "language", F.col("file_path").alias("path"))
+    vectors = dense_rows(run.stage("chunk_vectors"), "chunk_id", DIMENSIONS).join(keys, "chunk_id").select(F.col("chunk_id").alias("id"), "v", "language", "path")
+    rows = run.stage("query_rows").select("query_id", F.col("pool").alias("k"), F.col("filter_languages").alias("languages"), F.col("filter_paths").alias("paths"))
+    queries = dense_rows(run.stage("query_vectors"), "query_id", DIMENSIONS).join(rows, "query_id")
+    hits = top_products(vectors, queries, rows.count())
+    limits = rows.select("query_id", "k")
+    return hits.join(limits, "query_id").where("rank <= k").select("query_id", F.col("id").alias("chunk_id"), "score", "rank")

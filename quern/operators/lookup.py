@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.dense import BLOCK, top_products
+from quern.operators.dense import top_products
+from quern.session import cut
 
 
 def unit_vectors(vectors: DataFrame, key: str = "chunk_id", column: str = "embedding", dimensions: int = 64) -> DataFrame:
@@ -17,30 +18,27 @@ def unit_vectors(vectors: DataFrame, key: str = "chunk_id", column: str = "embed
     return kept.withColumn("_n", norm).select(key, F.transform("v", lambda x: x / F.col("_n")).alias("v"))
 
 
+def related_to(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """``(query_id, chunk_id, score, rank)``: of every asked chunk the ``k`` most similar others of its language.
+
+    Both are ``(chunk_id, v, language)`` with unit vectors; a chunk without a language has no relatives.
+    """
+    nothing = F.lit(None).cast("array<string>")
+    queries = asked.where("language is not null").select(F.col("chunk_id").alias("query_id"), "v", F.lit(k + 1).cast("bigint").alias("k"), nothing.alias("languages"), nothing.alias("paths"), "language")
+    vectors = rows.where("language is not null").select(F.col("chunk_id").alias("id"), "v", "language", F.lit(None).cast("string").alias("path"))
+    found = top_products(vectors, queries, queries.count(), by="language").where("id <> query_id")
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.select("query_id", F.col("id").alias("chunk_id"), "score", order.cast("bigint").alias("rank")).where(F.col("rank") <= k)
+
+
 def related_chunks(vectors: DataFrame, chunks: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """``(query_id, chunk_id, score, rank)``: for each asked chunk the most similar others of its language.
 
-    Asked are the chunks whose id is divisible by ``every``; they go through all vectors in blocks of bounded size.
+    Asked are the chunks whose id is divisible by ``every``, against all vectors.
     """
-    units = unit_vectors(vectors)
     languages = chunks.where("chunk_id is not null").groupBy("chunk_id").agg(F.min(F.lower("language")).alias("language"))
-    rows = units.join(languages, "chunk_id")
-    asked = rows.where(F.col("chunk_id") % every == 0)
-    out = None
-    block: list[tuple] = []
-
-    def search(part: list[tuple]) -> DataFrame:
-        return top_products(rows, part, "chunk_id", "v", "language").where("chunk_id <> query_id")
-
-    for r in asked.toLocalIterator():
-        if r.language is not None:
-            block.append((r.chunk_id, r.v, k + 1, [r.language]))
-        if len(block) == BLOCK:
-            out, block = search(block) if out is None else out.unionByName(search(block)), []
-    if block or out is None:
-        out = search(block) if out is None else out.unionByName(search(block))
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return out.withColumn("rank", order.cast("bigint")).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
+    rows = cut(unit_vectors(vectors).join(languages, "chunk_id"))
+    return related_to(rows.where(F.col("chunk_id") % every == 0), rows, k)
 
 
 FIND_RELATED_SQL = """

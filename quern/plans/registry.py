@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.functions.dialect import DUCK, SPARK
 from quern.operators.lookup import FIND_RELATED_SQL, related_chunks
-from quern.plans.catalog import CATALOG
+from quern.plans.catalog import CATALOG, INSTEAD
 from quern.plans.runner import Run, duck_sql
 from quern.session import table
 
@@ -19,12 +19,12 @@ def find_related(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {name: lambda spark, d, f=f: Run(spark, d).sql(f(SPARK)) for name, f in CATALOG.items()}
+    out = {name: lambda spark, d, f=f, instead=INSTEAD.get(name): Run(spark, d, instead).sql(f(SPARK)) for name, f in CATALOG.items()}
     return out | {"find_related": find_related}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: duck_sql(f(DUCK)) for name, f in CATALOG.items()} | {"find_related": FIND_RELATED_SQL}
+    return {name: duck_sql(f(DUCK), INSTEAD.get(name)) for name, f in CATALOG.items()} | {"find_related": FIND_RELATED_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.functions.dialect import DUCK, SPARK
+from quern.functions.dialect import DUCK, GREATEST_POOL, SPARK
 from quern.operators.dense import block_hits
-from quern.plans.stages import HEAVY, STAGES
+from quern.plans.stages import HEAVY, STAGES, Stage
 from quern.session import cut, table
 
 #: Tables that a stage may read besides other stages.
@@ -22,30 +22,35 @@ def _names(sql: str, among: tuple[str, ...] | list[str]) -> list[str]:
     return [n for n in among if re.search(rf"(?:FROM|JOIN|,)\s+\(?{n}\b", sql)]
 
 
-def needed(sql: str) -> list[str]:
+def needed(sql: str, stages: dict[str, Stage] = STAGES) -> list[str]:
     """The stages that a statement needs, in order."""
     found: set[str] = set()
-    todo = _names(sql, list(STAGES))
+    todo = _names(sql, list(stages))
     while todo:
         n = todo.pop()
         if n not in found:
             found.add(n)
-            todo.extend(_names(STAGES[n](DUCK), list(STAGES)))
-    return [n for n in STAGES if n in found]
+            todo.extend(_names(stages[n](DUCK), list(stages)))
+    return [n for n in stages if n in found]
 
 
-def duck_sql(sql: str) -> str:
-    """A statement with the stages it needs as common table expressions."""
-    parts = [f"{n} AS MATERIALIZED ({STAGES[n](DUCK)})" for n in needed(sql)]
+def duck_sql(sql: str, instead: dict[str, Stage] | None = None) -> str:
+    """A statement with the stages it needs as common table expressions; ``instead`` has stages that take others' places."""
+    stages = STAGES | (instead or {})
+    parts = [f"{n} AS MATERIALIZED ({stages[n](DUCK)})" for n in needed(sql, stages)]
     return (f"WITH {',\n'.join(parts)}\n" if parts else "") + sql
 
 
 class Run:
     """The stages over one data directory; each is planned once, heavy ones are written once."""
 
-    def __init__(self, spark: SparkSession, source: str | dict[str, DataFrame]) -> None:
+    def __init__(self, spark: SparkSession, source: str | dict[str, DataFrame], instead: dict[str, Stage] | None = None, built: dict[str, DataFrame] | None = None) -> None:
+        """``source`` has the tables, ``instead`` stages that take others' places, ``built`` stages that are there already."""
         self.spark, self.source, self.prefix = spark, source, f"quern_{next(_runs)}_"
+        self.stages = STAGES | (instead or {})
         self.done: dict[str, DataFrame] = {}
+        for name, df in (built or {}).items():
+            self._view(name, df)
 
     def _view(self, name: str, df: DataFrame) -> None:
         df.createOrReplaceTempView(self.prefix + name)
@@ -54,6 +59,9 @@ class Run:
     def _bind(self, sql: str, names: list[str]) -> str:
         for n in names:
             sql = re.sub(rf"((?:FROM|JOIN|,)\s+\(?){n}\b", rf"\g<1>{self.prefix}{n}", sql)
+        if GREATEST_POOL in sql:
+            pool = self.stage("query_rows").selectExpr("coalesce(max(pool), 0) AS pool").collect()[0].pool
+            sql = sql.replace(GREATEST_POOL, str(pool))
         return sql
 
     def _tables(self, sql: str) -> None:
@@ -63,8 +71,8 @@ class Run:
 
     def stage(self, name: str) -> DataFrame:
         if name not in self.done:
-            text = STAGES[name](SPARK)
-            inputs = _names(STAGES[name](DUCK), list(STAGES))
+            text = self.stages[name](SPARK)
+            inputs = _names(self.stages[name](DUCK), list(self.stages))
             for n in inputs:
                 self.stage(n)
             self._tables(text)
@@ -74,7 +82,7 @@ class Run:
 
     def sql(self, text: str) -> DataFrame:
         """A statement over tables and stages."""
-        names = _names(text, list(STAGES))
+        names = _names(text, list(self.stages))
         for n in names:
             self.stage(n)
         self._tables(text)

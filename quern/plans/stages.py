@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from quern.functions import classify, text
 from quern.functions.dialect import Spark
+from quern.plans.probes import NAMES, STRIDE
 
 Stage = Callable[[Spark], str]
 STAGES: dict[str, Stage] = {}
@@ -108,6 +109,19 @@ def symbol_postings(d: Spark) -> str:
     return "SELECT name, chunk_id, row_number() OVER (PARTITION BY name ORDER BY chunk_id) - 1 AS place FROM (SELECT DISTINCT lower(name) AS name, chunk_id FROM symbol_rows WHERE name IS NOT NULL) x"
 
 
+@stage(heavy=True)
+def probe_names(d: Spark) -> str:
+    """The most widespread symbols with the first file that declares them, for queries made from the chunks (``probes``)."""
+    return f"""SELECT name, path, place FROM (SELECT name, path, CAST(row_number() OVER (ORDER BY n DESC, name) AS BIGINT) AS place FROM (
+      SELECT name, count(DISTINCT chunk_id) AS n, min(file_path) AS path FROM symbol_rows WHERE name IS NOT NULL GROUP BY name) x) y WHERE place <= {NAMES}"""
+
+
+@stage
+def targets(d: Spark) -> str:
+    """Where each such name is declared: what a query for it should find."""
+    return "SELECT DISTINCT p.place, s.file_path AS path, s.line AS first_line, s.line AS last_line FROM probe_names p JOIN symbol_rows s ON p.name = s.name WHERE s.line IS NOT NULL"
+
+
 @stage(heavy=True)
 def file_features(d: Spark) -> str:
     """Per file: its stems, path terms and classes."""
@@ -129,15 +143,32 @@ def file_terms(d: Spark) -> str:
       UNION ALL {of("language").format("chunk_rows")} UNION ALL {of("name").format("symbol_rows")} UNION ALL {of("kind").format("symbol_rows")} UNION ALL {crumbs}) x GROUP BY file_path, term"""
 
 
+@stage
+def file_starts(d: Spark) -> str:
+    """The lines of a file at which chunks start, with the first two chunks there and what stands before and after."""
+    both = lambda near, far: d.slice(d.cat(f"coalesce({near}, {d.no_numbers()})", f"coalesce({far}, {d.no_numbers()})"), "1", "2")
+    firsts = d.slice(d.ordered_list("chunk_id", "chunk_id"), "1", "2")
+    over = "OVER (PARTITION BY file_path ORDER BY start_line)"
+    return f"""SELECT file_path, start_line, {both("p1", "p2")} AS before, {both("n1", "n2")} AS after FROM (
+      SELECT file_path, start_line, lag(ids) {over} AS p1, lag(ids, 2) {over} AS p2, lead(ids) {over} AS n1, lead(ids, 2) {over} AS n2 FROM (
+        SELECT file_path, start_line, {firsts} AS ids FROM chunk_keys WHERE start_line IS NOT NULL GROUP BY file_path, start_line) x) y"""
+
+
 # ---- queries -------------------------------------------------------------------------------------------------------
 
 
+@stage
+def asked_queries(d: Spark) -> str:
+    """The batch as it was logged; a batch of another origin takes this stage's place."""
+    return f"SELECT query_id, query_text, search_mode, top_k, alpha, filter_languages, {d.null_strings()} AS filter_paths, issued_at FROM queries"
+
+
 @stage(heavy=True)
 def query_rows(d: Spark) -> str:
     features = ", ".join(f"{v} AS {k}" for k, v in classify.query_features(d, "query_text").items())
     return f"""SELECT *, {classify.resolved_alpha("own_alpha")} AS alpha, CAST({classify.pool_size("top_k")} AS BIGINT) AS pool FROM (
-      SELECT query_id, query_text, coalesce(top_k, 5) AS top_k, alpha AS own_alpha, filter_languages, {features}
-      FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY issued_at) AS n FROM queries WHERE query_id IS NOT NULL) q WHERE n = 1) x"""
+      SELECT query_id, query_text, coalesce(top_k, 5) AS top_k, alpha AS own_alpha, filter_languages, {d.map("filter_paths", "p", text.normalized_path(d, "p"))} AS filter_paths, {features}
+      FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY issued_at) AS n FROM asked_queries WHERE query_id IS NOT NULL) q WHERE n = 1) x"""
 
 
 @stage(heavy=True)
@@ -160,8 +191,10 @@ def query_path_terms(d: Spark) -> str:
     return f"SELECT query_id, term FROM query_rows q{d.unnest(text.query_path_terms(d, 'query_text'), 'a', 'term')}"
 
 
-def _allowed(d: Spark, language: str) -> str:
-    return f"(q.filter_languages IS NULL OR {d.size('q.filter_languages')} = 0 OR {d.has('q.filter_languages', language)})"
+def _allowed(d: Spark, c: str) -> str:
+    """Whether the query ``q`` takes chunks like those of ``c``: any of its languages, and any of its paths."""
+    one_of = lambda wanted, value: f"(q.{wanted} IS NULL OR {d.size(f'q.{wanted}')} = 0 OR {d.has(f'q.{wanted}', value)})"
+    return f"({one_of('filter_languages', f'{c}.language')} AND {one_of('filter_paths', f'{c}.file_path')})"
 
 
 # ---- retrievers ----------------------------------------------------------------------------------------------------
@@ -169,11 +202,12 @@ def _allowed(d: Spark, language: str) -> str:
 
 @stage(heavy=True)
 def bm25_hits(d: Spark) -> str:
-    """Every chunk that holds a query term and passes the query's filter, ranked."""
-    return f"""SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
-      SELECT t.query_id, i.chunk_id, round(sum(i.weight), 6) AS score
-      FROM query_terms t JOIN impacts i ON t.term = i.term JOIN query_rows q ON t.query_id = q.query_id JOIN chunk_keys c ON i.chunk_id = c.chunk_id
-      WHERE {_allowed(d, "c.language")} GROUP BY t.query_id, i.chunk_id) x WHERE score > 0"""
+    """The chunks that hold a query term and pass the query's filter, ranked as far as the query's pool goes."""
+    return f"""SELECT query_id, chunk_id, score, rank FROM (
+      SELECT query_id, chunk_id, score, pool, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+        SELECT t.query_id, i.chunk_id, q.pool, round(sum(i.weight), 6) AS score
+        FROM query_terms t JOIN impacts i ON t.term = i.term JOIN query_rows q ON t.query_id = q.query_id JOIN chunk_keys c ON i.chunk_id = c.chunk_id
+        WHERE {_allowed(d, "c")} GROUP BY t.query_id, i.chunk_id, q.pool) x WHERE score > 0) y WHERE {d.within("rank", "pool")}"""
 
 
 @stage(heavy=True)
@@ -182,23 +216,18 @@ def dense_hits(d: Spark) -> str:
     return f"""SELECT query_id, chunk_id, score, rank FROM (
       SELECT query_id, chunk_id, score, pool, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
         SELECT q.query_id, c.chunk_id, q.pool, round(coalesce(p.dot, 0) / (qn.norm * n.norm), 6) AS score
-        FROM query_rows q JOIN query_norms qn ON q.query_id = qn.query_id JOIN chunk_keys c ON {_allowed(d, "c.language")} JOIN chunk_norms n ON c.chunk_id = n.chunk_id
+        FROM query_rows q JOIN query_norms qn ON q.query_id = qn.query_id JOIN chunk_keys c ON {_allowed(d, "c")} JOIN chunk_norms n ON c.chunk_id = n.chunk_id
         LEFT JOIN (SELECT a.query_id, b.chunk_id, CAST(sum(a.v * b.v) AS DOUBLE) AS dot FROM query_vectors a JOIN chunk_vectors b ON a.i = b.i GROUP BY a.query_id, b.chunk_id) p
           ON p.query_id = q.query_id AND p.chunk_id = c.chunk_id) x) y WHERE rank <= pool"""
 
 
-@stage
-def bm25_pool(d: Spark) -> str:
-    return "SELECT h.query_id, h.chunk_id, h.score, h.rank FROM bm25_hits h JOIN query_rows q ON h.query_id = q.query_id WHERE h.rank <= q.pool"
-
-
 @stage
 def symbol_candidates(d: Spark) -> str:
     """Chunks with a symbol that the query names; the first 64 per query in the order of term and place."""
     return f"""SELECT query_id, chunk_id, sum(part) AS part FROM (
       SELECT query_id, chunk_id, 1.0 / ({RRF + 1} + place) AS part, row_number() OVER (PARTITION BY query_id ORDER BY term, place) AS n FROM (
         SELECT q.query_id, q.term, s.chunk_id, s.place FROM (SELECT * FROM query_rows q{d.unnest(text.symbol_terms(d, "query_text"), "a", "term")} WHERE is_symbol OR has_camel_word) q
-        JOIN symbol_postings s ON q.term = s.name JOIN chunk_keys c ON s.chunk_id = c.chunk_id WHERE {_allowed(d, "c.language")}) x) y
+        JOIN symbol_postings s ON q.term = s.name JOIN chunk_keys c ON s.chunk_id = c.chunk_id WHERE {_allowed(d, "c")}) x) y
     WHERE n <= 64 GROUP BY query_id, chunk_id"""
 
 
@@ -210,7 +239,7 @@ def file_card_candidates(d: Spark) -> str:
         SELECT o.query_id, o.file_path, o.overlap, min(f.chunk_id) AS chunk_id FROM (
           SELECT t.query_id, f.file_path, count(*) AS overlap FROM query_terms t JOIN query_rows q ON t.query_id = q.query_id JOIN file_terms f ON t.term = f.term, corpus_stats s
           WHERE length(t.term) >= 3 AND (q.is_file_card OR (q.is_broad AND s.n_chunks <= 1500)) GROUP BY t.query_id, f.file_path HAVING max(f.in_path) = 1) o
-        JOIN query_rows q ON o.query_id = q.query_id JOIN chunk_keys f ON o.file_path = f.file_path AND {_allowed(d, "f.language")} GROUP BY o.query_id, o.file_path, o.overlap) x) y WHERE n <= 32"""
+        JOIN query_rows q ON o.query_id = q.query_id JOIN chunk_keys f ON o.file_path = f.file_path AND {_allowed(d, "f")} GROUP BY o.query_id, o.file_path, o.overlap) x) y WHERE n <= 32"""
 
 
 # ---- fusion --------------------------------------------------------------------------------------------------------
@@ -219,7 +248,7 @@ def file_card_candidates(d: Spark) -> str:
 @stage
 def rrf_parts(d: Spark) -> str:
     return f"""SELECT h.query_id, h.chunk_id, q.alpha / ({RRF} + h.rank) AS part FROM dense_hits h JOIN query_rows q ON h.query_id = q.query_id
-    UNION ALL SELECT h.query_id, h.chunk_id, (1 - q.alpha) / ({RRF} + h.rank) AS part FROM bm25_pool h JOIN query_rows q ON h.query_id = q.query_id"""
+    UNION ALL SELECT h.query_id, h.chunk_id, (1 - q.alpha) / ({RRF} + h.rank) AS part FROM bm25_hits h JOIN query_rows q ON h.query_id = q.query_id"""
 
 
 @stage
@@ -227,7 +256,7 @@ def agreement(d: Spark) -> str:
     """What two retrievers add by naming the same chunk among their first fifty."""
     return f"""SELECT query_id, chunk_id, 0.35 / ({RRF + 1} + b) * bal + CASE WHEN w < 5 THEN 1.5 / ({RRF + 1} + b) * bal ELSE 0 END AS part FROM (
       SELECT s.query_id, s.chunk_id, least(s.rank, m.rank) - 1 AS b, greatest(s.rank, m.rank) - 1 AS w, 1 / (1 + (greatest(s.rank, m.rank) - least(s.rank, m.rank)) / 25.0) AS bal
-      FROM dense_hits s JOIN bm25_pool m ON s.query_id = m.query_id AND s.chunk_id = m.chunk_id WHERE s.rank <= 50 AND m.rank <= 50) x"""
+      FROM dense_hits s JOIN bm25_hits m ON s.query_id = m.query_id AND s.chunk_id = m.chunk_id WHERE s.rank <= 50 AND m.rank <= 50) x"""
 
 
 @stage(heavy=True)
@@ -289,13 +318,20 @@ def file_stem_forms(d: Spark) -> str:
     return f"SELECT DISTINCT file_path, form FROM (SELECT file_path, {use('stem')} AS forms FROM file_features) f{d.unnest('forms', 'a', 'form')}"
 
 
+@stage
+def public_words(d: Spark) -> str:
+    """The words that stand in files with a public role; what such a file defines is among them."""
+    words = d.distinct(d.split("content", "[^A-Za-z0-9_]+"))
+    return f"SELECT chunk_id, word FROM (SELECT c.chunk_id, c.content FROM chunk_rows c JOIN file_features f ON c.file_path = f.file_path WHERE f.is_public) c{d.unnest(words, 'a', 'word')} WHERE word <> ''"
+
+
 @stage
 def definition_places(d: Spark) -> str:
     """Where a named symbol may be defined: the candidates, and files that its name or their role points to."""
     prefixes = f"SELECT DISTINCT query_id, substr(low, 1, n) AS prefix, n = length(low) AS whole FROM (SELECT query_id, lower(name) AS low FROM query_names WHERE unit < 2) x{d.unnest(d.range('1', 'CAST(greatest(length(low), 1) AS INT)') if d.name == 'spark' else d.range('1', 'greatest(length(low), 1)'), 'a', 'n')}"
     return f"""SELECT query_id, chunk_id FROM coherent WHERE query_id IN (SELECT query_id FROM query_names)
     UNION SELECT n.query_id, c.chunk_id FROM query_names n JOIN file_stem_forms f ON lower(n.name) = f.form JOIN chunk_keys c ON f.file_path = c.file_path WHERE n.main
-    UNION SELECT q.query_id, c.chunk_id FROM query_rows q JOIN (SELECT true AS yes, file_path FROM file_features WHERE is_public) f ON q.is_symbol = f.yes JOIN chunk_keys c ON f.file_path = c.file_path
+    UNION SELECT n.query_id, w.chunk_id FROM query_names n JOIN public_words w ON n.name = w.word WHERE n.unit > 2
     UNION SELECT p.query_id, c.chunk_id FROM ({prefixes}) p JOIN (SELECT file_path, stem AS form FROM file_features UNION SELECT file_path, replace(stem, '_', '') FROM file_features) f
       ON p.prefix = f.form AND (p.whole OR length(f.form) >= 4) JOIN chunk_keys c ON f.file_path = c.file_path"""
 
@@ -337,7 +373,7 @@ def named_boosted(d: Spark) -> str:
     return f"""SELECT c.query_id, c.chunk_id, c.file_path, round(c.score + c.m * (coalesce(s.share, 0.0) + coalesce(s.public, 0.0)) + c.m * coalesce(t.tier, 0.0), 9) AS score, c.m FROM coherent c
       LEFT JOIN stem_boosts s ON c.query_id = s.query_id AND c.file_path = s.file_path LEFT JOIN definition_tiers t ON c.query_id = t.query_id AND c.chunk_id = t.chunk_id
     UNION ALL SELECT t.query_id, t.chunk_id, k.file_path, round(x.m * t.tier, 9) AS score, x.m FROM definition_tiers t JOIN maxima x ON t.query_id = x.query_id JOIN query_rows q ON t.query_id = q.query_id
-      JOIN chunk_keys k ON t.chunk_id = k.chunk_id LEFT JOIN coherent c ON c.query_id = t.query_id AND c.chunk_id = t.chunk_id WHERE c.chunk_id IS NULL AND {_allowed(d, "k.language")}"""
+      JOIN chunk_keys k ON t.chunk_id = k.chunk_id LEFT JOIN coherent c ON c.query_id = t.query_id AND c.chunk_id = t.chunk_id WHERE c.chunk_id IS NULL AND {_allowed(d, "k")}"""
 
 
 @stage(heavy=True)
@@ -362,7 +398,7 @@ def path_boosted(d: Spark) -> str:
       UNION ALL SELECT query_id, chunk_id, file_path, round(m * least(0.25 + 0.2 * overlap, 0.9), 9) AS score, m FROM (
         SELECT o.query_id, k.chunk_id, k.file_path, o.overlap, x.m, row_number() OVER (PARTITION BY o.query_id ORDER BY k.chunk_id) AS n FROM path_overlaps o JOIN maxima x ON o.query_id = x.query_id
         JOIN query_rows q ON o.query_id = q.query_id JOIN chunk_keys k ON o.file_path = k.file_path LEFT JOIN named_boosted b ON b.query_id = o.query_id AND b.chunk_id = k.chunk_id
-        WHERE o.overlap >= 2 AND q.path_intent AND b.chunk_id IS NULL AND {_allowed(d, "k.language")}) y WHERE n <= 32) c
+        WHERE o.overlap >= 2 AND q.path_intent AND b.chunk_id IS NULL AND {_allowed(d, "k")}) y WHERE n <= 32) c
     JOIN query_rows q ON c.query_id = q.query_id JOIN file_features f ON c.file_path = f.file_path LEFT JOIN path_overlaps o ON o.query_id = c.query_id AND o.file_path = c.file_path"""
 
 
@@ -375,7 +411,7 @@ def penalised(d: Spark) -> str:
     factor = """CASE WHEN f.is_test AND NOT q.allow_tests THEN 0.3 ELSE 1.0 END * CASE WHEN f.is_stub THEN 0.5 ELSE 1.0 END * CASE WHEN f.is_compat THEN 0.3 ELSE 1.0 END
       * CASE WHEN f.is_example AND NOT q.allow_examples THEN 0.3 ELSE 1.0 END * CASE WHEN f.is_type_def AND NOT q.allow_type_defs THEN 0.7 ELSE 1.0 END"""
     return f"""SELECT b.query_id, b.chunk_id, b.file_path, b.score AS boosted, CASE WHEN q.alpha < 1 THEN CAST({factor} AS DOUBLE) ELSE 1.0 END AS penalty,
-      round(b.score * CASE WHEN q.alpha < 1 THEN CAST({factor} AS DOUBLE) ELSE 1.0 END, 9) AS score
+      b.score * CASE WHEN q.alpha < 1 THEN CAST({factor} AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS score
     FROM path_boosted b JOIN query_rows q ON b.query_id = q.query_id JOIN file_features f ON b.file_path = f.file_path"""
 
 
@@ -387,3 +423,35 @@ def hybrid_hits(d: Spark) -> str:
         SELECT query_id, chunk_id, file_path, top_k, round(score * power(0.5, n - 1), 6) AS score FROM (
           SELECT p.query_id, p.chunk_id, p.file_path, p.score, q.top_k, row_number() OVER (PARTITION BY p.query_id, p.file_path ORDER BY p.score DESC, p.chunk_id) AS n
           FROM penalised p JOIN query_rows q ON p.query_id = q.query_id) x) y) z WHERE rank <= top_k"""
+
+
+# ---- evaluation ----------------------------------------------------------------------------------------------------
+
+
+def finds(d: Spark, h: str, t: str) -> str:
+    """Whether a hit is what a target means: the same path or the end of it, and lines that overlap where both name lines."""
+    slash = lambda p: f"replace({p}, {d.lit(chr(92))}, '/')"
+    hit, target = slash(f"{h}.file_path"), slash(f"{t}.path")
+    path = f"({hit} = {target} OR {d.ends(hit, f"concat('/', {target})")} OR {d.ends(target, f"concat('/', {hit})")})"
+    return f"({path} AND ({t}.first_line IS NULL OR {t}.last_line IS NULL OR NOT ({h}.end_line < {t}.first_line OR {h}.start_line > {t}.last_line)))"
+
+
+def target_ranks(d: Spark, hits: str, stride: int = STRIDE) -> str:
+    """``(query_id, path, first_line, rank)``: the first hit of every query that finds its target, null if none does."""
+    found = f"SELECT q.query_id, t.path, t.first_line, min(h.rank) AS rank FROM query_rows q JOIN targets t ON t.place = CAST(floor(q.query_id / {stride}) AS BIGINT) + 1 JOIN (SELECT h.query_id, h.rank, c.file_path, c.start_line, c.end_line FROM {hits} h JOIN chunk_keys c ON h.chunk_id = c.chunk_id) h ON h.query_id = q.query_id AND {finds(d, 'h', 't')} GROUP BY q.query_id, t.path, t.first_line"
+    return f"SELECT q.query_id, t.path, t.first_line, f.rank FROM query_rows q JOIN targets t ON t.place = CAST(floor(q.query_id / {stride}) AS BIGINT) + 1 LEFT JOIN ({found}) f ON f.query_id = q.query_id AND f.path = t.path AND f.first_line = t.first_line"
+
+
+@stage(heavy=True)
+def final_ranks(d: Spark) -> str:
+    return target_ranks(d, "hybrid_hits")
+
+
+@stage
+def bm25_ranks(d: Spark) -> str:
+    return target_ranks(d, "bm25_hits")
+
+
+@stage
+def semantic_ranks(d: Spark) -> str:
+    return target_ranks(d, "dense_hits")
