@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.functions.dialect import DUCK, GREATEST_POOL, SPARK
 from quern.operators.dense import block_hits
+from quern.operators.encoders import Encoder
 from quern.plans.stages import HEAVY, STAGES, Stage
 from quern.session import cut, table
 
@@ -49,6 +50,8 @@ class Run:
         self.spark, self.source, self.prefix = spark, source, f"quern_{next(_runs)}_"
         self.stages = STAGES | (instead or {})
         self.done: dict[str, DataFrame] = {}
+        #: Vectors of another origin than the hashed tokens.
+        self.encoder: Encoder | None = None
         for name, df in (built or {}).items():
             self._view(name, df)
 

@@ -29,10 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts: ``spark.checkpoint.dir`` where it is set, else one of our own (single-host tests only)."""
+    """The shared folder for lineage cuts: ``spark.checkpoint.dir``.  Where it is not set, a folder of our own on a single host;
+    on a cluster that is an error, as its hosts would not see each other's files."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all hosts share")
     own = spark.conf.get("quern.checkpoint.dir", None)
     if not own:
         own = tempfile.mkdtemp(prefix="quern-checkpoint-")

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VERSION = 1
+VERSION = 2
 
 
 def index_key(source_id: str, options: dict) -> str:
@@ -21,30 +21,50 @@ def index_key(source_id: str, options: dict) -> str:
     return hashlib.sha256(json.dumps([VERSION, source_id, options], sort_keys=True).encode()).hexdigest()
 
 
-def save_tables(tables: dict[str, DataFrame], folder: str) -> None:
-    """Write the tables beside their place and swap them in; a failure leaves the old ones and is raised."""
-    staged = f"{folder}.{uuid.uuid4().hex}"
-    try:
-        for name, df in tables.items():
-            df.write.parquet(f"{staged}/{name}")
-        with open(f"{staged}/_meta.json", "w", encoding="utf-8") as f:
-            json.dump({"version": VERSION, "tables": sorted(tables), "built_at": time.time()}, f)
-        if os.path.isdir(folder):
-            os.rename(folder, f"{staged}.old")
-        os.rename(staged, folder)
-    finally:
-        shutil.rmtree(staged, ignore_errors=True)
-        shutil.rmtree(f"{staged}.old", ignore_errors=True)
-
-
-def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame] | None:
-    """The tables of an index, or None if there is none of this version."""
-    try:
-        with open(f"{folder}/_meta.json", encoding="utf-8") as f:
-            meta = json.load(f)
-    except (OSError, ValueError):
-        return None
-    return {n: spark.read.parquet(f"{folder}/{n}") for n in meta["tables"]} if meta.get("version") == VERSION else None
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, which may be that of a cluster, and the path in it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _versions(spark: SparkSession, folder: str) -> list[str]:
+    """The complete versions of an index, oldest first; the marker is written last."""
+    fs, path = _files(spark, folder)
+    if not fs.exists(path):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory())
+    return [n for n in names if n.startswith("v") and fs.exists(_files(spark, f"{folder}/{n}/{MARKER}")[1])]
+
+
+MARKER = "complete.json"
+
+
+def save_tables(tables: dict[str, DataFrame], folder: str, identity: str = "") -> str:
+    """Write the tables as a new version of the index; the versions before it go once it is complete.
+
+    A failure leaves the old version and is raised.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    version = f"v{time.time_ns():020d}"
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/{version}/{name}")
+    old = _versions(spark, folder)
+    fs, marker = _files(spark, f"{folder}/{version}/{MARKER}")
+    out = fs.create(marker, True)
+    out.write(bytearray(json.dumps({"version": VERSION, "identity": identity, "tables": sorted(tables), "built_at": time.time()}).encode()))
+    out.close()
+    for name in old:
+        fs.delete(_files(spark, f"{folder}/{name}")[1], True)
+    return version
+
+
+def load_tables(spark: SparkSession, folder: str, identity: str = "") -> dict[str, DataFrame] | None:
+    """The tables of the last complete version, or None if there is none of this format and identity."""
+    for name in reversed(_versions(spark, folder)):
+        meta = json.loads("".join(r.value for r in spark.read.text(f"{folder}/{name}/{MARKER}", wholetext=True).collect()))
+        if meta.get("version") == VERSION and meta.get("identity") == identity:
+            return {n: spark.read.parquet(f"{folder}/{name}/{n}") for n in meta["tables"]}
+    return None
 
 
 def signature_changes(before: DataFrame, after: DataFrame) -> DataFrame:

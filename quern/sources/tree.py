@@ -70,13 +70,38 @@ class IgnoreRules:
         return found
 
 
+def rules_above(root: str) -> list[tuple[str, IgnoreRules]]:
+    """``(folder, rules)`` that hold for the root from outside it, the weakest first: the user's global file, the
+    repository's exclude file, the ignore files of the folders above up to the repository's top."""
+    config = os.environ.get("XDG_CONFIG_HOME") or os.path.join(os.path.expanduser("~"), ".config")
+    files, above = [(root, os.path.join(config, "git", "ignore"))], []
+    folder = root
+    while True:
+        if os.path.isdir(os.path.join(folder, ".git")):
+            files.append((folder, os.path.join(folder, ".git", "info", "exclude")))
+            break
+        if os.path.dirname(folder) == folder:
+            above = above[:0]
+            break
+        folder = os.path.dirname(folder)
+        above[:0] = [(folder, os.path.join(folder, name)) for name in (".gitignore", ".ignore")]
+    out = []
+    for base, path in [*files, *above]:
+        if os.path.isfile(path):
+            with open(path, encoding="utf-8", errors="replace") as f:
+                out.append((base, IgnoreRules(f.read())))
+    return out
+
+
 def walk(root: str, types: dict[str, str], ignore: Iterable[str] = ()) -> list[str]:
     """Relative paths of the files to index, in the order of their path components.
 
-    Nested ``.gitignore`` and ``.ignore`` files hold for what is below them, the nearest first; hidden names, default
+    Nested ``.gitignore`` and ``.ignore`` files hold for what is below them, the nearest first, then those of the folders
+    above the root, the repository's own exclude file and the user's global ignore file; hidden names, default
     directories and lock files, the caller's names, other types and files above the size limit are left out.
     """
     skip, found = set(ignore), []
+    root = os.path.abspath(root)
 
     def visit(directory: str, above: list[tuple[str, IgnoreRules]]) -> None:
         rules = list(above)
@@ -84,13 +109,13 @@ def walk(root: str, types: dict[str, str], ignore: Iterable[str] = ()) -> list[s
             path = os.path.join(root, directory, name)
             if os.path.isfile(path):
                 with open(path, encoding="utf-8", errors="replace") as f:
-                    rules.append((directory, IgnoreRules(f.read())))
+                    rules.append((os.path.join(root, directory), IgnoreRules(f.read())))
         for entry in sorted(os.scandir(os.path.join(root, directory)), key=lambda e: e.name):
             name, path = entry.name, f"{directory}/{entry.name}" if directory else entry.name
             is_dir = entry.is_dir(follow_symlinks=False)
             if name.startswith(".") or name in skip or name in (IGNORED_DIRS if is_dir else IGNORED_FILES):
                 continue
-            verdicts = (r.verdict(path[len(base) + 1 if base else 0 :], is_dir) for base, r in reversed(rules))
+            verdicts = (r.verdict(os.path.relpath(os.path.join(root, path), base).replace(os.sep, "/"), is_dir) for base, r in reversed(rules))
             if next((v for v in verdicts if v is not None), False):
                 continue
             if is_dir:
@@ -98,7 +123,7 @@ def walk(root: str, types: dict[str, str], ignore: Iterable[str] = ()) -> list[s
             elif entry.is_file(follow_symlinks=False) and os.path.splitext(name)[1].lower() in types and entry.stat().st_size <= MAX_FILE_BYTES:
                 found.append(path)
 
-    visit("", [])
+    visit("", rules_above(root))
     return sorted(found, key=lambda p: p.split("/"))
 
 
@@ -151,10 +176,22 @@ def is_git_url(source: str) -> bool:
     return bool(re.match(r"(?:https?|ssh|git|git\+ssh|file)://", source)) or bool(re.match(r"[\w.-]+@[\w.-]+:(?!/)", source))
 
 
-def clone(url: str, ref: str | None = None, offline: bool = False) -> str:
-    """A shallow clone of a repository in a new folder; refused when offline."""
+def clone(url: str, ref: str | None = None, offline: bool = False, into: str | None = None) -> str:
+    """A shallow clone of a repository in a new folder, refused when offline; ``into`` must be shared where workers read it."""
     if offline:
         raise ValueError("Git sources need the network")
-    target = tempfile.mkdtemp(prefix="quern-clone-")
+    target = tempfile.mkdtemp(prefix="quern-clone-", dir=into)
     subprocess.run(["git", "clone", "--depth", "1", *(["--branch", ref] if ref else []), "--", url, target], check=True, capture_output=True)
     return target
+
+
+def resolve_source(source: str, ref: str | None = None, offline: bool = False) -> tuple[str, str, str]:
+    """``(kind, source, id)``: a repository's address, refused when offline, or the full path of a folder."""
+    if is_git_url(source):
+        if offline:
+            raise ValueError("Git sources need the network")
+        return "git", source, f"git:{source}" + (f"@{ref}" if ref else "")
+    if not os.path.isdir(source):
+        raise NotADirectoryError(source)
+    path = os.path.realpath(source)
+    return "path", path, f"path:{path}"

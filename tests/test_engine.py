@@ -12,7 +12,7 @@ from quern.plans.catalog import CATALOG
 from quern.plans.registry import oracle_sql, queries
 from quern.search import CHUNKS, Index
 from quern.sources import stores, tree
-from quern.streaming.ingest import ingest
+from quern.streaming.ingest import current, ingest
 
 
 def test_every_query_has_a_twin():
@@ -148,7 +148,11 @@ def test_ingest_keeps_the_latest(spark, tmp_path):
     rows = spark.sql("SELECT 1L chunk_id, 'a' content, timestamp'2025-01-01' indexed_at UNION ALL SELECT 1L, 'b', timestamp'2025-01-02' UNION ALL SELECT null, 'c', null")
     rows.write.parquet(str(tmp_path / "in"))
     ingest(spark, str(tmp_path / "in"), rows.schema, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    assert [r.content for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["b"]
+    assert [r.content for r in current(spark, str(tmp_path / "out")).collect()] == ["b"]
+    # A chunk that comes again, later or with the same time, takes the place of what a batch before it brought.
+    spark.sql("SELECT 1L chunk_id, 'd' content, timestamp'2025-01-02' indexed_at UNION ALL SELECT 2L, 'e', null").write.mode("append").parquet(str(tmp_path / "in"))
+    ingest(spark, str(tmp_path / "in"), rows.schema, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert sorted(r.content for r in current(spark, str(tmp_path / "out")).collect()) == ["d", "e"]
 
 
 def test_names_are_words():
