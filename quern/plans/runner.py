@@ -11,7 +11,7 @@ from quern.functions.dialect import DUCK, GREATEST_POOL, SPARK
 from quern.operators.dense import block_hits
 from quern.operators.encoders import Encoder
 from quern.plans.stages import HEAVY, STAGES, Stage
-from quern.session import cut, table
+from quern.session import stored, table
 
 #: Tables that a stage may read besides other stages.
 TABLES = ("chunks", "queries", "signatures", "documents", "vectors", "rank_evidence", "events")
@@ -80,7 +80,7 @@ class Run:
                 self.stage(n)
             self._tables(text)
             df = block_hits(self) if name == "dense_hits" else self.spark.sql(self._bind(text, [*inputs, *_names(text, TABLES)]))
-            self._view(name, cut(df) if name in HEAVY else df)
+            self._view(name, stored(df) if name in HEAVY else df)
         return self.done[name]
 
     def sql(self, text: str) -> DataFrame:

@@ -52,13 +52,15 @@ def chunk_keys(d: Spark) -> str:
 
 @stage(heavy=True)
 def postings_built(d: Spark) -> str:
-    return f"""SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, {text.indexed_pieces(d)} AS pieces FROM chunk_rows) c{d.unnest("pieces", "a", "piece")}{d.unnest(text.tokens(d, "piece"), "b", "term")}
-    GROUP BY term, chunk_id"""
+    """Each piece of a chunk gives its distinct tokens; the length of a chunk is the number of all."""
+    tokens = f"flatten({d.map(text.indexed_pieces(d), 'piece', text.tokens(d, 'piece'))})"
+    return f"""SELECT term, chunk_id, count(*) AS tf, doc_len FROM (SELECT chunk_id, toks, {d.size("toks")} AS doc_len FROM chunk_rows c{d.settled("toks", tokens, "s")}) x{d.unnest("toks", "b", "term")}
+    GROUP BY term, chunk_id, doc_len"""
 
 
 @stage
 def doc_lengths(d: Spark) -> str:
-    return "SELECT chunk_id, CAST(sum(tf) AS BIGINT) AS doc_len FROM postings_built GROUP BY chunk_id"
+    return "SELECT chunk_id, max(doc_len) AS doc_len FROM postings_built GROUP BY chunk_id"
 
 
 @stage
@@ -76,8 +78,8 @@ def corpus_stats(d: Spark) -> str:
 def impacts(d: Spark) -> str:
     """Each posting with what it adds to a BM25 score; what a query needs of the corpus is folded in once."""
     return """SELECT p.term, p.chunk_id,
-      ln((s.n_chunks - f.df + 0.5) / (f.df + 0.5) + 1) * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * l.doc_len / greatest(s.avg_doc_len, 1.0))) AS weight
-    FROM postings_built p JOIN term_frequencies f ON p.term = f.term JOIN doc_lengths l ON p.chunk_id = l.chunk_id, corpus_stats s"""
+      ln((s.n_chunks - f.df + 0.5) / (f.df + 0.5) + 1) * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * p.doc_len / greatest(s.avg_doc_len, 1.0))) AS weight
+    FROM postings_built p JOIN term_frequencies f ON p.term = f.term, corpus_stats s"""
 
 
 @stage(heavy=True)
@@ -205,9 +207,8 @@ def bm25_hits(d: Spark) -> str:
     """The chunks that hold a query term and pass the query's filter, ranked as far as the query's pool goes."""
     return f"""SELECT query_id, chunk_id, score, rank FROM (
       SELECT query_id, chunk_id, score, pool, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
-        SELECT t.query_id, i.chunk_id, q.pool, round(sum(i.weight), 6) AS score
-        FROM query_terms t JOIN impacts i ON t.term = i.term JOIN query_rows q ON t.query_id = q.query_id JOIN chunk_keys c ON i.chunk_id = c.chunk_id
-        WHERE {_allowed(d, "c")} GROUP BY t.query_id, i.chunk_id, q.pool) x WHERE score > 0) y WHERE {d.within("rank", "pool")}"""
+        SELECT x.query_id, x.chunk_id, q.pool, x.score FROM (SELECT t.query_id, i.chunk_id, round(sum(i.weight), 6) AS score FROM query_terms t JOIN impacts i ON t.term = i.term GROUP BY t.query_id, i.chunk_id) x
+        JOIN query_rows q ON x.query_id = q.query_id JOIN chunk_keys c ON x.chunk_id = c.chunk_id WHERE x.score > 0 AND {_allowed(d, "c")}) y) z WHERE {d.within("rank", "pool")}"""
 
 
 @stage(heavy=True)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +51,29 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def work_folder(spark: SparkSession) -> str:
+    """The folder below the shared one that holds this application's tables; it goes when the program ends."""
+    made = spark.conf.get("quern.work.dir", None)
+    if not made:
+        made = f"{checkpoint_dir(spark).rstrip('/')}/quern-{spark.sparkContext.applicationId}"
+        spark.conf.set("quern.work.dir", made)
+        atexit.register(_remove, spark, made)
+    return made
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the session is gone, or its files are out of reach
+        pass
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table of columns in the shared folder: readers take the columns they need, and it takes less
+    room than a checkpoint of rows.  Rows come back in no order."""
+    folder = f"{work_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
