@@ -4,6 +4,10 @@ Every file and every directory has a hidden label.  A file's content and name, a
 its label; a parent and a child, and through the parent all siblings, are tied by the tables ``DIRECTORY_TIES`` and ``FILE_TIES``.  Messages go up the
 levels of the trees and down again, which is exact on a tree.  The messages of a directory's children are sums, so a
 directory that holds a third of all files is aggregated before it is shuffled.
+
+What a sign is worth is fitted to the collection: the labels that propagation infers say how often files of each label
+show the sign, and these shares are the weights of the next round.  The first round's weights count as ``PRIOR_FILES``
+files, so that they hold where there is little to learn from.
 """
 
 from __future__ import annotations
@@ -39,7 +43,11 @@ FILE_TIES = (
 )
 #: A repository as a whole is somebody's own work.
 ROOT_PRIOR = (0.0, -50.0, -50.0, -50.0, -50.0)
-#: Log-odds of a file's label given content and name without any sign.  Vendored code reads like other code, but for signs.
+#: Rounds in which the weights of the signs are fitted, how many files the first weights count for, and their bound.
+ROUNDS = 2
+PRIOR_FILES = 5.0
+MOST = 12.0
+#: First log-odds of a file's label given content and name without any sign.  Vendored code reads like other code, but for signs.
 FILE_PRIOR = (0.0, -4.0, -4.0, -0.7, -4.0)
 #: The weight of a directory's name that settles its label.
 SETTLED = 200.0
@@ -87,7 +95,8 @@ def evidence(content: str, at_top: bool) -> tuple[int, ...]:
         digits = n - len(line.translate(_NO_DIGITS))
         if digits > 0.25 * n or (n >= 40 and _BASE64.match(line)):
             data += n
-        elif n > 300 and line.count(" ") < 0.1 * n:
+        elif n >= 80 and line.count(" ") < 0.08 * n:
+            # Code that somebody wrote has more space between its words, whatever the length of its lines.
             packed += n
     shapes = re.sub(rb"0+", b"0", re.sub(rb"a[a0]*", b"a", _COMMENT_LINES.sub(b"", text.encode("utf-8", "replace")).translate(_SHAPES)))
     blocks = [b for b in re.split(rb"\n\s*\n", re.sub(rb"\n[ \t]+", b"\n", shapes.strip())) if b.strip()]
@@ -128,21 +137,58 @@ def file_evidence(chunks: DataFrame) -> DataFrame:
     return once.groupBy("file_path").agg(*(F.sum(f).alias(f) for f in FEATURES))
 
 
-def file_odds() -> list[Column]:
-    """Log-odds of a file's labels against handwritten, from its evidence and its name; columns x0 to x4."""
+def file_signs() -> list[tuple[str, Column, int, float]]:
+    """``(name, condition, label, weight)``: signs from a file's evidence and name, the label each speaks for, and its first log-odds."""
     name = F.element_at(F.split("file_path", "/"), -1)
     letters = F.greatest(F.col("letters"), F.lit(1))
     alike = (F.col("blocks") >= 5) & (F.col("alike") >= 0.6 * F.col("blocks"))
-    packed, data = F.col("packed") / letters, F.col("data") / letters
-    sign = lambda condition, weight: F.when(condition, F.lit(float(weight))).otherwise(F.lit(0.0))
-    odds = (
-        F.lit(0.0),
-        sign(F.col("generated") > 0, 10) + sign(alike, 9) + sign(name.rlike(GENERATED_NAMES), 3),
-        sign(packed > 0.6, 9) + sign(name.rlike(MINIFIED_NAMES), 3) + sign(F.col("bundled") > 0, 4),
-        sign(F.col("vendored") > 0, 9),
-        sign(data > 0.6, 10),
-    )
-    return [(F.lit(FILE_PRIOR[i]) + o).alias(f"x{i}") for i, o in enumerate(odds)]
+    return [
+        ("s_generated", F.col("generated") > 0, 1, 10), ("s_alike", alike, 1, 9), ("s_generated_name", name.rlike(GENERATED_NAMES), 1, 3),
+        ("s_packed", F.col("packed") / letters > 0.6, 2, 9), ("s_minified_name", name.rlike(MINIFIED_NAMES), 2, 3), ("s_bundled", F.col("bundled") > 0, 2, 4),
+        ("s_vendored", F.col("vendored") > 0, 3, 9), ("s_data", F.col("data") / letters > 0.6, 4, 10),
+    ]
+
+
+SIGNS = ("s_generated", "s_alike", "s_generated_name", "s_packed", "s_minified_name", "s_bundled", "s_vendored", "s_data")
+
+
+#: Per label the log-odds against handwritten without any sign, and what each sign adds when it is there.
+Weights = list[tuple[float, list[float]]]
+
+
+def first_weights() -> Weights:
+    """A sign counts for the label it speaks for and for no other."""
+    return [(FILE_PRIOR[label], [float(w) if label == of else 0.0 for _, _, of, w in file_signs()]) for label in range(len(LABELS))]
+
+
+def file_odds(weights: Weights) -> list[Column]:
+    """Log-odds of a file's labels against handwritten, from its signs; columns x0 to x4."""
+    return [sum((F.when(F.col(s), F.lit(w)).otherwise(F.lit(0.0)) for s, w in zip(SIGNS, row)), F.lit(none)).alias(f"x{i}") for i, (none, row) in enumerate(weights)]
+
+
+def fitted(judged: DataFrame) -> Weights:
+    """The weights that follow from the inferred labels: from the share of each label's files that show a sign against the
+    share of handwritten ones, with signs taken as independent."""
+    chance = [F.exp(F.col(x) - _log_sum([F.col(c) for c in _X])) for x in _X]
+    sums = judged.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(f"n{i}") for i, c in enumerate(chance)), *(F.coalesce(F.sum(F.when(F.col(s), c)), F.lit(0.0)).alias(f"n{i}_{s}") for i, c in enumerate(chance) for s in SIGNS)).collect()[0]
+
+    def share(label: int, k: int) -> float:
+        _, _, of, weight = file_signs()[k]
+        first = 0.5 if label == of else 0.5 * math.exp(-weight)
+        return (sums[f"n{label}_{SIGNS[k]}"] + PRIOR_FILES * first) / (sums[f"n{label}"] + PRIOR_FILES)
+
+    def bound(x: float) -> float:
+        return max(-MOST, min(MOST, x))
+
+    shares = [[share(label, k) for k in range(len(SIGNS))] for label in range(len(LABELS))]
+    plain, out = shares[0], []
+    for label, row in enumerate(shares):
+        none = bound(sum(math.log((1 - a) / (1 - b)) for a, b in zip(row, plain)))
+        adds = [bound(math.log(a / (1 - a)) - math.log(b / (1 - b))) for a, b in zip(row, plain)]
+        # In a small collection a label's few files would talk its own signs down: none falls below its first weight.
+        first = [weight + FILE_PRIOR[label] - none if label == of else -MOST for _, _, of, weight in file_signs()]
+        out.append((none, [max(a, f) for a, f in zip(adds, first)]))
+    return out
 
 
 def directory_odds() -> list[Column]:
@@ -185,22 +231,39 @@ def _parent(node: str) -> Column:
     return F.when(F.instr(node, "/") > 0, F.regexp_replace(node, r"/[^/]*$", ""))
 
 
-def label_files(chunks: DataFrame, salts: int = 8) -> DataFrame:
+def label_files(chunks: DataFrame, salts: int = 8, rounds: int = ROUNDS) -> DataFrame:
     """``(file_path, label, handwritten)``: the likeliest label of every file and the chance that it is handwritten.
 
     A file without content, or whose path has no directory, is judged by what there is.  Equal chances go to the label
     that comes first in ``LABELS``.  Rows without a path are left out.
     """
-    files = cut(file_evidence(chunks).select("file_path", *file_odds()).withColumn("parent", _parent("file_path")).select("file_path", "parent", *_X, *_upward(FILE_TIES)))
-    sums = files.where("parent is not null").groupBy("parent").agg(*(F.sum(m).alias(m) for m in _M))
-    # All directories above a file, each with its level.
+    signs = [F.coalesce(condition, F.lit(False)).alias(name) for name, condition, _, _ in file_signs()]
+    files = cut(file_evidence(chunks).select("file_path", _parent("file_path").alias("parent"), *signs))
+    directories = cut(_directories(files))
+    deepest = directories.agg(F.max("level")).collect()[0][0] or 0
+    weights = first_weights()
+    for _ in range(rounds):
+        weights = fitted(propagated(files, directories, deepest, weights, salts))
+    judged = propagated(files, directories, deepest, weights, salts)
+    best = F.greatest(*_X)
+    label = F.coalesce(*(F.when(F.col(x) == best, F.lit(name)) for x, name in zip(_X, LABELS)))
+    return judged.select("file_path", label.alias("label"), F.exp(F.col("x0") - _log_sum([F.col(x) for x in _X])).alias("handwritten"))
+
+
+def _directories(files: DataFrame) -> DataFrame:
+    """``(node, level, parent, x0 .. x4, named)``: all directories above a file, each with its level and what its name says."""
     steps = F.transform(F.sequence(F.lit(1), F.size(F.split("parent", "/"))), lambda i: F.struct(F.array_join(F.slice(F.split("parent", "/"), 1, i), "/").alias("node"), i.alias("level")))
-    nodes = sums.select(F.inline(steps)).distinct()
-    odds = nodes.select("node", "level", _parent("node").alias("parent"), *directory_odds())
+    nodes = files.where("parent is not null").select("parent").distinct().select(F.inline(steps)).distinct()
+    return nodes.select("node", "level", _parent("node").alias("parent"), *directory_odds())
+
+
+def propagated(files: DataFrame, directories: DataFrame, deepest: int, weights: Weights, salts: int) -> DataFrame:
+    """The files' beliefs, ``(file_path, signs, x0 .. x4)``, after messages went up the trees and down again."""
+    leaves = files.select("file_path", "parent", *SIGNS, *file_odds(weights)).select("*", *_upward(FILE_TIES))
+    sums = leaves.where("parent is not null").groupBy("parent").agg(*(F.sum(m).alias(m) for m in _M))
     own = sums.select(F.col("parent").alias("node"), *_M)
     added = [(F.col(x) + F.coalesce(m, F.lit(0.0))).alias(x) for x, m in zip(_X, _M)]
-    base = cut(odds.join(own, "node", "left").select("node", "level", "parent", "named", *added))
-    deepest = base.agg(F.max("level")).collect()[0][0] or 0
+    base = cut(directories.join(own, "node", "left").select("node", "level", "parent", "named", *added))
     loose = [F.when(F.col("named"), F.lit(0.0)).otherwise(m).alias(name) for m, name in zip(_upward(DIRECTORY_TIES), _M)]
     up: dict[int, DataFrame] = {}
     for level in range(deepest, 0, -1):
@@ -218,17 +281,14 @@ def label_files(chunks: DataFrame, salts: int = 8) -> DataFrame:
         above = beliefs[-1].select(F.col("node").alias("parent"), *(F.col(x).alias(t) for x, t in zip(_X, _T)))
         tied = [F.when(F.col("named"), F.col(x)).otherwise(b).alias(x) for x, b in zip(_X, _downward(DIRECTORY_TIES))]
         beliefs.append(cut(here.join(above, "parent").select("node", *tied)))
-    if beliefs:
-        total = beliefs[0]
-        for b in beliefs[1:]:
-            total = total.unionByName(b)
-        # One directory may hold a third of all files: its row is repeated for each salt, its files are spread over them.
-        above = total.select(F.col("node").alias("parent"), *(F.col(x).alias(t) for x, t in zip(_X, _T)), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-        salted = files.withColumn("_salt", F.pmod(F.xxhash64("file_path"), F.lit(salts)).cast("int"))
-        within = salted.where("parent is not null").join(above, ["parent", "_salt"]).select("file_path", *_downward(FILE_TIES))
-        judged = within.unionByName(files.where("parent is null").select("file_path", *_X))
-    else:
-        judged = files.select("file_path", *_X)
-    best = F.greatest(*_X)
-    label = F.coalesce(*(F.when(F.col(x) == best, F.lit(name)) for x, name in zip(_X, LABELS)))
-    return judged.select("file_path", label.alias("label"), F.exp(F.col("x0") - _log_sum([F.col(x) for x in _X])).alias("handwritten"))
+    columns = ["file_path", *SIGNS, *_X]
+    if not beliefs:
+        return leaves.select(*columns)
+    total = beliefs[0]
+    for b in beliefs[1:]:
+        total = total.unionByName(b)
+    # One directory may hold a third of all files: its row is repeated for each salt, its files are spread over them.
+    above = total.select(F.col("node").alias("parent"), *(F.col(x).alias(t) for x, t in zip(_X, _T)), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    salted = leaves.withColumn("_salt", F.pmod(F.xxhash64("file_path"), F.lit(salts)).cast("int"))
+    within = salted.where("parent is not null").join(above, ["parent", "_salt"]).select("file_path", *SIGNS, *_downward(FILE_TIES))
+    return within.unionByName(leaves.where("parent is null").select(*columns))
