@@ -44,7 +44,7 @@ FILE_TIES = (
 #: A repository as a whole is somebody's own work.
 ROOT_PRIOR = (0.0, -50.0, -50.0, -50.0, -50.0)
 #: Rounds in which the weights of the signs are fitted, how many files the first weights count for, and their bound.
-ROUNDS = 2
+ROUNDS = 1
 PRIOR_FILES = 5.0
 MOST = 12.0
 #: First log-odds of a file's label given content and name without any sign.  Vendored code reads like other code, but for signs.

@@ -46,6 +46,17 @@ def test_labels_follow_signs_and_trees(spark):
     assert source_files.label_files(table.limit(0)).count() == 0
 
 
+def test_weights_follow_the_collection(spark):
+    # A sign that only files of one label show gains, one that handwritten files show as often does not.
+    plain = [f"x{i}" for i in range(5)]
+    made = lambda n, label, **signs: [("f", *(s in signs for s in source_files.SIGNS), *(0.0 if i == label else -9.0 for i in range(5))) for _ in range(n)]
+    data = made(900, 0) + made(30, 0, s_bundled=1) + made(60, 2, s_packed=1, s_minified_name=1, s_bundled=1) + made(40, 2, s_minified_name=1)
+    schema = "file_path string, " + ", ".join(f"{s} boolean" for s in source_files.SIGNS) + ", " + ", ".join(f"{x} double" for x in plain)
+    weights = dict(zip(source_files.SIGNS, source_files.fitted(spark.createDataFrame(data, schema))[2][1]))
+    assert weights["s_minified_name"] > 6 and weights["s_packed"] >= 9 and weights["s_bundled"] < weights["s_minified_name"] and weights["s_vendored"] < 3
+    assert source_files.fitted(spark.createDataFrame([], schema))[0] == (0.0, [0.0] * len(source_files.SIGNS))
+
+
 def test_signs_count_wherever_they_stand(spark):
     code = "def f(a):\n" + "".join(f"    a = a.{'x' * i}(a)\n" for i in range(1, 40)) + "    return a\n"
     banner = "# <auto-generated>\n#     maker wrote this file; changes are lost on the next run.\n# </auto-generated>"
