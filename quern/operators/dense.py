@@ -137,15 +137,12 @@ def dense_rows(spread: DataFrame, key: str, dimensions: int) -> DataFrame:
 
 def block_hits(run: Run) -> DataFrame:
     """``dense_hits`` by block products, of hashed tokens or of the vectors that the run's encoder makes."""
-    from quern.functions.dialect import SPARK
-    from quern.functions.text import semantic_text
     from quern.operators.encoders import encode_texts
     from quern.plans.stages import DIMENSIONS
 
     keys = run.stage("chunk_keys").select("chunk_id", "language", F.col("file_path").alias("path"))
     if run.encoder is not None:
-        texts = run.sql(f"SELECT chunk_id, {semantic_text(SPARK)} AS s FROM chunk_rows")
-        chunk_rows, query_rows = encode_texts(texts, run.encoder, "chunk_id", "s"), encode_texts(run.stage("query_rows"), run.encoder, "query_id", "query_text")
+        chunk_rows, query_rows = run.done["encoded_chunks"], encode_texts(run.stage("query_rows"), run.encoder, "query_id", "query_text")
     else:
         chunk_rows, query_rows = dense_rows(run.stage("chunk_vectors"), "chunk_id", DIMENSIONS), dense_rows(run.stage("query_vectors"), "query_id", DIMENSIONS)
     vectors = chunk_rows.join(keys, "chunk_id").select(F.col("chunk_id").alias("id"), "v", "language", "path")

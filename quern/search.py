@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import datetime
+import math
 import time
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.dialect import SPARK
-from quern.operators.encoders import Encoder
+from quern.functions.text import semantic_text
+from quern.operators.encoders import Encoder, encode_texts
 from quern.plans import catalog
 from quern.plans.runner import Run
-from quern.session import cut
+from quern.session import cut, stored
 from quern.sources import chunking, stores, tree
 
 CHUNKS = "chunk_id bigint, repo string, file_path string, start_line bigint, end_line bigint, language string, content string, symbols array<struct<name:string,kind:string,line:bigint>>, breadcrumbs array<string>, indexed_at timestamp"
@@ -21,6 +23,9 @@ _STAGE = {"bm25": "bm25_hits", "semantic": "dense_hits", "hybrid": "hybrid_hits"
 #: What an index keeps between runs; the vectors only once they are asked for.
 SPARSE = ("chunk_rows", "postings_built", "impacts", "symbol_rows", "file_features", "file_terms", "file_stem_forms", "public_words")
 VECTORS = ("chunk_vectors",)
+#: The vectors of an encoder take their place.
+ENCODED = "encoded_chunks"
+ALPHAS = (0.25, 0.45, 0.65, 0.85)
 _ASKED = {"asked_queries": lambda d: "SELECT * FROM queries"}
 
 
@@ -58,7 +63,9 @@ class Index:
 
     def __init__(self, spark: SparkSession, chunks: DataFrame, cached: int = 256, folder: str | None = None, identity: str = "", encoder: Encoder | None = None) -> None:
         self.spark, self.chunks, self.cached, self.store = spark, chunks, cached, {}
-        self.folder, self.identity, self.encoder = folder, identity, encoder
+        self.folder, self.encoder = folder, encoder
+        # Vectors of another encoder or model are those of another index.
+        self.identity = identity + (f" {type(encoder).__name__} {getattr(encoder, 'fingerprint', encoder.dim)}" if encoder is not None else "")
         self.warnings: DataFrame | None = None
         self.root: str | None = None
         self.options: dict = {}
@@ -76,10 +83,10 @@ class Index:
         _, path, source = tree.resolve_source(root)
         identity = stores.index_key(source, {k: sorted(v) if isinstance(v, (list, set, tuple)) else v for k, v in options.items()})
         now = cls._signatures(spark, path, options)
-        kept = stores.load_tables(spark, folder, identity) if folder else None
+        kept = stores.load_tables(spark, folder, cls(spark, now, identity=identity, encoder=encoder).identity) if folder else None
         if kept and stores.signature_changes(kept["signatures"], now).isEmpty():
             made = cls(spark, kept["chunk_rows"].withColumn("indexed_at", F.lit(None).cast("timestamp")), folder=folder, identity=identity, encoder=encoder)
-            made.built = {n: df for n, df in kept.items() if n in (*SPARSE, *VECTORS)}
+            made.built = {n: df for n, df in kept.items() if n in (*SPARSE, *VECTORS, ENCODED)}
             made.warnings = kept["warnings"]
         else:
             files, warnings = tree.read_tree(spark, path, **options)
@@ -101,10 +108,14 @@ class Index:
 
     def build(self, semantic: bool = False) -> Index:
         """Build what is missing of the index tables, and store them where the index has a folder."""
-        wanted = [n for n in (*SPARSE, *(VECTORS if semantic and self.encoder is None else ())) if n not in self.built]
+        vectors = () if not semantic else VECTORS if self.encoder is None else (ENCODED,)
+        wanted = [n for n in (*SPARSE, *vectors) if n not in self.built]
         if wanted:
             run = Run(self.spark, {"chunks": self.chunks}, _ASKED, self.built)
-            made = {n: run.stage(n) for n in wanted}
+            made = {n: run.stage(n) for n in wanted if n != ENCODED}
+            if ENCODED in wanted:
+                texts = run.sql(f"SELECT chunk_id, {semantic_text(SPARK)} AS s FROM chunk_rows")
+                made[ENCODED] = stored(encode_texts(texts, self.encoder, "chunk_id", "s"))
             if self.folder:
                 extra = {"signatures": self.signatures} if self.root else {}
                 extra |= {"warnings": self.warnings} if self.warnings is not None else {}
@@ -119,7 +130,7 @@ class Index:
 
     @property
     def semantic_loaded(self) -> bool:
-        return self.encoder is not None or all(n in self.built for n in VECTORS)
+        return all(n in self.built for n in (VECTORS if self.encoder is None else (ENCODED,)))
 
     def is_fresh(self) -> bool | None:
         """Whether the files are those that were indexed; None if the index is not of a folder."""
@@ -204,6 +215,25 @@ class Index:
         run = self._run(texts, "hybrid", top_k, options.get("alpha"), options.get("languages"), options.get("paths"))
         return sorted(run.sql(catalog.pack(SPARK, tokens)).collect(), key=lambda r: (r.query_id, r.place)) if any(t.strip() for t in texts) else []
 
+    # ---- evaluating ----
+
+    def evaluate(self, cases: list[tuple[str, str]], mode: str = "hybrid", limit: int = 10, alpha: float | None = None) -> dict:
+        """How well ``(query, expected)`` cases are answered; expected is a path, or the beginning of a place ``path:first-last``."""
+        texts = [q for q, _ in cases]
+        ranks: dict[int, int] = {}
+        for h in self.search(texts, mode, limit, alpha) if cases else []:
+            expected = cases[h.query_id][1]
+            if h.file_path == expected or f"{h.file_path}:{h.start_line}-{h.end_line}".startswith(expected):
+                ranks.setdefault(h.query_id, h["rank"])
+        n = len(cases)
+        mean = lambda values: sum(values) / n if n else 0.0
+        return {"mode": mode, "alpha": alpha, "cases": n, "hits": len(ranks), "hit_rate": mean([1.0] * len(ranks)), "mrr": mean([1 / r for r in ranks.values()]), "ndcg": mean([1 / math.log2(r + 1) for r in ranks.values()])}
+
+    def tune(self, cases: list[tuple[str, str]], limit: int = 10) -> dict:
+        """The three modes and hybrid with four alphas on the same cases; the best is the last of the highest gain."""
+        tried = [self.evaluate(cases, mode, limit) for mode in ("bm25", "semantic", "hybrid")] + [self.evaluate(cases, "hybrid", limit, a) for a in ALPHAS] if cases else []
+        return {"evaluations": tried, "best": max(enumerate(tried), key=lambda t: (t[1]["ndcg"], t[0]))[1] if tried else None}
+
     # ---- looking up ----
 
     def _rows(self) -> DataFrame:

@@ -152,7 +152,7 @@ def test_encoders(spark, root, tmp_path):
         encoders.StaticEncoder(str(tmp_path / "x"))
     # The hashing encoder is the engine's own: the same ranking from its vectors as from the tables.
     own, given = Index.from_tree(spark, str(root)), Index.from_tree(spark, str(root), encoder=encoders.HashingEncoder())
-    assert given.semantic_loaded
+    assert not given.semantic_loaded and given.warm_semantic().semantic_loaded
     pick = lambda i: [(h.chunk_id, h.score) for h in i.search(["open a session store", "helper"], "semantic", 4)]
     assert pick(own) == pick(given)
     words = ["getHTTPResponse parse_config2Value", "HTTP2Server x86 __init__ classes ies", "deserializing auth"]
@@ -201,3 +201,39 @@ def test_symbol_candidates_by_place(spark):
     chunks = [(f"f{i}.py", 1, "python", "x", [("Widget", "class", 1)]) for i in range(70)] + [("g.py", 1, "python", "x", [("widget", "def", 1), ("gear", "def", 2)])]
     got = {r.chunk_id: float(r.part) for r in staged(spark, chunks, ["Widget", "nothing here"], "symbol_candidates").collect()}
     assert len(got) == 64 and all(abs(got[i] - 1 / (61 + i)) < 1e-9 for i in range(64))
+
+
+# ---- evaluation ----------------------------------------------------------------------------------------------------
+
+
+def test_tasks_from_files(spark, tmp_path):
+    from quern.sources import tasks
+
+    (tmp_path / "annotations").mkdir()
+    (tmp_path / "repos.json").write_text(json.dumps([{"name": "a", "language": "python", "url": "u", "revision": "r"}, {"name": "b", "language": "go", "url": "v", "revision": "s", "benchmark_root": "src"}]))
+    (tmp_path / "annotations" / "lib.core.json").write_text(json.dumps([{"query": "TokenStore", "relevant": ["src/a.py", {"path": "b.py", "start_line": "3", "end_line": 9}], "secondary": ["c.py"]}, {"query": "how is it", "relevant": [], "category": "x", "repo": "other"}]))
+    got = {r.query: r for r in tasks.load_tasks(spark, str(tmp_path / "annotations")).collect()}
+    assert [tuple(t) for t in got["TokenStore"].targets] == [("src/a.py", None, None), ("b.py", 3, 9), ("c.py", None, None)] and (got["TokenStore"].repo, got["TokenStore"].category) == ("lib.core", "symbol")
+    assert (got["how is it"].repo, got["how is it"].category, got["how is it"].targets) == ("other", "x", []) and tasks.load_specs(spark, str(tmp_path / "repos.json")).where("benchmark_root is null").count() == 1
+    hits = spark.sql("SELECT 'x/b.py' file_path, 1 start_line, 2 end_line UNION ALL SELECT 'x/b.py', 9, 20 UNION ALL SELECT 'c.py', 1, 1 UNION ALL SELECT 'xc.py', 1, 1").collect()
+    targets = got["TokenStore"].targets
+    assert tasks.marked(hits, targets) == [False, True, True, False] and [tasks.target_rank(hits, t) for t in targets] == [None, 2, 3] and [tasks.label(t) for t in targets] == ["src/a.py", "b.py:3-9", "c.py"]
+
+
+def test_cases_and_command_line(spark, root, tmp_path):
+    from quern.__main__ import run
+    from quern.sources import stores
+
+    index = Index.from_tree(spark, str(root))
+    cases = [("SessionStore", "src/auth.py"), ("helper", "src/deep/helper.rs:1"), ("helper", "none.rs")]
+    scored = index.evaluate(cases)
+    assert scored["hits"] == 2 and abs(scored["hit_rate"] - 2 / 3) < 1e-9 and abs(scored["ndcg"] - 2 / 3) < 1e-9 and index.evaluate([])["ndcg"] == 0
+    assert index.tune([])["best"] is None
+    for q, expected in cases[:2]:
+        stores.append_feedback(str(tmp_path / "cases.jsonl"), q, expected)
+    stores.Profiles(str(tmp_path / "p.json")).save("short", {"limit": 1, "mode": "bm25"})
+    out = run(["search", str(root), "SessionStore", "--profiles", str(tmp_path / "p.json"), "--profile", "short", "--format", "compact"], spark)
+    assert out.startswith("src/auth.py:1-") and len(out.splitlines()) == 1
+    assert json.loads(run(["eval", str(root), "--cases", str(tmp_path / "cases.jsonl"), "--mode", "bm25"], spark))["hits"] == 2
+    assert run(["status", str(root)], spark).startswith("5 files") and run(["list-files", str(root), "--limit", "1"], spark) == "src/auth.py\n... 5 files in all"
+    assert "class SessionStore" in run(["get", str(root), "src/auth.py:5"], spark) and run(["search", str(root), "x", "--language", "cobol", "--mode", "bm25"], spark).endswith("No results found.")
