@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, distinctive, fusion, near_dup, neighbors, packing, repetition, source_files, splitting, term_counts
-from quern.session import table
+from quern.session import table, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,7 +72,7 @@ def _p7_counts(spark: SparkSession, d: str) -> DataFrame:
     # The middle of the known ids.
     mark = F.lit(table(spark, d, "doc_stats").agg(F.coalesce(F.percentile_approx("chunk_id", 0.5), F.lit(0)).alias("m")).collect()[0].m)
     rows = postings.count() // 2
-    store = term_counts.CountStore(spark).apply(added=postings.where(F.col("chunk_id") <= mark), rows=rows).apply(added=postings.where(F.col("chunk_id") > mark), rows=rows)
+    store = term_counts.CountStore(spark, f"{work_folder(spark)}/counts_{uuid.uuid4().hex}").apply(added=postings.where(F.col("chunk_id") <= mark), rows=rows).apply(added=postings.where(F.col("chunk_id") > mark), rows=rows)
     records = table(spark, d, "chunks").agg(F.count_distinct("chunk_id").alias("n")).collect()[0].n
     return term_counts.mark_terms(store.read(), records)
 

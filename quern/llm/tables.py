@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-from quern.session import checkpoint_dir
+from quern.session import stored, work_folder
+
+__all__ = ["bucket_number", "bucketed", "stored", "write_bucketed"]
 
 
 def bucket_number(df: DataFrame) -> int:
@@ -25,11 +27,4 @@ def write_bucketed(df: DataFrame, by: str, buckets: int, folder: str, name: str,
 def bucketed(df: DataFrame, by: str, placed: bool = False) -> DataFrame:
     """``df`` written in buckets of ``by`` in the shared folder: a join on ``by`` reads them without a shuffle."""
     name = f"quern_{uuid.uuid4().hex}"
-    return write_bucketed(df, by, bucket_number(df), f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}", name, placed)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as columns in the shared folder, which cuts the lineage and takes less room than a checkpoint of rows."""
-    folder = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/quern_{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    return write_bucketed(df, by, bucket_number(df), f"{work_folder(df.sparkSession)}/{name}", name, placed)
