@@ -10,12 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.functions.dialect import DUCK, GREATEST_POOL, SPARK
 from quern.operators.dense import block_hits
 from quern.operators.encoders import Encoder
+from quern.operators.postings import chunk_postings, hashed_chunks
 from quern.plans.stages import HEAVY, STAGES, Stage
 from quern.session import stored, table
 
 #: Tables that a stage may read besides other stages.
 TABLES = ("chunks", "queries", "signatures", "documents", "vectors", "rank_evidence", "events")
 
+#: Stages whose text is for the check engine only: on Spark, batches of rows go through arrays.
+IN_BLOCKS = {"dense_hits": block_hits, "postings_built": chunk_postings, "chunk_vectors": hashed_chunks}
+
 _runs = itertools.count()
 
 
@@ -79,7 +83,8 @@ class Run:
             for n in inputs:
                 self.stage(n)
             self._tables(text)
-            df = block_hits(self) if name == "dense_hits" else self.spark.sql(self._bind(text, [*inputs, *_names(text, TABLES)]))
+            made = IN_BLOCKS.get(name)
+            df = made(self) if made else self.spark.sql(self._bind(text, [*inputs, *_names(text, TABLES)]))
             self._view(name, stored(df) if name in HEAVY else df)
         return self.done[name]
 
