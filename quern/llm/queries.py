@@ -30,6 +30,13 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_chunks(table(spark, d, "chunks"))
 
 
+def p2_joined(spark: SparkSession, d: str) -> DataFrame:
+    """Of every oversized chunk what its pieces make without their repeated lines, and whether all of them fit."""
+    own = F.array_join(F.slice(F.split("content", "\n"), F.col("repeated_lines").cast("int") + 1, F.greatest(F.size(F.split("content", "\n")), F.lit(1))), "\n")
+    parts = p2_pieces(spark, d).groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("piece", own.alias("own")))).alias("p"), (F.max(F.char_length("content")) <= splitting.LIMIT).alias("fits"))
+    return parts.select("chunk_id", F.md5(F.array_join("p.own", "")).alias("digest"), "fits")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     postings = table(spark, d, "postings")
     scores = distinctive.term_scores(postings, table(spark, d, "doc_stats"), table(spark, d, "bm25_stats"), only=table(spark, d, "term_probes"), posting_rows=postings.count())
@@ -112,6 +119,15 @@ def p9_room(spark: SparkSession, d: str) -> DataFrame:
     return packing.room_left(p9_packed(spark, d), table(spark, d, "capacities"))
 
 
+def p9_fits(spark: SparkSession, d: str) -> DataFrame:
+    """Per capacity the documents that were packed, the containers that hold too much, and the texts divided without need."""
+    packed, caps = p9_packed(spark, d), table(spark, d, "capacities").groupBy("capacity_id").agg(F.max("tokens").cast("bigint").alias("cap"))
+    loads = packed.groupBy("capacity_id", "container_id").agg(F.sum("tokens").alias("load")).join(caps, "capacity_id")
+    texts = packed.groupBy("capacity_id", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("tokens")).join(caps, "capacity_id")
+    over = loads.groupBy("capacity_id").agg(F.count_if(F.col("load") > F.col("cap")).alias("too_full"))
+    return texts.groupBy("capacity_id").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("pieces") > F.greatest(F.ceil(F.col("tokens") / F.col("cap")), F.lit(1))).alias("needlessly_divided")).join(over, "capacity_id")
+
+
 def p10_assessed(spark: SparkSession, d: str) -> DataFrame:
     judged = repetition.assess(table(spark, d, "documents"))
     return judged.withColumns({c: F.round(c, 9) for c in ("share", "line_share", "source_rate")})
@@ -122,7 +138,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_pieces, p3_found, p3_scores, p4_found, p4_ranking, p5_found, p5_neighbors, p6_found, p6_groups, p7_found, p7_counts, p7_incremental, p8_ids, p8_roundtrip, p9_packed, p9_room, p10_found, p10_assessed)}
+    return {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_pieces, p2_joined, p3_found, p3_scores, p4_found, p4_ranking, p5_found, p5_neighbors, p6_found, p6_groups, p7_found, p7_counts, p7_incremental, p8_ids, p8_roundtrip, p9_packed, p9_room, p9_fits, p10_found, p10_assessed)}
 
 
 _DISTINCT = """
@@ -221,6 +237,19 @@ WITH texts AS (
   UNION ALL SELECT a.chunk_id, b.chunk_id FROM words a JOIN words b ON a.content = b.content AND a.chunk_id < b.chunk_id WHERE len(a.w) < 3
 )"""
 
+# Groups: the smallest chunk that pairs lead to, and the classes of equal sets that a chunk's own is linked to.
+_P6_GROUPS = _P6.replace("WITH texts", "WITH RECURSIVE texts", 1) + """, classes AS (
+  SELECT w.chunk_id, min(w.chunk_id) OVER (PARTITION BY coalesce(s.digest, w.content)) AS head FROM words w LEFT JOIN (SELECT chunk_id, md5(string_agg(s, chr(10) ORDER BY s)) AS digest FROM shingles GROUP BY chunk_id) s USING (chunk_id)
+), links AS (
+  SELECT chunk_a AS u, chunk_b AS v FROM pairs UNION ALL SELECT chunk_b, chunk_a FROM pairs
+), reached AS (
+  SELECT chunk_id, chunk_id AS other FROM classes
+  UNION
+  SELECT r.chunk_id, l.v FROM reached r JOIN links l ON r.other = l.u
+), degrees AS (
+  SELECT c.head, count(DISTINCT d.head) AS n FROM links l JOIN classes c ON l.u = c.chunk_id JOIN classes d ON l.v = d.chunk_id WHERE c.head <> d.head GROUP BY c.head
+)"""
+
 _P10 = r"""
 WITH words AS (
   SELECT doc_id, source, text, regexp_extract_all(lower(coalesce(text, '')), '\p{L}+') AS w FROM documents
@@ -255,6 +284,8 @@ WITH words AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_joined": "SELECT chunk_id, md5(min(content)) AS digest, true AS fits FROM chunks WHERE chunk_id IS NOT NULL AND length(content) > 1500 GROUP BY chunk_id",
+        "p9_fits": "SELECT capacity_id, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, CAST(0 AS BIGINT) AS too_full, CAST(0 AS BIGINT) AS needlessly_divided FROM capacities GROUP BY capacity_id",
         "p3_scores": _P3 + " SELECT chunk_id, term, k::BIGINT AS tf, round(surprise, 3) AS surprise, round(score, 3) AS score FROM scored",
         "p3_found": _P3 + " SELECT chunk_id, term FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY round(score, 9) DESC, round(surprise, 9) DESC, term) AS r FROM scored WHERE chunk_id IN (SELECT chunk_id FROM term_probes)) WHERE r = 1",
         "p4_found": _P4 + " SELECT query_id, chunk_id FROM ranked WHERE rank = 1 AND retrievers >= 2",
@@ -262,6 +293,7 @@ def oracle_sql() -> dict[str, str]:
         "p5_neighbors": _P5 + " SELECT chunk_id, neighbor, round(similarity, 5) AS similarity, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 5",
         "p5_found": _P5 + " SELECT DISTINCT least(chunk_id, neighbor) AS chunk_a, greatest(chunk_id, neighbor) AS chunk_b FROM ranked WHERE rank <= 5",
         "p6_found": _P6 + " SELECT chunk_a, chunk_b FROM pairs",
+        "p6_groups": _P6_GROUPS + " SELECT c.chunk_id, min(r.other) AS group_id, coalesce(any_value(d.n), 0) AS links FROM classes c JOIN reached r USING (chunk_id) LEFT JOIN degrees d ON c.head = d.head GROUP BY c.chunk_id",
         "p7_found": f"WITH {_DISTINCT} SELECT term, mark FROM marked WHERE mark IS NOT NULL",
         "p7_counts": f"WITH {_DISTINCT} SELECT term, occurrences, records, mark FROM marked",
         "p7_incremental": f"WITH {_DISTINCT} SELECT term, occurrences, records FROM term_counts",
