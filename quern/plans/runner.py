@@ -11,8 +11,8 @@ from quern.functions.dialect import DUCK, GREATEST_POOL, SPARK
 from quern.operators.dense import block_hits
 from quern.operators.encoders import Encoder
 from quern.operators.postings import chunk_postings, hashed_chunks
-from quern.plans.stages import HEAVY, STAGES, Stage
-from quern.session import stored, table
+from quern.plans.stages import COLUMNS, HEAVY, STAGES, Stage
+from quern.session import cut, stored, table
 
 #: Tables that a stage may read besides other stages.
 TABLES = ("chunks", "queries", "signatures", "documents", "vectors", "rank_evidence", "events")
@@ -85,7 +85,7 @@ class Run:
             self._tables(text)
             made = IN_BLOCKS.get(name)
             df = made(self) if made else self.spark.sql(self._bind(text, [*inputs, *_names(text, TABLES)]))
-            self._view(name, stored(df) if name in HEAVY else df)
+            self._view(name, stored(df) if name in COLUMNS else cut(df) if name in HEAVY else df)
         return self.done[name]
 
     def sql(self, text: str) -> DataFrame:

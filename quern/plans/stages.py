@@ -17,6 +17,9 @@ from quern.plans.probes import NAMES, STRIDE
 Stage = Callable[[Spark], str]
 STAGES: dict[str, Stage] = {}
 HEAVY: set[str] = set()
+#: Heavy stages of the index are stored as columns, as most readers need few of them; those of a batch of queries, which are
+#: small and read whole, as rows.
+COLUMNS = {"chunk_rows", "postings_built", "impacts", "chunk_vectors", "symbol_rows", "file_features"}
 
 #: Components of the hashing encoder's vectors.
 DIMENSIONS = 256
@@ -77,7 +80,7 @@ def corpus_stats(d: Spark) -> str:
 @stage(heavy=True)
 def impacts(d: Spark) -> str:
     """Each posting with what it adds to a BM25 score; what a query needs of the corpus is folded in once."""
-    return """SELECT p.term, p.chunk_id,
+    return """SELECT /*+ SHUFFLE_HASH(f) */ p.term, p.chunk_id,
       ln((s.n_chunks - f.df + 0.5) / (f.df + 0.5) + 1) * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * p.doc_len / greatest(s.avg_doc_len, 1.0))) AS weight
     FROM postings_built p JOIN term_frequencies f ON p.term = f.term, corpus_stats s"""
 

@@ -14,6 +14,7 @@ from quern.functions.text import semantic_text
 from quern.operators.encoders import Encoder, encode_texts
 from quern.plans import catalog
 from quern.plans.runner import Run
+from quern.plans.stages import COLUMNS
 from quern.session import cut, stored
 from quern.sources import chunking, stores, tree
 
@@ -112,7 +113,7 @@ class Index:
         wanted = [n for n in (*SPARSE, *vectors) if n not in self.built]
         if wanted:
             run = Run(self.spark, {"chunks": self.chunks}, _ASKED, self.built)
-            made = {n: run.stage(n) for n in wanted if n != ENCODED}
+            made = {n: run.stage(n) if n in COLUMNS else stored(run.stage(n)) for n in wanted if n != ENCODED}
             if ENCODED in wanted:
                 texts = run.sql(f"SELECT chunk_id, {semantic_text(SPARK)} AS s FROM chunk_rows")
                 made[ENCODED] = stored(encode_texts(texts, self.encoder, "chunk_id", "s"))
