@@ -244,7 +244,8 @@ def label_files(chunks: DataFrame, salts: int = 8, rounds: int = ROUNDS) -> Data
     weights = first_weights()
     for _ in range(rounds):
         weights = fitted(propagated(files, directories, deepest, weights, salts))
-    judged = propagated(files, directories, deepest, weights, salts)
+    # The beliefs are settled before labels are read from them, so that the generated code stays small.
+    judged = propagated(files, directories, deepest, weights, salts).select(F.inline(F.array(F.struct("file_path", *_X))))
     best = F.greatest(*_X)
     label = F.coalesce(*(F.when(F.col(x) == best, F.lit(name)) for x, name in zip(_X, LABELS)))
     return judged.select("file_path", label.alias("label"), F.exp(F.col("x0") - _log_sum([F.col(x) for x in _X])).alias("handwritten"))
