@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quern.functions.text import IDENTIFIER
-from quern.operators.encoders import tokenize
+from quern.operators.encoders import _parts, _variants
 
 if TYPE_CHECKING:
     from quern.plans.runner import Run
@@ -34,9 +34,18 @@ class _Tokens(dict):
 
     def __init__(self) -> None:
         self.numbers: dict[str, int] = {}
+        #: The numbers of what a part of an identifier gives; parts repeat where identifiers do not.
+        self.parts: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, word: str) -> frozenset[int]:
-        self[word] = made = frozenset(self.numbers.setdefault(t, len(self.numbers)) for t in tokenize(word))
+        found: set[int] = set()
+        for part in _parts(word):
+            own = self.parts.get(part)
+            if own is None:
+                own = tuple([self.numbers.setdefault(t, len(self.numbers)) for t in _variants(part)])
+                self.parts[part] = own
+            found.update(own)
+        self[word] = made = frozenset(found)
         return made
 
     def of(self, text: str | None) -> set[int]:
@@ -52,17 +61,23 @@ def _pieces(path: str, symbols: list | None, crumbs: list | None) -> list[str |
     return [*(x for s in symbols or () for x in (s["name"], s["name"], s["kind"])), *(crumbs or ()), stem, stem, *near]
 
 
+def _counts(known: _Tokens, batch: pa.RecordBatch) -> Iterator[dict[int, int]]:
+    """Of every chunk its tokens by number, with the number of its pieces that hold them."""
+    for path, text, symbols, crumbs in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+        found = dict.fromkeys(known.of(text), 1)
+        for piece in _pieces(path, symbols, crumbs):
+            for t in known.of(piece):
+                found[t] = found.get(t, 0) + 1
+        yield found
+
+
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _Tokens()
     for batch in batches:
         if len(known) > REMEMBERED:
             known = _Tokens()
         codes, counts, sizes, lengths = [], [], [], []
-        for path, text, symbols, crumbs in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
-            found = dict.fromkeys(known.of(text), 1)
-            for piece in _pieces(path, symbols, crumbs):
-                for t in known.of(piece):
-                    found[t] = found.get(t, 0) + 1
+        for found in _counts(known, batch):
             codes.extend(found)
             counts.extend(found.values())
             sizes.append(len(found))
@@ -75,34 +90,95 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _vectors(dimensions: int):
+def _bags(asked: dict[str, int]):
+    """``(id, n, codes, tfs)``: of every chunk its length and its postings of the terms asked for, by their codes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, place, sign = _Tokens(), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        known, coded = _Tokens(), np.zeros(0, dtype=np.int32)
         for batch in batches:
             if len(known) > REMEMBERED:
-                known, place, sign = _Tokens(), place[:0], sign[:0]
-            rows = [np.fromiter(known.of(t), dtype=np.int64) for t in batch.column(1).to_pylist()]
-            digests = [hashlib.md5(t.encode()).hexdigest() for t in list(known.numbers)[len(place) :]]
-            place = np.concatenate([place, np.array([int(h[:8], 16) % dimensions for h in digests], dtype=np.int64)])
-            sign = np.concatenate([sign, np.array([1 if h[8] < "8" else -1 for h in digests], dtype=np.int64)])
-            which = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-            flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
-            sums = np.bincount(which * dimensions + place[flat], weights=sign[flat], minlength=len(rows) * dimensions).astype(np.int64)
+                known, coded = _Tokens(), coded[:0]
+            numbers, counts, sizes, lengths = [], [], [], []
+            for found in _counts(known, batch):
+                numbers.extend(found)
+                counts.extend(found.values())
+                sizes.append(len(found))
+                lengths.append(sum(found.values()))
+            coded = np.concatenate([coded, np.array([asked.get(t, -1) for t in list(known.numbers)[len(coded) :]], dtype=np.int32)])
+            codes = coded[np.array(numbers, dtype=np.int64)]
+            kept = codes >= 0
+            ends = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64))])].astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[kept])) for x in (codes, np.array(counts, dtype=np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), *lists], names=["id", "n", "codes", "tfs"])
+
+    return run
+
+
+def _sums(dimensions: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """The hashed vectors of a batch of texts, one after the other, with the ids."""
+    known, place, sign = _Tokens(), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for batch in batches:
+        if len(known) > REMEMBERED:
+            known, place, sign = _Tokens(), place[:0], sign[:0]
+        rows = [np.fromiter(known.of(t), dtype=np.int64) for t in batch.column(1).to_pylist()]
+        digests = [hashlib.md5(t.encode()).hexdigest() for t in list(known.numbers)[len(place) :]]
+        place = np.concatenate([place, np.array([int(h[:8], 16) % dimensions for h in digests], dtype=np.int64)])
+        sign = np.concatenate([sign, np.array([1 if h[8] < "8" else -1 for h in digests], dtype=np.int64)])
+        which = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
+        yield batch.column(0), np.bincount(which * dimensions + place[flat], weights=sign[flat], minlength=len(rows) * dimensions)
+
+
+def _vectors(dimensions: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sums in _sums(dimensions, batches):
             at = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at // dimensions)), pa.array(at % dimensions), pa.array(sums[at])], names=["chunk_id", "i", "v"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at // dimensions)), pa.array(at % dimensions), pa.array(sums[at].astype(np.int64))], names=["chunk_id", "i", "v"])
+
+    return run
+
+
+def _unit_vectors(dimensions: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sums in _sums(dimensions, batches):
+            v = sums.reshape(-1, dimensions)
+            norms = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            kept = np.flatnonzero(norms[:, 0] > 0)
+            v = v[kept] / norms[kept]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(kept)), pa.ListArray.from_arrays(np.arange(0, v.size + 1, dimensions, dtype=np.int32), v.ravel())], names=["chunk_id", "v"])
 
     return run
 
 
+INDEXED = ("chunk_id", "file_path", "content", "symbols", "breadcrumbs")
+
+
 def chunk_postings(run: Run) -> DataFrame:
     """``postings_built``: ``(term, chunk_id, tf, doc_len)``."""
-    return run.stage("chunk_rows").select("chunk_id", "file_path", "content", "symbols", "breadcrumbs").mapInArrow(_postings, POSTINGS)
+    return run.stage("chunk_rows").select(*INDEXED).mapInArrow(_postings, POSTINGS)
 
 
-def hashed_chunks(run: Run) -> DataFrame:
-    """``chunk_vectors``: ``(chunk_id, i, v)``, without the components that are zero."""
+def chunk_bags(run: Run, asked: dict[str, int]) -> DataFrame:
+    """``(id, n, codes, tfs)``: the postings of the terms asked for by chunk, without those of all others being made."""
+    return run.stage("chunk_rows").select(*INDEXED).mapInArrow(_bags(asked), "id bigint, n bigint, codes array<int>, tfs array<int>")
+
+
+def _semantic_texts(run: Run) -> DataFrame:
     from quern.functions.dialect import SPARK
     from quern.functions.text import semantic_text
+
+    return run.sql(f"SELECT chunk_id, {semantic_text(SPARK)} AS s FROM chunk_rows")
+
+
+def hashed_chunks(run: Run) -> DataFrame:
+    """``chunk_vectors``: ``(chunk_id, i, v)``, without the components that are zero."""
+    from quern.plans.stages import DIMENSIONS
+
+    return _semantic_texts(run).mapInArrow(_vectors(DIMENSIONS), VECTORS)
+
+
+def unit_chunks(run: Run) -> DataFrame:
+    """``(chunk_id, v)``: the same vectors at length 1, without their components being written; those that are zero are left out."""
     from quern.plans.stages import DIMENSIONS
 
-    return run.sql(f"SELECT chunk_id, {semantic_text(SPARK)} AS s FROM chunk_rows").mapInArrow(_vectors(DIMENSIONS), VECTORS)
+    return _semantic_texts(run).mapInArrow(_unit_vectors(DIMENSIONS), "chunk_id bigint, v array<double>")

@@ -11,6 +11,7 @@ from quern.functions.dialect import DUCK, GREATEST_POOL, SPARK
 from quern.operators.dense import block_hits
 from quern.operators.encoders import Encoder
 from quern.operators.postings import chunk_postings, hashed_chunks
+from quern.operators.sparse import bm25_sums
 from quern.plans.stages import COLUMNS, HEAVY, STAGES, Stage
 from quern.session import cut, stored, table
 
@@ -18,7 +19,7 @@ from quern.session import cut, stored, table
 TABLES = ("chunks", "queries", "signatures", "documents", "vectors", "rank_evidence", "events")
 
 #: Stages whose text is for the check engine only: on Spark, batches of rows go through arrays.
-IN_BLOCKS = {"dense_hits": block_hits, "postings_built": chunk_postings, "chunk_vectors": hashed_chunks}
+IN_BLOCKS = {"bm25_hits": bm25_sums, "dense_hits": block_hits, "postings_built": chunk_postings, "chunk_vectors": hashed_chunks}
 
 _runs = itertools.count()
 
@@ -63,6 +64,11 @@ class Run:
         df.createOrReplaceTempView(self.prefix + name)
         self.done[name] = df
 
+    def offer(self, name: str, df: DataFrame) -> None:
+        """A stage that came about with another, for what is planned later."""
+        if name not in self.done:
+            self._view(name, df)
+
     def _bind(self, sql: str, names: list[str]) -> str:
         for n in names:
             sql = re.sub(rf"((?:FROM|JOIN|,)\s+\(?){n}\b", rf"\g<1>{self.prefix}{n}", sql)
@@ -78,19 +84,25 @@ class Run:
 
     def stage(self, name: str) -> DataFrame:
         if name not in self.done:
-            text = self.stages[name](SPARK)
-            inputs = _names(self.stages[name](DUCK), list(self.stages))
-            for n in inputs:
-                self.stage(n)
-            self._tables(text)
             made = IN_BLOCKS.get(name)
-            df = made(self) if made else self.spark.sql(self._bind(text, [*inputs, *_names(text, TABLES)]))
+            df = made(self) if made else self._stated(name)
             self._view(name, stored(df) if name in COLUMNS else cut(df) if name in HEAVY else df)
         return self.done[name]
 
+    def _stated(self, name: str) -> DataFrame:
+        text = self.stages[name](SPARK)
+        inputs = _names(self.stages[name](DUCK), list(self.stages))
+        for n in inputs:
+            self.stage(n)
+        self._tables(text)
+        return self.spark.sql(self._bind(text, [*inputs, *_names(text, TABLES)]))
+
     def sql(self, text: str) -> DataFrame:
         """A statement over tables and stages."""
         names = _names(text, list(self.stages))
+        if "bm25_hits" in needed(text, self.stages):
+            # First, as it offers the corpus's statistics to the others.
+            self.stage("bm25_hits")
         for n in names:
             self.stage(n)
         self._tables(text)

@@ -22,7 +22,7 @@ CHUNKS = "chunk_id bigint, repo string, file_path string, start_line bigint, end
 QUERIES = "query_id bigint, query_text string, search_mode string, top_k int, alpha double, filter_languages array<string>, filter_paths array<string>, issued_at timestamp"
 _STAGE = {"bm25": "bm25_hits", "semantic": "dense_hits", "hybrid": "hybrid_hits"}
 #: What an index keeps between runs; the vectors only once they are asked for.
-SPARSE = ("chunk_rows", "postings_built", "impacts", "symbol_rows", "file_features", "file_terms", "file_stem_forms", "public_words")
+SPARSE = ("chunk_rows", "postings_built", "term_frequencies", "corpus_stats", "symbol_rows", "file_features", "file_terms", "file_stem_forms", "public_words")
 VECTORS = ("chunk_vectors",)
 #: The vectors of an encoder take their place.
 ENCODED = "encoded_chunks"

@@ -8,9 +8,11 @@ from hypothesis import strategies as st
 
 from quern.functions import text
 from quern.functions.dialect import DUCK, SPARK
+from quern.operators import sparse
 from quern.plans.catalog import CATALOG
 from quern.plans.registry import WITHOUT_TWIN, oracle_sql, queries
-from quern.search import CHUNKS, Index
+from quern.plans.runner import Run
+from quern.search import _ASKED, CHUNKS, QUERIES, Index
 from quern.sources import stores, tree
 from quern.streaming.ingest import current, ingest
 
@@ -83,6 +85,26 @@ def test_bm25_equals_brute_force(spark):
     assert index.search(["authenticate token", "  ", "logout"], mode="bm25", top_k=4) is hits
 
 
+def _batch(spark):
+    asked = [(1, "authenticate token", "hybrid", 2, None, [], [], None), (2, "the user self def", "hybrid", 3, 0.5, ["python"], [], None), (3, "token", "hybrid", 1, None, [], ["auth.py"], None), (4, "token", "hybrid", 1, None, ["cobol"], [], None), (5, "zzz", "hybrid", 1, None, [None], [], None)]
+    more = spark.createDataFrame([(i, "r", f"lib/m{i % 7}.py", 1, 9, ["python", "rust", None][i % 3], f"def user_{i % 5}(token): return {i}", [("user", "def", 1)], [], None) for i in range(10, 700)], CHUNKS)
+    return {"chunks": corpus(spark).unionByName(more), "queries": spark.createDataFrame(asked, QUERIES)}
+
+
+def test_hits_of_a_batch_equal_the_statement_without_writing_the_index(spark, monkeypatch):
+    monkeypatch.setattr(sparse, "PLACE", 100)
+    tables = _batch(spark)
+    run = Run(spark, tables, _ASKED)
+    got = {n: sorted(tuple(r) for r in run.sql(f"SELECT query_id, chunk_id, score, rank FROM {n}").collect()) for n in ("bm25_hits", "dense_hits")}
+    # Before, every posting was joined with its weight and written, and a row made of each query and chunk that share a term.
+    assert not {"postings_built", "impacts", "chunk_vectors"} & set(run.done)
+    stated = Run(spark, tables, _ASKED)
+    assert got == {n: sorted(tuple(r) for r in stated._stated(n).collect()) for n in got}
+    assert max(sum(r[0] == q for r in got["bm25_hits"]) for q in (1, 2)) == 200
+    kept = Run(spark, tables, _ASKED, {n: stated.stage(n) for n in ("postings_built", "chunk_vectors")})
+    assert got == {n: sorted(tuple(r) for r in kept.sql(f"SELECT query_id, chunk_id, score, rank FROM {n}").collect()) for n in got}
+
+
 def test_hybrid_prefers_definitions_over_tests(spark):
     hits = Index(spark, corpus(spark)).search(["UserStore", "how does authenticate work"], top_k=3)
     first = {r.query_id: r.file_path for r in hits if r["rank"] == 1}
