@@ -121,11 +121,17 @@ class _Block:
             yield best_batch(found)
 
 
-def best_batch(found: list[tuple]) -> pa.RecordBatch:
-    q, limits, ids, units = zip(*found)
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x).astype(np.int64))) for x in (ids, units)]
-    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(limits, pa.int64()), *lists], names=["query_id", "pool", "ids", "units"])
+def best_batch(found: list[tuple], schema: str = BEST) -> pa.RecordBatch:
+    q, limits, *columns = zip(*found)
+    lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in c])]).astype(np.int32)), pa.array(np.concatenate(c).astype(np.int64))) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(limits, pa.int64()), *lists], names=[c.split()[0] for c in schema.split(", ")])
+
+
+def merged(ids: pa.ListScalar, units: pa.ListScalar, pool: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best rows of one query from those of the places, ties to the smaller id."""
+    own, scores = (np.asarray(x.values.flatten().to_numpy(), dtype=np.int64) for x in (ids, units))
+    order = np.lexsort((own, -scores))[:pool]
+    return own[order], scores[order]
 
 
 def best_of_places(best: DataFrame, digits: int = 6) -> DataFrame:
@@ -137,9 +143,8 @@ def best_of_places(best: DataFrame, digits: int = 6) -> DataFrame:
             ids, units = (batch.column(c) for c in ("ids", "units"))
             found = []
             for i, (q, pool) in enumerate(zip(batch.column("query_id").to_pylist(), batch.column("pool").to_pylist())):
-                own, scores = ids[i].values.flatten().to_numpy(), units[i].values.flatten().to_numpy()
-                order = np.lexsort((own, -scores))[:pool]
-                found.append((np.full(len(order), q), own[order], scores[order] / unit, np.arange(1, len(order) + 1, dtype=np.int32)))
+                own, scores = merged(ids[i], units[i], pool)
+                found.append((np.full(len(own), q), own, scores / unit, np.arange(1, len(own) + 1, dtype=np.int32)))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["query_id", "id", "score", "rank"])
 

@@ -61,13 +61,20 @@ def _pieces(path: str, symbols: list | None, crumbs: list | None) -> list[str |
     return [*(x for s in symbols or () for x in (s["name"], s["name"], s["kind"])), *(crumbs or ()), stem, stem, *near]
 
 
-def _counts(known: _Tokens, batch: pa.RecordBatch) -> Iterator[dict[int, int]]:
-    """Of every chunk its tokens by number, with the number of its pieces that hold them."""
-    for path, text, symbols, crumbs in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
-        found = dict.fromkeys(known.of(text), 1)
+def _counts(known: _Tokens, batch: pa.RecordBatch, embedded: list[set[int]] | None = None) -> Iterator[dict[int, int]]:
+    """Of every chunk its tokens by number, with the number of its pieces that hold them; ``embedded`` gets the tokens of
+    its ``semantic_text``, whose parts no token spans."""
+    columns = [batch.column(i).to_pylist() for i in range(1, 5)]
+    languages = batch.column(5).to_pylist() if embedded is not None else [None] * batch.num_rows
+    for path, text, symbols, crumbs, language in zip(*columns, languages):
+        own = known.of(text)
+        found = dict.fromkeys(own, 1)
         for piece in _pieces(path, symbols, crumbs):
             for t in known.of(piece):
                 found[t] = found.get(t, 0) + 1
+        if embedded is not None:
+            parts = ("path language symbols context", path, "unknown" if language is None else language, *(s["name"] for s in symbols or ()), *(crumbs or ()))
+            embedded.append(own.union(*map(known.of, parts)))
         yield found
 
 
@@ -90,16 +97,18 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _bags(asked: dict[str, int]):
-    """``(id, n, codes, tfs)``: of every chunk its length and its postings of the terms asked for, by their codes."""
+def _bags(asked: dict[str, int], dimensions: int):
+    """``BAGS``: of every chunk its length, its postings of the terms asked for by their codes, and its hashed vector where
+    ``dimensions`` is not 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, coded = _Tokens(), np.zeros(0, dtype=np.int32)
+        known, coded, hashes = _Tokens(), np.zeros(0, dtype=np.int32), _Hashes(dimensions)
         for batch in batches:
             if len(known) > REMEMBERED:
-                known, coded = _Tokens(), coded[:0]
+                known, coded, hashes = _Tokens(), coded[:0], _Hashes(dimensions)
             numbers, counts, sizes, lengths = [], [], [], []
-            for found in _counts(known, batch):
+            embedded: list[set[int]] | None = [] if dimensions else None
+            for found in _counts(known, batch, embedded):
                 numbers.extend(found)
                 counts.extend(found.values())
                 sizes.append(len(found))
@@ -109,24 +118,39 @@ def _bags(asked: dict[str, int]):
             kept = codes >= 0
             ends = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64))])].astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[kept])) for x in (codes, np.array(counts, dtype=np.int32))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), *lists], names=["id", "n", "codes", "tfs"])
+            if dimensions:
+                v = hashes.sums(known, embedded).astype(np.int32)
+                vectors = pa.ListArray.from_arrays(np.arange(0, len(v) + 1, dimensions, dtype=np.int32), v)
+            else:
+                vectors = pa.nulls(batch.num_rows, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), *lists, vectors], names=["id", "n", "codes", "tfs", "v"])
 
     return run
 
 
+class _Hashes:
+    """Place and sign of the tokens by number."""
+
+    def __init__(self, dimensions: int) -> None:
+        self.dimensions, self.place, self.sign = dimensions, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def sums(self, known: _Tokens, rows: list[set[int]]) -> np.ndarray:
+        """The hashed vectors of some sets of tokens, one after the other."""
+        digests = [hashlib.md5(t.encode()).hexdigest() for t in list(known.numbers)[len(self.place) :]]
+        self.place = np.concatenate([self.place, np.array([int(h[:8], 16) % self.dimensions for h in digests], dtype=np.int64)])
+        self.sign = np.concatenate([self.sign, np.array([1 if h[8] < "8" else -1 for h in digests], dtype=np.int64)])
+        which = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        flat = np.concatenate([np.fromiter(r, dtype=np.int64, count=len(r)) for r in rows]) if rows else np.zeros(0, dtype=np.int64)
+        return np.bincount(which * self.dimensions + self.place[flat], weights=self.sign[flat], minlength=len(rows) * self.dimensions)
+
+
 def _sums(dimensions: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """The hashed vectors of a batch of texts, one after the other, with the ids."""
-    known, place, sign = _Tokens(), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    known, hashes = _Tokens(), _Hashes(dimensions)
     for batch in batches:
         if len(known) > REMEMBERED:
-            known, place, sign = _Tokens(), place[:0], sign[:0]
-        rows = [np.fromiter(known.of(t), dtype=np.int64) for t in batch.column(1).to_pylist()]
-        digests = [hashlib.md5(t.encode()).hexdigest() for t in list(known.numbers)[len(place) :]]
-        place = np.concatenate([place, np.array([int(h[:8], 16) % dimensions for h in digests], dtype=np.int64)])
-        sign = np.concatenate([sign, np.array([1 if h[8] < "8" else -1 for h in digests], dtype=np.int64)])
-        which = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
-        yield batch.column(0), np.bincount(which * dimensions + place[flat], weights=sign[flat], minlength=len(rows) * dimensions)
+            known, hashes = _Tokens(), _Hashes(dimensions)
+        yield batch.column(0), hashes.sums(known, [known.of(t) for t in batch.column(1).to_pylist()])
 
 
 def _vectors(dimensions: int):
@@ -158,9 +182,13 @@ def chunk_postings(run: Run) -> DataFrame:
     return run.stage("chunk_rows").select(*INDEXED).mapInArrow(_postings, POSTINGS)
 
 
-def chunk_bags(run: Run, asked: dict[str, int]) -> DataFrame:
-    """``(id, n, codes, tfs)``: the postings of the terms asked for by chunk, without those of all others being made."""
-    return run.stage("chunk_rows").select(*INDEXED).mapInArrow(_bags(asked), "id bigint, n bigint, codes array<int>, tfs array<int>")
+BAGS = "id bigint, n bigint, codes array<int>, tfs array<int>, v array<int>"
+
+
+def chunk_bags(run: Run, asked: dict[str, int], dimensions: int = 0) -> DataFrame:
+    """``BAGS``: the postings of the terms asked for by chunk, without those of all others being made, and on demand the
+    vectors from the same tokens."""
+    return run.stage("chunk_rows").select(*INDEXED, "language").mapInArrow(_bags(asked, dimensions), BAGS)
 
 
 def _semantic_texts(run: Run) -> DataFrame:

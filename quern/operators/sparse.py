@@ -1,4 +1,5 @@
-"""Exact BM25 hits of a batch of queries, as sums over the postings of its terms.
+"""Exact BM25 hits of a batch of queries, as sums over the postings of its terms, and with them, where a batch asks for
+both, its dense hits, as products with the vectors of the same chunks.
 
 Chunks go to places by their id, every query to all places.  A place adds up one query at a time over all its chunks, so
 that no row is made for a query and a chunk before it is known to be among the query's best, and gives at most as many
@@ -17,7 +18,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.dense import BEST, GIVEN, best_batch, best_of_places
+from quern.operators.dense import BEST, GIVEN, best_batch, best_of_places, merged
 from quern.operators.postings import chunk_bags
 from quern.session import cut, stored
 
@@ -114,8 +115,8 @@ class _Place:
         return self.masks[known]
 
 
-def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per query of a place the best rows, as many as its pool, ties to the smaller id."""
+def _best(batches: Iterator[pa.RecordBatch], places: list[_Place] | None = None) -> Iterator[pa.RecordBatch]:
+    """Per query of a place the best rows, as many as its pool, ties to the smaller id; ``places`` gets the place."""
     by_kind: tuple[list, list, list] = ([], [], [])
     for batch in batches:
         kinds = batch.column("kind").to_numpy()
@@ -127,6 +128,8 @@ def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     queries = pa.Table.from_batches(asked)
     place = _Place(postings, keys, queries)
+    if places is not None:
+        places.append(place)
     total, out = np.zeros(len(place.ids)), []
     for batch in asked:
         query, pools, languages, paths = (batch.column(c).to_pylist() for c in ("id", "n", "languages", "paths"))
@@ -140,11 +143,7 @@ def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if wanted:
                     units *= place.allowed(column, wanted)
             at = np.flatnonzero(units)
-            if len(at) > pools[i]:
-                found = units[at]
-                edge = np.partition(found, len(found) - pools[i])[len(found) - pools[i]]
-                above = at[found > edge]
-                at = np.concatenate([above, at[found == edge][: pools[i] - len(above)]])
+            at = at[_first(units[at], pools[i])]
             if len(at):
                 out.append((q, pools[i], place.ids[at], units[at]))
             if len(out) >= GIVEN:
@@ -154,14 +153,136 @@ def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield best_batch(out)
 
 
+def _first(units: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k largest, ties to the first."""
+    if len(units) <= k:
+        return np.arange(len(units))
+    edge = np.partition(units, len(units) - k)[len(units) - k]
+    above = np.flatnonzero(units > edge)
+    return np.concatenate([above, np.flatnonzero(units == edge)[: k - len(above)]])
+
+
+class _Vectors:
+    """The vectors of a place.  They are whole numbers, so their products are exact in few digits as far as these go."""
+
+    def __init__(self, place: _Place, rows: list[tuple[np.ndarray, np.ndarray]], longest: float) -> None:
+        ids = np.concatenate([ids for ids, _ in rows])
+        order = np.argsort(ids)
+        m = np.concatenate([v for _, v in rows])[order]
+        rows.clear()
+        norms = np.sqrt(np.einsum("ij,ij->i", m, m, dtype=np.float64))
+        kept = norms > 0
+        self.ids, self.norms, self.place = ids[order][kept], norms[kept], place
+        self.m = m[kept].astype(np.float32 if longest * norms.max(initial=0) < 2**24 else np.float64)
+        self.shares = (1 / self.norms).astype(self.m.dtype)
+        self.at = np.searchsorted(place.ids, self.ids)
+
+    def products(self, queries: np.ndarray) -> np.ndarray:
+        return queries.astype(self.m.dtype) @ self.m.T
+
+    def best(self, dots: np.ndarray, norm: float, k: int, wanted: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """The k best rows of one query and their cosines in units, as exact as the products."""
+        near = dots * self.shares
+        at = None
+        for column, values in wanted:
+            if values:
+                mask = self.place.allowed(column, values)[self.at]
+                at = np.flatnonzero(mask) if at is None else at[mask[at]]
+        if at is not None:
+            near = near[at]
+        if len(near) > k:
+            # Further down than rounding and few digits can bring any of the best.
+            close = np.flatnonzero(near >= np.partition(near, len(near) - k)[len(near) - k] - 3e-6 * norm)
+            at = close if at is None else at[close]
+        elif at is None:
+            at = np.arange(len(near))
+        exact = dots[at].astype(np.float64) / (norm * self.norms[at]) * UNIT
+        units = np.copysign(np.floor(np.abs(exact) + 0.5), exact)
+        own = _first(units, k)
+        return self.ids[at[own]], units[own]
+
+
+BOTH = "query_id bigint, pool bigint, ids array<bigint>, units array<bigint>, near array<bigint>, cosines array<bigint>"
+NONE = np.zeros(0, dtype=np.int64)
+
+
+def _best_of_both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_best`` with the rows of the best cosines beside those of the best sums."""
+    known: list[tuple[np.ndarray, np.ndarray]] = []
+    asked: dict[int, tuple] = {}
+    norms: list[float] = []
+
+    def kept() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = batch.column("kind").to_numpy()
+            for k in (0, 1):
+                if (kinds == k).any():
+                    own = batch.filter(pa.array(kinds == k))
+                    v = own.column("v").flatten().to_numpy().reshape(own.num_rows, -1)
+                    if k:
+                        known.append((own.column("id").to_numpy(), v.astype(np.int32)))
+                    else:
+                        norms.append(np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64)).max())
+                        asked.update((q, (v[i], *rest)) for i, (q, *rest) in enumerate(zip(*(own.column(c).to_pylist() for c in ("id", "n", "languages", "paths")))))
+            yield batch.drop_columns(["v"])
+
+    vectors, places = None, []
+
+    def together(some: list[int], sums: dict[int, tuple]) -> pa.RecordBatch:
+        matrix = np.stack([asked[q][0] for q in some])
+        found = []
+        for q, v, dots in zip(some, matrix.astype(np.float64), vectors.products(matrix)):
+            _, pool, languages, paths = asked.pop(q)
+            norm = math.sqrt(v @ v)
+            near = vectors.best(dots, norm, pool, (("language", languages), ("path", paths))) if norm else (NONE, NONE)
+            found.append((q, pool, *sums.get(q, (NONE, NONE)), *near))
+        return best_batch(found, BOTH)
+
+    for given in _best(kept(), places):
+        vectors = vectors or _Vectors(places[0], known, max(norms))
+        sums = {q.as_py(): (ids.values.to_numpy(), units.values.to_numpy()) for q, ids, units in zip(*(given.column(c) for c in ("query_id", "ids", "units")))}
+        yield together(list(sums), sums)
+    if places and asked:
+        vectors = vectors or _Vectors(places[0], known, max(norms))
+        rest = list(asked)
+        for a in range(0, len(rest), GIVEN):
+            yield together(rest[a : a + GIVEN], {})
+
+
+def _both_of_places(best: DataFrame) -> DataFrame:
+    """``(query_id, chunk_id, bm25_score, bm25_rank, dense_score, dense_rank)``: the best of all places, one row per query and
+    chunk, null where a retriever does not name it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c) for c in ("ids", "units", "near", "cosines")]
+            for i, (q, pool) in enumerate(zip(batch.column("query_id").to_pylist(), batch.column("pool").to_pylist())):
+                sums, near = (merged(a[i], b[i], pool) for a, b in (columns[:2], columns[2:]))
+                ids = np.union1d(sums[0], near[0])
+                out = []
+                for own, scores in (sums, near):
+                    at = np.searchsorted(ids, own)
+                    score, rank, no = np.zeros(len(ids)), np.zeros(len(ids), dtype=np.int32), np.ones(len(ids), dtype=bool)
+                    score[at], rank[at], no[at] = scores / UNIT, np.arange(1, len(own) + 1), False
+                    out += [pa.array(score, mask=no), pa.array(rank, mask=no)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), q)), pa.array(ids), *out], names=["query_id", "chunk_id", "bm25_score", "bm25_rank", "dense_score", "dense_rank"])
+
+    gathered = best.groupBy("query_id").agg(F.max("pool").alias("pool"), *(F.collect_list(c).alias(c) for c in ("ids", "units", "near", "cosines")))
+    return gathered.mapInArrow(run, "query_id bigint, chunk_id bigint, bm25_score double, bm25_rank int, dense_score double, dense_rank int")
+
+
 def bm25_sums(run: Run) -> DataFrame:
     """``bm25_hits``: the chunks that hold a query term and pass the query's filter, ranked as far as the query's pool goes."""
+    from quern.plans.stages import DIMENSIONS
+
     spark, chunks, terms = run.spark, run.stage("chunk_rows"), run.stage("query_terms")
     codes = cut(terms.select("term").distinct().selectExpr("term", "cast(row_number() over (order by term) as int) as code"))
     few = codes.count() <= BROUGHT
-    if few and "postings_built" not in run.done:
+    bare = few and "postings_built" not in run.done
+    both = bare and run.hybrid and run.encoder is None and not {"dense_hits", "chunk_vectors"} & set(run.done)
+    if bare:
         # No index is kept: only the postings of the batch's terms are made.
-        packed = stored(chunk_bags(run, {r.term: r.code for r in codes.toLocalIterator()}))
+        packed = stored(chunk_bags(run, {r.term: r.code for r in codes.toLocalIterator()}, DIMENSIONS if both else 0))
         frequency = packed.select("codes").mapInArrow(_frequencies, "code int, df bigint").groupBy("code").agg(F.sum("df").alias("df"))
         n = chunks.count()
         run.offer("corpus_stats", cut(packed.selectExpr(f"{n}L as n_chunks", f"case when {n} > 0 then coalesce(cast(sum(n) as double), 0) / {n} else 0.0D end as avg_doc_len")))
@@ -171,16 +292,28 @@ def bm25_sums(run: Run) -> DataFrame:
         frequency = run.done["term_frequencies"].join(near, "term").select("code", "df") if "term_frequencies" in run.done else asked.groupBy("code").agg(F.count("*").alias("df"))
         packed = asked.selectExpr("chunk_id as id", "doc_len as n", "code", "cast(tf as int) as tf").mapInArrow(_packed, PACKED)
     stats = run.stage("corpus_stats").selectExpr("n_chunks", "cast(avg_doc_len as double) as mean")
-    idf = frequency.crossJoin(F.broadcast(stats)).selectExpr("code", "mean", "ln((n_chunks - df + 0.5) / (df + 0.5) + 1) as idf")
-    of = terms.join(codes, "term").join(idf, "code").groupBy("query_id").agg(F.collect_list(F.struct("code", "idf")).alias("t"), F.max("mean").alias("mean"))
+    idf = frequency.crossJoin(F.broadcast(stats)).selectExpr("code", "ln((n_chunks - df + 0.5) / (df + 0.5) + 1) as idf")
+    # A query whose terms no chunk holds has dense hits all the same.
+    weights = terms.join(codes, "term").join(idf, "code", "left").selectExpr("query_id", "code", "coalesce(idf, 0.0D) as idf")
+    of = weights.groupBy("query_id").agg(F.collect_list(F.struct("code", "idf")).alias("t")).crossJoin(F.broadcast(stats.select("mean")))
     queries = of.join(run.stage("query_rows").select("query_id", "pool", "filter_languages", "filter_paths"), "query_id")
+    if both:
+        parts = run.stage("query_vectors").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("i").cast("int"), F.col("v").cast("int")))).alias("parts"))
+        queries = queries.join(parts, "query_id", "left").withColumn("v", F.expr(f"transform(sequence(0, {DIMENSIONS - 1}), i -> coalesce(parts[i], 0))"))
+    vector = ["v"] if both else []
     places = max(spark.sparkContext.defaultParallelism, math.ceil(chunks.count() / PLACE))
     place = F.pmod(F.xxhash64("id"), F.lit(places)).cast("int").alias("place")
     left = queries.selectExpr(
-        f"explode(sequence(0, {places - 1})) as place", "0 as kind", "query_id as id", "pool as n", "t.code as codes", "t.idf as idfs", "mean", "filter_languages as languages", "filter_paths as paths",
+        f"explode(sequence(0, {places - 1})) as place", "0 as kind", "query_id as id", "pool as n", "t.code as codes", "t.idf as idfs", "mean", "filter_languages as languages", "filter_paths as paths", *vector,
     )
-    packed = packed.select(place, F.lit(1).alias("kind"), "id", "n", "codes", "tfs")
+    packed = packed.select(place, F.lit(1).alias("kind"), "id", "n", "codes", "tfs", *vector)
     keys = chunks.selectExpr("chunk_id as id", "language", "file_path as path").select(place, F.lit(2).alias("kind"), "id", "language", "path")
     met = left.unionByName(packed, allowMissingColumns=True).unionByName(keys, allowMissingColumns=True)
-    best = met.repartitionById(places, F.col("place")).drop("place").mapInArrow(_best, BEST)
+    met = met.repartitionById(places, F.col("place")).drop("place")
+    if both:
+        hits = stored(_both_of_places(met.mapInArrow(_best_of_both, BOTH)))
+        run.offer("both_hits", hits)
+        run.offer("dense_hits", hits.where("dense_rank is not null").selectExpr("query_id", "chunk_id", "dense_score as score", "dense_rank as rank"))
+        return hits.where("bm25_rank is not null").selectExpr("query_id", "chunk_id", "bm25_score as score", "bm25_rank as rank")
+    best = met.mapInArrow(_best, BEST)
     return best_of_places(best).withColumnRenamed("id", "chunk_id")

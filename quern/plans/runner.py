@@ -6,20 +6,24 @@ import itertools
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.functions.dialect import DUCK, GREATEST_POOL, SPARK
 from quern.operators.dense import block_hits
 from quern.operators.encoders import Encoder
 from quern.operators.postings import chunk_postings, hashed_chunks
 from quern.operators.sparse import bm25_sums
-from quern.plans.stages import COLUMNS, HEAVY, STAGES, Stage
+from quern.plans.stages import BOTH_NAME, COLUMNS, HEAVY, RRF, STAGES, Stage
 from quern.session import cut, stored, table
 
 #: Tables that a stage may read besides other stages.
 TABLES = ("chunks", "queries", "signatures", "documents", "vectors", "rank_evidence", "events")
 
 #: Stages whose text is for the check engine only: on Spark, batches of rows go through arrays.
-IN_BLOCKS = {"bm25_hits": bm25_sums, "dense_hits": block_hits, "postings_built": chunk_postings, "chunk_vectors": hashed_chunks}
+IN_BLOCKS = {"chunk_rows": lambda run: latest_chunks(run), "bm25_hits": bm25_sums, "dense_hits": block_hits, "postings_built": chunk_postings, "chunk_vectors": hashed_chunks}
+
+#: Up to so many chunks that were delivered more than once, their ids go to all readers of the chunks.
+REPEATED = 2_000_000
 
 _runs = itertools.count()
 
@@ -57,6 +61,8 @@ class Run:
         self.done: dict[str, DataFrame] = {}
         #: Vectors of another origin than the hashed tokens.
         self.encoder: Encoder | None = None
+        #: Whether the statement at hand reads the hits of both retrievers.
+        self.hybrid = False
         for name, df in (built or {}).items():
             self._view(name, df)
 
@@ -85,10 +91,29 @@ class Run:
     def stage(self, name: str) -> DataFrame:
         if name not in self.done:
             made = IN_BLOCKS.get(name)
-            df = made(self) if made else self._stated(name)
-            self._view(name, stored(df) if name in COLUMNS else cut(df) if name in HEAVY else df)
+            df = self._joined(name) or (made(self) if made else self._stated(name))
+            kept = name in self.done or name == "chunk_rows" and self.lazy or name == "bm25_hits" and "both_hits" in self.done
+            self._view(name, df if kept else stored(df) if name in COLUMNS else cut(df) if name in HEAVY else df)
         return self.done[name]
 
+    @property
+    def lazy(self) -> bool:
+        """Whether chunks are read from their table each time, instead of being written once more."""
+        return isinstance(self.source, str)
+
+    def _joined(self, name: str) -> DataFrame | None:
+        """What is made of the hits of both retrievers, where they came about together: no join brings them together again."""
+        if "both_hits" not in self.done:
+            return None
+        both, queries = f"{self.prefix}both_hits", f"{self.prefix}query_rows"
+        if name == "rrf_parts":
+            parts = f"coalesce(q.alpha / ({RRF} + h.dense_rank), 0.0D) + coalesce((1 - q.alpha) / ({RRF} + h.bm25_rank), 0.0D)"
+            return self.spark.sql(f"SELECT h.query_id, h.chunk_id, {parts} AS part FROM {both} h JOIN {queries} q ON h.query_id = q.query_id")
+        if name == "agreement":
+            near, far = ("named_struct('query_id', query_id, 'chunk_id', chunk_id, 'rank', dense_rank) AS s", "named_struct('rank', bm25_rank) AS m")
+            return self.spark.sql(self.stages[name](SPARK).replace(BOTH_NAME, f"(SELECT {near}, {far} FROM {both} WHERE dense_rank <= 50 AND bm25_rank <= 50) h"))
+        return None
+
     def _stated(self, name: str) -> DataFrame:
         text = self.stages[name](SPARK)
         inputs = _names(self.stages[name](DUCK), list(self.stages))
@@ -100,10 +125,28 @@ class Run:
     def sql(self, text: str) -> DataFrame:
         """A statement over tables and stages."""
         names = _names(text, list(self.stages))
-        if "bm25_hits" in needed(text, self.stages):
+        every = needed(text, self.stages)
+        self.hybrid = {"bm25_hits", "dense_hits"} <= set(every)
+        if "bm25_hits" in every:
             # First, as it offers the corpus's statistics to the others.
             self.stage("bm25_hits")
         for n in names:
             self.stage(n)
         self._tables(text)
         return self.spark.sql(self._bind(text, [*names, *_names(text, TABLES)]))
+
+
+def latest_chunks(run: Run) -> DataFrame:
+    """``chunk_rows``; from a table, only chunks that were delivered more than once meet each other and are written."""
+    if not run.lazy:
+        return run._stated("chunk_rows")
+    chunks = table(run.spark, run.source, "chunks").where("chunk_id IS NOT NULL AND file_path IS NOT NULL")
+    repeated = cut(chunks.groupBy("chunk_id").count().where("count > 1").select("chunk_id"))
+    if repeated.count() > REPEATED:
+        return stored(run._stated("chunk_rows"))
+    near = F.broadcast(repeated)
+    run._view("chunks", chunks.join(near, "chunk_id", "left_semi"))
+    latest = stored(run._stated("chunk_rows"))
+    del run.done["chunks"]
+    once = chunks.join(near, "chunk_id", "left_anti").withColumns({"language": F.lower("language"), "breadcrumbs": F.coalesce("breadcrumbs", F.array().cast("array<string>"))})
+    return once.select(*latest.columns).unionByName(latest)

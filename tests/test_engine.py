@@ -179,3 +179,19 @@ def test_ingest_keeps_the_latest(spark, tmp_path):
 
 def test_names_are_words():
     assert all(re.fullmatch(r"[a-z0-9_]+", n) for n in queries())
+
+
+def test_hits_of_both_retrievers_come_about_together(spark, tmp_path):
+    words = ["token", "parse", "login", "store", "read"]
+    rows = [(i, "r", f"d{i % 3}/f{i % 7}.py", 1, 9, "Python" if i % 2 else "go", " ".join(words[: 1 + i % 5]) + f" x{i % 11}", [("Parse", "def", 1)] if i % 4 == 0 else None, ["a", "b"], None) for i in range(90)]
+    spark.createDataFrame([*rows, *rows[:9]], CHUNKS).repartition(3).write.parquet(f"{tmp_path}/chunks.parquet")
+    asked = [(1, "parse login", None), (2, "token x3", ["python"]), (3, "  ", None), (4, "nowhere", None), (5, "read store", ["cobol"])]
+    spark.createDataFrame([(q, t, "hybrid", 1, None, w, None) for q, t, w in asked], "query_id bigint, query_text string, search_mode string, top_k int, alpha double, filter_languages array<string>, issued_at timestamp").write.parquet(f"{tmp_path}/queries.parquet")
+    together, apart = Run(spark, str(tmp_path)), Run(spark, str(tmp_path))
+    got = {tuple(r) for r in together.sql(CATALOG["rrf_fuse"](SPARK)).collect()}
+    assert "both_hits" in together.done
+    for name in ("bm25_hits", "dense_hits"):
+        hits = [sorted(tuple(r) for r in run.stage(name).select("query_id", "chunk_id", "score", "rank").collect()) for run in (together, apart)]
+        assert hits[0] == hits[1] and hits[0]
+    assert "both_hits" not in apart.done and got == {tuple(r) for r in apart.sql(CATALOG["rrf_fuse"](SPARK)).collect()}
+    assert together.stage("chunk_rows").count() == 90
