@@ -119,15 +119,24 @@ def _bags(asked: dict[str, int], dimensions: int):
             ends = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64))])].astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[kept])) for x in (codes, np.array(counts, dtype=np.int32))]
             if dimensions:
-                v = hashes.sums(known, embedded).astype(np.int32)
-                vectors = pa.ListArray.from_arrays(np.arange(0, len(v) + 1, dimensions, dtype=np.int32), v)
+                vectors = packed_vectors(hashes.sums(known, embedded).reshape(len(embedded), dimensions))
             else:
-                vectors = pa.nulls(batch.num_rows, pa.list_(pa.int32()))
+                vectors = pa.nulls(batch.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), *lists, vectors], names=["id", "n", "codes", "tfs", "v"])
 
     return run
 
 
+def packed_vectors(m: np.ndarray) -> pa.Array:
+    """Rows of whole numbers as bytes, one to a component, or four in rows with a component of more than seven bits."""
+    short = (np.abs(m) <= 127).all(axis=1)
+    return pa.array([r.astype(np.int8 if s else "<i4").tobytes() for r, s in zip(m, short)], pa.binary())
+
+
+def unpacked_vectors(column: pa.Array, dimensions: int) -> np.ndarray:
+    return np.stack([np.frombuffer(b, np.int8 if len(b) == dimensions else "<i4").astype(np.int32) for b in column.to_pylist()])
+
+
 class _Hashes:
     """Place and sign of the tokens by number."""
 
@@ -182,7 +191,7 @@ def chunk_postings(run: Run) -> DataFrame:
     return run.stage("chunk_rows").select(*INDEXED).mapInArrow(_postings, POSTINGS)
 
 
-BAGS = "id bigint, n bigint, codes array<int>, tfs array<int>, v array<int>"
+BAGS = "id bigint, n bigint, codes array<int>, tfs array<int>, v binary"
 
 
 def chunk_bags(run: Run, asked: dict[str, int], dimensions: int = 0) -> DataFrame:

@@ -18,8 +18,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.dense import BEST, GIVEN, best_batch, best_of_places, merged
-from quern.operators.postings import chunk_bags
+from quern.operators.dense import BEST, GIVEN, best_batch, best_of_places
+from quern.operators.postings import chunk_bags, unpacked_vectors
 from quern.session import cut, stored
 
 if TYPE_CHECKING:
@@ -202,51 +202,75 @@ class _Vectors:
         return self.ids[at[own]], units[own]
 
 
-BOTH = "query_id bigint, pool bigint, ids array<bigint>, units array<bigint>, near array<bigint>, cosines array<bigint>"
+BOTH = "query_id bigint, pool bigint, sums binary, near binary"
 NONE = np.zeros(0, dtype=np.int64)
 
 
-def _best_of_both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``_best`` with the rows of the best cosines beside those of the best sums."""
-    known: list[tuple[np.ndarray, np.ndarray]] = []
-    asked: dict[int, tuple] = {}
-    norms: list[float] = []
+def _packed_hits(ids: np.ndarray, units: np.ndarray) -> bytes:
+    """Hits in the order of their ids, as differences and byte by byte, of which most are zero: so they shuffle in half the room."""
+    order = np.argsort(ids)
+    rows = np.stack([np.diff(ids[order], prepend=0), units[order].astype(np.int64)]).astype("<i8")
+    return np.ascontiguousarray(rows.view(np.uint8).reshape(2, -1, 8).transpose(0, 2, 1)).tobytes()
 
-    def kept() -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kinds = batch.column("kind").to_numpy()
-            for k in (0, 1):
-                if (kinds == k).any():
-                    own = batch.filter(pa.array(kinds == k))
-                    v = own.column("v").flatten().to_numpy().reshape(own.num_rows, -1)
-                    if k:
-                        known.append((own.column("id").to_numpy(), v.astype(np.int32)))
-                    else:
-                        norms.append(np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64)).max())
-                        asked.update((q, (v[i], *rest)) for i, (q, *rest) in enumerate(zip(*(own.column(c).to_pylist() for c in ("id", "n", "languages", "paths")))))
-            yield batch.drop_columns(["v"])
-
-    vectors, places = None, []
-
-    def together(some: list[int], sums: dict[int, tuple]) -> pa.RecordBatch:
-        matrix = np.stack([asked[q][0] for q in some])
-        found = []
-        for q, v, dots in zip(some, matrix.astype(np.float64), vectors.products(matrix)):
-            _, pool, languages, paths = asked.pop(q)
-            norm = math.sqrt(v @ v)
-            near = vectors.best(dots, norm, pool, (("language", languages), ("path", paths))) if norm else (NONE, NONE)
-            found.append((q, pool, *sums.get(q, (NONE, NONE)), *near))
-        return best_batch(found, BOTH)
-
-    for given in _best(kept(), places):
-        vectors = vectors or _Vectors(places[0], known, max(norms))
-        sums = {q.as_py(): (ids.values.to_numpy(), units.values.to_numpy()) for q, ids, units in zip(*(given.column(c) for c in ("query_id", "ids", "units")))}
-        yield together(list(sums), sums)
-    if places and asked:
-        vectors = vectors or _Vectors(places[0], known, max(norms))
-        rest = list(asked)
-        for a in range(0, len(rest), GIVEN):
-            yield together(rest[a : a + GIVEN], {})
+
+def _unpacked_hits(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(2, 8, len(packed) // 16).transpose(0, 2, 1)).view("<i8")[:, :, 0]
+    return np.cumsum(rows[0]), rows[1]
+
+
+def _best_of_both(dimensions: int):
+    """``BOTH``: ``_best`` with the rows of the best cosines beside those of the best sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: list[tuple[np.ndarray, np.ndarray]] = []
+        asked: dict[int, tuple] = {}
+        norms: list[float] = []
+
+        def kept() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kinds = batch.column("kind").to_numpy()
+                for k in (0, 1):
+                    if (kinds == k).any():
+                        own = batch.filter(pa.array(kinds == k))
+                        if k:
+                            known.append((own.column("id").to_numpy(), unpacked_vectors(own.column("v"), dimensions)))
+                        else:
+                            v = own.column("asked").flatten().to_numpy().reshape(own.num_rows, dimensions)
+                            norms.append(np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64)).max())
+                            asked.update((q, (v[i], *rest)) for i, (q, *rest) in enumerate(zip(*(own.column(c).to_pylist() for c in ("id", "n", "languages", "paths")))))
+                yield batch.drop_columns(["v", "asked"])
+
+        vectors, places = None, []
+
+        def together(some: list[int], sums: dict[int, tuple]) -> pa.RecordBatch:
+            matrix = np.stack([asked[q][0] for q in some])
+            found = []
+            for q, v, dots in zip(some, matrix.astype(np.float64), vectors.products(matrix)):
+                _, pool, languages, paths = asked.pop(q)
+                norm = math.sqrt(v @ v)
+                near = vectors.best(dots, norm, pool, (("language", languages), ("path", paths))) if norm else (NONE, NONE)
+                found.append((q, pool, _packed_hits(*sums.get(q, (NONE, NONE))), _packed_hits(*near)))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=["query_id", "pool", "sums", "near"])
+
+        for given in _best(kept(), places):
+            vectors = vectors or _Vectors(places[0], known, max(norms))
+            sums = {q.as_py(): (ids.values.to_numpy(), units.values.to_numpy()) for q, ids, units in zip(*(given.column(c) for c in ("query_id", "ids", "units")))}
+            yield together(list(sums), sums)
+        if places and asked:
+            vectors = vectors or _Vectors(places[0], known, max(norms))
+            rest = list(asked)
+            for a in range(0, len(rest), GIVEN):
+                yield together(rest[a : a + GIVEN], {})
+
+    return run
+
+
+def _merged(parts: list[bytes], pool: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best rows of one query from those of the places, ties to the smaller id."""
+    ids, units = (np.concatenate(x) for x in zip(*map(_unpacked_hits, parts)))
+    order = np.lexsort((ids, -units))[:pool]
+    return ids[order], units[order]
 
 
 def _both_of_places(best: DataFrame) -> DataFrame:
@@ -255,9 +279,8 @@ def _both_of_places(best: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c) for c in ("ids", "units", "near", "cosines")]
-            for i, (q, pool) in enumerate(zip(batch.column("query_id").to_pylist(), batch.column("pool").to_pylist())):
-                sums, near = (merged(a[i], b[i], pool) for a, b in (columns[:2], columns[2:]))
+            for q, pool, *hits in zip(*(batch.column(c).to_pylist() for c in ("query_id", "pool", "sums", "near"))):
+                sums, near = (_merged(parts, pool) for parts in hits)
                 ids = np.union1d(sums[0], near[0])
                 out = []
                 for own, scores in (sums, near):
@@ -267,7 +290,7 @@ def _both_of_places(best: DataFrame) -> DataFrame:
                     out += [pa.array(score, mask=no), pa.array(rank, mask=no)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), q)), pa.array(ids), *out], names=["query_id", "chunk_id", "bm25_score", "bm25_rank", "dense_score", "dense_rank"])
 
-    gathered = best.groupBy("query_id").agg(F.max("pool").alias("pool"), *(F.collect_list(c).alias(c) for c in ("ids", "units", "near", "cosines")))
+    gathered = best.groupBy("query_id").agg(F.max("pool").alias("pool"), *(F.collect_list(c).alias(c) for c in ("sums", "near")))
     return gathered.mapInArrow(run, "query_id bigint, chunk_id bigint, bm25_score double, bm25_rank int, dense_score double, dense_rank int")
 
 
@@ -299,19 +322,18 @@ def bm25_sums(run: Run) -> DataFrame:
     queries = of.join(run.stage("query_rows").select("query_id", "pool", "filter_languages", "filter_paths"), "query_id")
     if both:
         parts = run.stage("query_vectors").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("i").cast("int"), F.col("v").cast("int")))).alias("parts"))
-        queries = queries.join(parts, "query_id", "left").withColumn("v", F.expr(f"transform(sequence(0, {DIMENSIONS - 1}), i -> coalesce(parts[i], 0))"))
-    vector = ["v"] if both else []
+        queries = queries.join(parts, "query_id", "left").withColumn("asked", F.expr(f"transform(sequence(0, {DIMENSIONS - 1}), i -> coalesce(parts[i], 0))"))
     places = max(spark.sparkContext.defaultParallelism, math.ceil(chunks.count() / PLACE))
     place = F.pmod(F.xxhash64("id"), F.lit(places)).cast("int").alias("place")
     left = queries.selectExpr(
-        f"explode(sequence(0, {places - 1})) as place", "0 as kind", "query_id as id", "pool as n", "t.code as codes", "t.idf as idfs", "mean", "filter_languages as languages", "filter_paths as paths", *vector,
+        f"explode(sequence(0, {places - 1})) as place", "0 as kind", "query_id as id", "pool as n", "t.code as codes", "t.idf as idfs", "mean", "filter_languages as languages", "filter_paths as paths", *["asked"] * both,
     )
-    packed = packed.select(place, F.lit(1).alias("kind"), "id", "n", "codes", "tfs", *vector)
+    packed = packed.select(place, F.lit(1).alias("kind"), "id", "n", "codes", "tfs", *["v"] * both)
     keys = chunks.selectExpr("chunk_id as id", "language", "file_path as path").select(place, F.lit(2).alias("kind"), "id", "language", "path")
     met = left.unionByName(packed, allowMissingColumns=True).unionByName(keys, allowMissingColumns=True)
     met = met.repartitionById(places, F.col("place")).drop("place")
     if both:
-        hits = stored(_both_of_places(met.mapInArrow(_best_of_both, BOTH)))
+        hits = stored(_both_of_places(met.mapInArrow(_best_of_both(DIMENSIONS), BOTH)))
         run.offer("both_hits", hits)
         run.offer("dense_hits", hits.where("dense_rank is not null").selectExpr("query_id", "chunk_id", "dense_score as score", "dense_rank as rank"))
         return hits.where("bm25_rank is not null").selectExpr("query_id", "chunk_id", "bm25_score as score", "bm25_rank as rank")

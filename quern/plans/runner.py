@@ -92,7 +92,7 @@ class Run:
         if name not in self.done:
             made = IN_BLOCKS.get(name)
             df = self._joined(name) or (made(self) if made else self._stated(name))
-            kept = name in self.done or name == "chunk_rows" and self.lazy or name == "bm25_hits" and "both_hits" in self.done
+            kept = name in self.done or name == "chunk_rows" and self.lazy or name in ("bm25_hits", "fused") and "both_hits" in self.done
             self._view(name, df if kept else stored(df) if name in COLUMNS else cut(df) if name in HEAVY else df)
         return self.done[name]
 
@@ -112,10 +112,15 @@ class Run:
         if name == "agreement":
             near, far = ("named_struct('query_id', query_id, 'chunk_id', chunk_id, 'rank', dense_rank) AS s", "named_struct('rank', bm25_rank) AS m")
             return self.spark.sql(self.stages[name](SPARK).replace(BOTH_NAME, f"(SELECT {near}, {far} FROM {both} WHERE dense_rank <= 50 AND bm25_rank <= 50) h"))
+        if name == "fused":
+            # By chunk, as is needed next: the sums need no shuffle of their own, and what reads them once is not written.
+            head, rest = self.stages[name](SPARK).split("FROM (", 1)
+            parts, tail = rest.rsplit(") x GROUP BY", 1)
+            return self._stated(name, f"{head}FROM (SELECT /*+ REPARTITION(chunk_id) */ * FROM ({parts}) u) x GROUP BY{tail}")
         return None
 
-    def _stated(self, name: str) -> DataFrame:
-        text = self.stages[name](SPARK)
+    def _stated(self, name: str, text: str | None = None) -> DataFrame:
+        text = text or self.stages[name](SPARK)
         inputs = _names(self.stages[name](DUCK), list(self.stages))
         for n in inputs:
             self.stage(n)
