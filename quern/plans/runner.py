@@ -102,7 +102,15 @@ class Run:
         return isinstance(self.source, str)
 
     def _joined(self, name: str) -> DataFrame | None:
-        """What is made of the hits of both retrievers, where they came about together: no join brings them together again."""
+        """What takes less where a batch is known: terms of files, and what is made of the hits of both retrievers, where they
+        came about together and no join brings them together again."""
+        if name == "file_terms" and self.lazy and "query_rows" in self.done:
+            # Only terms that the batch may ask for are counted by file.
+            asked = self.stage("query_terms").join(self.stage("query_rows").where("is_file_card OR is_broad"), "query_id").where("length(term) >= 3").select("term").distinct()
+            self._view("asked_terms", asked)
+            text = self.stages[name](SPARK)
+            parts, tail = text.rsplit(") x GROUP BY", 1)
+            return self._stated(name, f"{parts}) x LEFT SEMI JOIN {self.prefix}asked_terms w ON x.term = w.term GROUP BY{tail}")
         if "both_hits" not in self.done:
             return None
         both, queries = f"{self.prefix}both_hits", f"{self.prefix}query_rows"

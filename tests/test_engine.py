@@ -3,12 +3,13 @@
 import math
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quern.functions import text
 from quern.functions.dialect import DUCK, SPARK
-from quern.operators import sparse
+from quern.operators import postings, sparse
 from quern.plans.catalog import CATALOG
 from quern.plans.registry import WITHOUT_TWIN, oracle_sql, queries
 from quern.plans.runner import Run
@@ -195,3 +196,14 @@ def test_hits_of_both_retrievers_come_about_together(spark, tmp_path):
         assert hits[0] == hits[1] and hits[0]
     assert "both_hits" not in apart.done and got == {tuple(r) for r in apart.sql(CATALOG["rrf_fuse"](SPARK)).collect()}
     assert together.stage("chunk_rows").count() == 90
+    asked_terms, every = ({r.term for r in run.stage("file_terms").select("term").distinct().collect()} for run in (together, Run(spark, str(tmp_path))))
+    assert asked_terms < every
+
+
+def test_packed_rows_come_back_whole():
+    v = np.array([[0, -127, 3], [128, 0, -70_000], [1, 2, 127]])
+    assert (postings.unpacked_vectors(postings.packed_vectors(v), 3) == v).all()
+    ids, units = np.array([7, 2**62, -5]), np.array([3.0, -1_000_000.0, 12_345_678.0])
+    got = sparse._unpacked_hits(sparse._packed_hits(ids, units))
+    assert dict(zip(*map(np.ndarray.tolist, got))) == {7: 3, 2**62: -1_000_000, -5: 12_345_678}
+    assert [len(x) for x in sparse._unpacked_hits(sparse._packed_hits(sparse.NONE, sparse.NONE))] == [0, 0]
