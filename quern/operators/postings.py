@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quern.functions.text import IDENTIFIER
+from quern.operators.defined import Definitions
 from quern.operators.encoders import _parts, _variants
 
 if TYPE_CHECKING:
@@ -32,10 +33,13 @@ _words = re.compile(IDENTIFIER).findall
 class _Tokens(dict):
     """The numbers of an identifier's tokens, and the tokens by number."""
 
-    def __init__(self) -> None:
+    def __init__(self, watched: dict[str, list] | None = None) -> None:
         self.numbers: dict[str, int] = {}
+        #: Identifiers to look out for, in lower case, and those that were met so far, as they are written.
+        self.watched, self.met = watched or {}, set()
         #: The numbers of what a part of an identifier gives; parts repeat where identifiers do not.
         self.parts: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str | None, set[int]] = {}
 
     def __missing__(self, word: str) -> frozenset[int]:
         found: set[int] = set()
@@ -45,12 +49,23 @@ class _Tokens(dict):
                 own = tuple([self.numbers.setdefault(t, len(self.numbers)) for t in _variants(part)])
                 self.parts[part] = own
             found.update(own)
+        if word.lower() in self.watched:
+            self.met.add(word)
         self[word] = made = frozenset(found)
         return made
 
     def of(self, text: str | None) -> set[int]:
         return set().union(*map(self.__getitem__, set(_words(text)))) if text else set()
 
+    def of_piece(self, text: str | None) -> set[int]:
+        """The same of a short text, which may come again."""
+        found = self.pieces.get(text)
+        if found is None:
+            if len(self.pieces) > REMEMBERED:
+                self.pieces.clear()
+            self.pieces[text] = found = self.of(text)
+        return found
+
 
 def _pieces(path: str, symbols: list | None, crumbs: list | None) -> list[str | None]:
     """What a chunk is indexed by beside its content: its symbols' names twice and their kinds, breadcrumbs, the file's stem
@@ -61,20 +76,23 @@ def _pieces(path: str, symbols: list | None, crumbs: list | None) -> list[str |
     return [*(x for s in symbols or () for x in (s["name"], s["name"], s["kind"])), *(crumbs or ()), stem, stem, *near]
 
 
-def _counts(known: _Tokens, batch: pa.RecordBatch, embedded: list[set[int]] | None = None) -> Iterator[dict[int, int]]:
+def _counts(known: _Tokens, batch: pa.RecordBatch, embedded: list[set[int]] | None = None, cards: list[tuple[set[int], set[int]]] | None = None) -> Iterator[dict[int, int]]:
     """Of every chunk its tokens by number, with the number of its pieces that hold them; ``embedded`` gets the tokens of
-    its ``semantic_text``, whose parts no token spans."""
+    its ``semantic_text``, whose parts no token spans, ``cards`` what it tells of its file: the tokens of the path, and all."""
     columns = [batch.column(i).to_pylist() for i in range(1, 5)]
     languages = batch.column(5).to_pylist() if embedded is not None else [None] * batch.num_rows
     for path, text, symbols, crumbs, language in zip(*columns, languages):
         own = known.of(text)
         found = dict.fromkeys(own, 1)
         for piece in _pieces(path, symbols, crumbs):
-            for t in known.of(piece):
+            for t in known.of_piece(piece):
                 found[t] = found.get(t, 0) + 1
         if embedded is not None:
             parts = ("path language symbols context", path, "unknown" if language is None else language, *(s["name"] for s in symbols or ()), *(crumbs or ()))
-            embedded.append(own.union(*map(known.of, parts)))
+            embedded.append(own.union(*map(known.of_piece, parts)))
+        if cards is not None:
+            of_path = known.of_piece(path)
+            cards.append((of_path, of_path.union(known.of_piece(language), *(known.of_piece(x) for s in symbols or () for x in (s["name"], s["kind"])), *map(known.of_piece, crumbs or ()))))
         yield found
 
 
@@ -97,18 +115,20 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _bags(asked: dict[str, int], dimensions: int):
-    """``BAGS``: of every chunk its length, its postings of the terms asked for by their codes, and its hashed vector where
-    ``dimensions`` is not 0."""
+def _bags(asked: dict[str, int], dimensions: int, names: dict[str, int] | None = None):
+    """``BAGS``: of every chunk its length, its postings of the terms asked for by their codes, its hashed vector where
+    ``dimensions`` is not 0, and with ``names`` which of them it defines and what it tells of its file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, coded, hashes = _Tokens(), np.zeros(0, dtype=np.int32), _Hashes(dimensions)
+        defined = Definitions(names or {})
+        known, coded, hashes = _Tokens(defined.watched), np.zeros(0, dtype=np.int32), _Hashes(dimensions)
         for batch in batches:
             if len(known) > REMEMBERED:
-                known, coded, hashes = _Tokens(), coded[:0], _Hashes(dimensions)
+                known, coded, hashes = _Tokens(defined.watched), coded[:0], _Hashes(dimensions)
             numbers, counts, sizes, lengths = [], [], [], []
             embedded: list[set[int]] | None = [] if dimensions else None
-            for found in _counts(known, batch, embedded):
+            cards: list | None = None if names is None else []
+            for found in _counts(known, batch, embedded, cards):
                 numbers.extend(found)
                 counts.extend(found.values())
                 sizes.append(len(found))
@@ -122,7 +142,9 @@ def _bags(asked: dict[str, int], dimensions: int):
                 vectors = packed_vectors(hashes.sums(known, embedded).reshape(len(embedded), dimensions))
             else:
                 vectors = pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), *lists, vectors], names=["id", "n", "codes", "tfs", "v"])
+            card = pa.array([[2 * coded[t] + (t in path) for t in every if coded[t] >= 0] for path, every in cards or ()], pa.list_(pa.int32())) if cards is not None else pa.nulls(batch.num_rows, pa.list_(pa.int32()))
+            defs = defined.of(known, batch.column(1), batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), *lists, vectors, defs, card], names=["id", "n", "codes", "tfs", "v", "defs", "card"])
 
     return run
 
@@ -191,13 +213,14 @@ def chunk_postings(run: Run) -> DataFrame:
     return run.stage("chunk_rows").select(*INDEXED).mapInArrow(_postings, POSTINGS)
 
 
-BAGS = "id bigint, n bigint, codes array<int>, tfs array<int>, v binary"
+BAGS = "id bigint, n bigint, codes array<int>, tfs array<int>, v binary, defs array<int>, card array<int>"
 
 
-def chunk_bags(run: Run, asked: dict[str, int], dimensions: int = 0) -> DataFrame:
+def chunk_bags(run: Run, asked: dict[str, int], dimensions: int = 0, names: dict[str, int] | None = None) -> DataFrame:
     """``BAGS``: the postings of the terms asked for by chunk, without those of all others being made, and on demand the
-    vectors from the same tokens."""
-    return run.stage("chunk_rows").select(*INDEXED, "language").mapInArrow(_bags(asked, dimensions), BAGS)
+    vectors from the same tokens; with ``names`` also the definitions of these, and the terms that the chunk's file is known by,
+    as twice their codes and 1 more for those of its path."""
+    return run.stage("chunk_rows").select(*INDEXED, "language").mapInArrow(_bags(asked, dimensions, names), BAGS)
 
 
 def _semantic_texts(run: Run) -> DataFrame:

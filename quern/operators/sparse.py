@@ -294,36 +294,67 @@ def _both_of_places(best: DataFrame) -> DataFrame:
     return gathered.mapInArrow(run, "query_id bigint, chunk_id bigint, bm25_score double, bm25_rank int, dense_score double, dense_rank int")
 
 
+def _codes(run: Run) -> DataFrame:
+    return cut(run.stage("query_terms").select("term").distinct().selectExpr("term", "cast(row_number() over (order by term) as int) as code"))
+
+
+def _bags_of(run: Run, codes: DataFrame, dimensions: int, names: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The postings of the batch's terms, where no index is kept, and the terms' frequencies."""
+    packed = stored(chunk_bags(run, {r.term: r.code for r in codes.toLocalIterator()}, dimensions, names))
+    n = run.stage("chunk_rows").count()
+    run.offer("corpus_stats", cut(packed.selectExpr(f"{n}L as n_chunks", f"case when {n} > 0 then coalesce(cast(sum(n) as double), 0) / {n} else 0.0D end as avg_doc_len")))
+    return packed, packed.select("codes").mapInArrow(_frequencies, "code int, df bigint").groupBy("code").agg(F.sum("df").alias("df"))
+
+
+def _weighted(run: Run, codes: DataFrame, frequency: DataFrame) -> DataFrame:
+    """The queries with their terms' weights."""
+    stats = run.stage("corpus_stats").selectExpr("n_chunks", "cast(avg_doc_len as double) as mean")
+    idf = frequency.crossJoin(F.broadcast(stats)).selectExpr("code", "ln((n_chunks - df + 0.5) / (df + 0.5) + 1) as idf")
+    # A query whose terms no chunk holds has dense hits all the same.
+    weights = run.stage("query_terms").join(codes, "term").join(idf, "code", "left").selectExpr("query_id", "code", "coalesce(idf, 0.0D) as idf")
+    of = weights.groupBy("query_id").agg(F.collect_list(F.struct("code", "idf")).alias("t")).crossJoin(F.broadcast(stats.select("mean")))
+    return of.join(run.stage("query_rows").select("query_id", "pool", "filter_languages", "filter_paths"), "query_id")
+
+
+def _with_vectors(run: Run, queries: DataFrame, dimensions: int) -> DataFrame:
+    parts = run.stage("query_vectors").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("i").cast("int"), F.col("v").cast("int")))).alias("parts"))
+    return queries.join(parts, "query_id", "left").withColumn("asked", F.expr(f"transform(sequence(0, {dimensions - 1}), i -> coalesce(parts[i], 0))"))
+
+
+def _places(run: Run) -> int:
+    return max(run.spark.sparkContext.defaultParallelism, math.ceil(run.stage("chunk_rows").count() / PLACE))
+
+
+def asked_of_places(run: Run, names: dict[str, int]) -> tuple[int, DataFrame, DataFrame, DataFrame]:
+    """The number of places, the queries that go to them with weights and vectors, the bags of the chunks, which have the
+    definitions of ``names`` too, and the codes of the terms."""
+    from quern.plans.stages import DIMENSIONS
+
+    codes = _codes(run)
+    bags, frequency = _bags_of(run, codes, DIMENSIONS, names)
+    return _places(run), _with_vectors(run, _weighted(run, codes, frequency), DIMENSIONS), bags, codes
+
+
 def bm25_sums(run: Run) -> DataFrame:
     """``bm25_hits``: the chunks that hold a query term and pass the query's filter, ranked as far as the query's pool goes."""
     from quern.plans.stages import DIMENSIONS
 
-    spark, chunks, terms = run.spark, run.stage("chunk_rows"), run.stage("query_terms")
-    codes = cut(terms.select("term").distinct().selectExpr("term", "cast(row_number() over (order by term) as int) as code"))
+    chunks, codes = run.stage("chunk_rows"), _codes(run)
     few = codes.count() <= BROUGHT
     bare = few and "postings_built" not in run.done
     both = bare and run.hybrid and run.encoder is None and not {"dense_hits", "chunk_vectors"} & set(run.done)
     if bare:
         # No index is kept: only the postings of the batch's terms are made.
-        packed = stored(chunk_bags(run, {r.term: r.code for r in codes.toLocalIterator()}, DIMENSIONS if both else 0))
-        frequency = packed.select("codes").mapInArrow(_frequencies, "code int, df bigint").groupBy("code").agg(F.sum("df").alias("df"))
-        n = chunks.count()
-        run.offer("corpus_stats", cut(packed.selectExpr(f"{n}L as n_chunks", f"case when {n} > 0 then coalesce(cast(sum(n) as double), 0) / {n} else 0.0D end as avg_doc_len")))
+        packed, frequency = _bags_of(run, codes, DIMENSIONS if both else 0)
     else:
         near = F.broadcast(codes) if few else codes
         asked = run.stage("postings_built").join(near, "term")
         frequency = run.done["term_frequencies"].join(near, "term").select("code", "df") if "term_frequencies" in run.done else asked.groupBy("code").agg(F.count("*").alias("df"))
         packed = asked.selectExpr("chunk_id as id", "doc_len as n", "code", "cast(tf as int) as tf").mapInArrow(_packed, PACKED)
-    stats = run.stage("corpus_stats").selectExpr("n_chunks", "cast(avg_doc_len as double) as mean")
-    idf = frequency.crossJoin(F.broadcast(stats)).selectExpr("code", "ln((n_chunks - df + 0.5) / (df + 0.5) + 1) as idf")
-    # A query whose terms no chunk holds has dense hits all the same.
-    weights = terms.join(codes, "term").join(idf, "code", "left").selectExpr("query_id", "code", "coalesce(idf, 0.0D) as idf")
-    of = weights.groupBy("query_id").agg(F.collect_list(F.struct("code", "idf")).alias("t")).crossJoin(F.broadcast(stats.select("mean")))
-    queries = of.join(run.stage("query_rows").select("query_id", "pool", "filter_languages", "filter_paths"), "query_id")
+    queries = _weighted(run, codes, frequency)
     if both:
-        parts = run.stage("query_vectors").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("i").cast("int"), F.col("v").cast("int")))).alias("parts"))
-        queries = queries.join(parts, "query_id", "left").withColumn("asked", F.expr(f"transform(sequence(0, {DIMENSIONS - 1}), i -> coalesce(parts[i], 0))"))
-    places = max(spark.sparkContext.defaultParallelism, math.ceil(chunks.count() / PLACE))
+        queries = _with_vectors(run, queries, DIMENSIONS)
+    places = _places(run)
     place = F.pmod(F.xxhash64("id"), F.lit(places)).cast("int").alias("place")
     left = queries.selectExpr(
         f"explode(sequence(0, {places - 1})) as place", "0 as kind", "query_id as id", "pool as n", "t.code as codes", "t.idf as idfs", "mean", "filter_languages as languages", "filter_paths as paths", *["asked"] * both,

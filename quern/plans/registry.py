@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.dialect import DUCK, SPARK
 from quern.operators.lookup import FIND_RELATED_SQL, related_chunks
-from quern.plans.catalog import CATALOG, INSTEAD
+from quern.plans.catalog import BY_HITS, CATALOG, INSTEAD
 from quern.plans.runner import Run, duck_sql
 from quern.session import table
 from quern.sources.chunking import OUTLINED, chunk_files
@@ -49,7 +49,7 @@ WITHOUT_TWIN = {"code_chunks"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {name: lambda spark, d, f=f, instead=INSTEAD.get(name): Run(spark, d, instead).sql(f(SPARK)) for name, f in CATALOG.items()}
+    out = {name: lambda spark, d, f=f, instead=INSTEAD.get(name), by_hits=name in BY_HITS: Run(spark, d, instead).sql(f(SPARK), by_hits) for name, f in CATALOG.items()}
     return out | {"find_related": find_related, "code_chunks": code_chunks, "code_chunk_cover": code_chunk_cover}
 
 

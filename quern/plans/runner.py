@@ -12,7 +12,8 @@ from quern.functions.dialect import DUCK, GREATEST_POOL, SPARK
 from quern.operators.dense import block_hits
 from quern.operators.encoders import Encoder
 from quern.operators.postings import chunk_postings, hashed_chunks
-from quern.operators.sparse import bm25_sums
+from quern.operators.ranked import ranked
+from quern.operators.sparse import BROUGHT, bm25_sums
 from quern.plans.stages import BOTH_NAME, COLUMNS, HEAVY, RRF, STAGES, Stage
 from quern.session import cut, stored, table
 
@@ -25,6 +26,11 @@ IN_BLOCKS = {"chunk_rows": lambda run: latest_chunks(run), "bm25_hits": bm25_sum
 #: Up to so many chunks that were delivered more than once, their ids go to all readers of the chunks.
 REPEATED = 2_000_000
 
+#: Stages that come about in arrays where a statement needs no stage between them and the queries.
+RANKED = {"hybrid_hits": "hits", "path_boosted": "boosted", "stem_boosts": "stems"}
+#: Stages that are gone then.
+BETWEEN = {"bm25_hits", "dense_hits", "rrf_parts", "agreement", "fused", "coherent", "definition_places", "definition_tiers", "maxima", "named_boosted", "penalised", "bm25_ranks", "semantic_ranks"}
+
 _runs = itertools.count()
 
 
@@ -135,12 +141,38 @@ class Run:
         self._tables(text)
         return self.spark.sql(self._bind(text, [*inputs, *_names(text, TABLES)]))
 
-    def sql(self, text: str) -> DataFrame:
-        """A statement over tables and stages."""
+    def _ranked(self, text: str, by_hits: bool) -> str | None:
+        """The stage that can be made without those between the queries and it."""
+        if self.encoder is not None or {"postings_built", "chunk_vectors", "dense_hits", "both_hits"} & set(self.done) or not self.lazy:
+            return None
+        bare = {n: (lambda d: "") if n in RANKED or by_hits and n in BETWEEN else s for n, s in self.stages.items()}
+        every = needed(text, bare)
+        found = [n for n in RANKED if n in every]
+        return found[0] if len(found) == 1 and (by_hits or not BETWEEN & set(every)) and self.few_terms() else None
+
+    def few_terms(self) -> bool:
+        return self.stage("query_terms").select("term").distinct().count() <= BROUGHT
+
+    def _of_ranked(self, name: str, by_hits: bool) -> DataFrame:
+        made = ranked(self, RANKED[name])
+        if name == "path_boosted":
+            return made
+        made = stored(made) if by_hits else made
+        if by_hits:
+            self._view("penalised", made.select("query_id", "chunk_id", "boosted"))
+            for n, score, rank in (("fused", "rrf", None), ("bm25_hits", "bm25_score", "bm25_rank"), ("dense_hits", "dense_score", "dense_rank")):
+                self._view(n, made.where(f"{score} is not null").selectExpr("query_id", "chunk_id", f"{score} as score", *[f"{rank} as rank"] * bool(rank)))
+        return made.select("query_id", "file_path", "share", "public") if name == "stem_boosts" else made.select("query_id", "chunk_id", "file_path", "score", "rank")
+
+    def sql(self, text: str, by_hits: bool = False) -> DataFrame:
+        """A statement over tables and stages; ``by_hits`` where it joins all others to the rows of ``hybrid_hits``."""
         names = _names(text, list(self.stages))
         every = needed(text, self.stages)
         self.hybrid = {"bm25_hits", "dense_hits"} <= set(every)
-        if "bm25_hits" in every:
+        ranked = self._ranked(text, by_hits) if self.hybrid else None
+        if ranked:
+            self._view(ranked, self._of_ranked(ranked, by_hits))
+        elif "bm25_hits" in every:
             # First, as it offers the corpus's statistics to the others.
             self.stage("bm25_hits")
         for n in names:
