@@ -76,13 +76,12 @@ class Definitions:
             found.append(CODES * code + (public and (name in words) + 2 * (leaf(name) in words)))
         return found
 
-    def of(self, known, paths: pa.Array, texts: pa.Array) -> pa.Array:
-        """The definitions of every chunk; ``known`` has met the chunks' identifiers."""
+    def of(self, met: dict[int, list[str]], paths: list[str], texts: pa.Array) -> pa.Array:
+        """The definitions of every chunk; ``met`` has the watched words of the chunks that hold any, in lower case."""
         if not self.watched:
             return pa.nulls(len(texts), pa.list_(pa.int32()))
-        rows = []
-        for path, text in zip(paths.to_pylist(), texts.to_pylist()):
-            met = known.met.intersection(re.findall(IDENTIFIER, text)) if text else ()
-            names = {n: c for w in met for n, c in self.watched[w.lower()]}
-            rows.append(self.one(text, re.sub(r"^(.+)[.][^.]*$", r"\1", path.split("/")[-1]), list(names.items())) if names else [])
+        rows: list[list[int]] = [[] for _ in range(len(texts))]
+        for i, words in met.items():
+            names = {n: c for w in words for n, c in self.watched[w]}
+            rows[i] = self.one(texts[i].as_py(), re.sub(r"^(.+)[.][^.]*$", r"\1", paths[i].split("/")[-1]), list(names.items()))
         return pa.array(rows, pa.list_(pa.int32()))

@@ -13,17 +13,21 @@ from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 
 from quern.functions.text import IDENTIFIER
 from quern.operators.defined import Definitions
 from quern.operators.encoders import _parts, _variants
+from quern.operators.vocabulary import BITS, LOW, Lists, Vocabulary, distinct
 
 if TYPE_CHECKING:
     from quern.plans.runner import Run
 
 #: Identifiers that a worker remembers; beyond them it starts afresh, which costs time only.
 REMEMBERED = 1_000_000
+#: Chunks whose tokens are in memory at once, where they go through arrays.
+AT_ONCE = 2_000
 POSTINGS = "term string, chunk_id bigint, tf bigint, doc_len bigint"
 VECTORS = "chunk_id bigint, i bigint, v bigint"
 
@@ -33,10 +37,8 @@ _words = re.compile(IDENTIFIER).findall
 class _Tokens(dict):
     """The numbers of an identifier's tokens, and the tokens by number."""
 
-    def __init__(self, watched: dict[str, list] | None = None) -> None:
+    def __init__(self) -> None:
         self.numbers: dict[str, int] = {}
-        #: Identifiers to look out for, in lower case, and those that were met so far, as they are written.
-        self.watched, self.met = watched or {}, set()
         #: The numbers of what a part of an identifier gives; parts repeat where identifiers do not.
         self.parts: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[str | None, set[int]] = {}
@@ -49,8 +51,6 @@ class _Tokens(dict):
                 own = tuple([self.numbers.setdefault(t, len(self.numbers)) for t in _variants(part)])
                 self.parts[part] = own
             found.update(own)
-        if word.lower() in self.watched:
-            self.met.add(word)
         self[word] = made = frozenset(found)
         return made
 
@@ -67,32 +67,25 @@ class _Tokens(dict):
         return found
 
 
+def _of_path(path: str) -> tuple[str, list[str]]:
+    *folders, name = path.split("/")
+    return re.sub(r"^(.+)[.][^.]*$", r"\1", name), [f for f in folders if f not in ("", ".")][-3:]
+
+
 def _pieces(path: str, symbols: list | None, crumbs: list | None) -> list[str | None]:
     """What a chunk is indexed by beside its content: its symbols' names twice and their kinds, breadcrumbs, the file's stem
     twice and its last three directories."""
-    *folders, name = path.split("/")
-    stem = re.sub(r"^(.+)[.][^.]*$", r"\1", name)
-    near = [f for f in folders if f not in ("", ".")][-3:]
+    stem, near = _of_path(path)
     return [*(x for s in symbols or () for x in (s["name"], s["name"], s["kind"])), *(crumbs or ()), stem, stem, *near]
 
 
-def _counts(known: _Tokens, batch: pa.RecordBatch, embedded: list[set[int]] | None = None, cards: list[tuple[set[int], set[int]]] | None = None) -> Iterator[dict[int, int]]:
-    """Of every chunk its tokens by number, with the number of its pieces that hold them; ``embedded`` gets the tokens of
-    its ``semantic_text``, whose parts no token spans, ``cards`` what it tells of its file: the tokens of the path, and all."""
-    columns = [batch.column(i).to_pylist() for i in range(1, 5)]
-    languages = batch.column(5).to_pylist() if embedded is not None else [None] * batch.num_rows
-    for path, text, symbols, crumbs, language in zip(*columns, languages):
-        own = known.of(text)
-        found = dict.fromkeys(own, 1)
+def _counts(known: _Tokens, batch: pa.RecordBatch) -> Iterator[dict[int, int]]:
+    """Of every chunk its tokens by number, with the number of its pieces that hold them."""
+    for path, text, symbols, crumbs in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+        found = dict.fromkeys(known.of(text), 1)
         for piece in _pieces(path, symbols, crumbs):
             for t in known.of_piece(piece):
                 found[t] = found.get(t, 0) + 1
-        if embedded is not None:
-            parts = ("path language symbols context", path, "unknown" if language is None else language, *(s["name"] for s in symbols or ()), *(crumbs or ()))
-            embedded.append(own.union(*map(known.of_piece, parts)))
-        if cards is not None:
-            of_path = known.of_piece(path)
-            cards.append((of_path, of_path.union(known.of_piece(language), *(known.of_piece(x) for s in symbols or () for x in (s["name"], s["kind"])), *map(known.of_piece, crumbs or ()))))
         yield found
 
 
@@ -115,36 +108,92 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _lists(rows: np.ndarray, values: np.ndarray, count: int) -> pa.ListArray:
+    """A list for each of ``count`` rows, of values that stand by row."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(count + 1)).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+class _Chunks:
+    """The bags of some chunks, from what a vocabulary has of their texts and pieces."""
+
+    def __init__(self, known: Vocabulary, batch: pa.RecordBatch) -> None:
+        self.known, self.n = known, batch.num_rows
+        paths, self.texts, symbols, crumbs, languages = batch.columns[1:6]
+        coded = paths.dictionary_encode()
+        self.paths, of_path, own = coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.arange(self.n)
+        places = [_of_path(p) for p in self.paths]
+        sizes = np.array([2 + len(near) for _, near in places], dtype=np.int64)
+        folders = Lists()
+        folders.add(sizes, known.pieces.of([x for stem, near in places for x in (stem, stem, *near)], sizes.sum()))
+        sizes, folders = folders.of(of_path)
+        self.path_of = of_path
+        rows = lambda column: np.repeat(own, pa.compute.list_value_length(column).fill_null(0).to_numpy())
+        names, kinds = (known.numbered(pa.compute.struct_field(symbols.flatten(), k)) for k in ("name", "kind"))
+        names, kinds = (rows(symbols), names), (rows(symbols), kinds)
+        crumbs, path = (rows(crumbs), known.numbered(crumbs.flatten())), (own, known.numbered(paths))
+        head, named = known.pieces["path language symbols context"], known.numbered(languages.fill_null("unknown"))
+        language = (own, known.numbered(languages))
+        known.learn_pieces()
+        self.words, self.tokens = known.distinct_of(self.texts.to_pylist())
+        self.indexed = self._of(names, names, kinds, crumbs, (np.repeat(own, sizes), folders))
+        self.embedded = (path, (own, named), (own, np.full(self.n, head)), names, crumbs)
+        self.path, self.card = (path,), (language, names, kinds, crumbs)
+
+    def _of(self, *pieces: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The tokens of chunks' pieces, with the chunks' places."""
+        rows, numbers = (np.concatenate(x) for x in zip(*pieces))
+        sizes, tokens = self.known.of_piece.of(numbers)
+        return np.repeat(rows, sizes) << BITS | tokens
+
+    def _coded(self, keys: np.ndarray) -> np.ndarray:
+        codes = self.known.code[keys & LOW]
+        kept = codes >= 0
+        return keys[kept] >> BITS << BITS | codes[kept]
+
+    def lengths(self) -> np.ndarray:
+        return sum(np.bincount(keys >> BITS, minlength=self.n) for keys in (self.tokens, self.indexed))
+
+    def postings(self) -> list[pa.Array]:
+        """Codes and counts of the tokens asked for."""
+        keys, counts = np.unique(np.concatenate([self._coded(self.tokens), self._coded(self.indexed)]), return_counts=True)
+        return [_lists(keys >> BITS, x, self.n) for x in (keys & LOW, counts)]
+
+    def vectors(self) -> pa.Array:
+        keys, dimensions = distinct(np.concatenate([self.tokens, self._of(*self.embedded)])), self.known.dimensions
+        tokens = keys & LOW
+        sums = np.bincount((keys >> BITS) * dimensions + self.known.place[tokens], weights=self.known.sign[tokens], minlength=self.n * dimensions)
+        return packed_vectors(sums.reshape(self.n, dimensions))
+
+    def cards(self) -> pa.Array:
+        path, others = (distinct(self._coded(self._of(*pieces))) for pieces in (self.path, self.card))
+        others = others[~np.isin(others, path)]
+        keys = np.sort(np.concatenate([(x >> BITS << BITS) + 2 * (x & LOW) + k for k, x in enumerate((others, path))]))
+        return _lists(keys >> BITS, keys & LOW, self.n)
+
+    def definitions(self, defined: Definitions) -> pa.Array:
+        met: dict[int, list[str]] = {}
+        for key in self.words[self.known.is_watched[self.words & LOW]].tolist():
+            met.setdefault(key >> BITS, []).append(self.known.met[key & LOW])
+        return defined.of(met, [self.paths[i] for i in self.path_of], self.texts)
+
+
 def _bags(asked: dict[str, int], dimensions: int, names: dict[str, int] | None = None):
     """``BAGS``: of every chunk its length, its postings of the terms asked for by their codes, its hashed vector where
     ``dimensions`` is not 0, and with ``names`` which of them it defines and what it tells of its file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         defined = Definitions(names or {})
-        known, coded, hashes = _Tokens(defined.watched), np.zeros(0, dtype=np.int32), _Hashes(dimensions)
-        for batch in batches:
-            if len(known) > REMEMBERED:
-                known, coded, hashes = _Tokens(defined.watched), coded[:0], _Hashes(dimensions)
-            numbers, counts, sizes, lengths = [], [], [], []
-            embedded: list[set[int]] | None = [] if dimensions else None
-            cards: list | None = None if names is None else []
-            for found in _counts(known, batch, embedded, cards):
-                numbers.extend(found)
-                counts.extend(found.values())
-                sizes.append(len(found))
-                lengths.append(sum(found.values()))
-            coded = np.concatenate([coded, np.array([asked.get(t, -1) for t in list(known.numbers)[len(coded) :]], dtype=np.int32)])
-            codes = coded[np.array(numbers, dtype=np.int64)]
-            kept = codes >= 0
-            ends = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64))])].astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[kept])) for x in (codes, np.array(counts, dtype=np.int32))]
-            if dimensions:
-                vectors = packed_vectors(hashes.sums(known, embedded).reshape(len(embedded), dimensions))
-            else:
-                vectors = pa.nulls(batch.num_rows, pa.binary())
-            card = pa.array([[2 * coded[t] + (t in path) for t in every if coded[t] >= 0] for path, every in cards or ()], pa.list_(pa.int32())) if cards is not None else pa.nulls(batch.num_rows, pa.list_(pa.int32()))
-            defs = defined.of(known, batch.column(1), batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), *lists, vectors, defs, card], names=["id", "n", "codes", "tfs", "v", "defs", "card"])
+        fresh = lambda: Vocabulary(asked, dimensions, defined.watched)
+        known = fresh()
+        for whole in batches:
+            for a in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(a, AT_ONCE)
+                if len(known) > REMEMBERED:
+                    known = fresh()
+                chunks, none = _Chunks(known, batch), pa.nulls(batch.num_rows, pa.list_(pa.int32()))
+                vectors = chunks.vectors() if dimensions else pa.nulls(batch.num_rows, pa.binary())
+                columns = [batch.column(0), pa.array(chunks.lengths(), pa.int64()), *chunks.postings(), vectors, chunks.definitions(defined), none if names is None else chunks.cards()]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "codes", "tfs", "v", "defs", "card"])
 
     return run
 

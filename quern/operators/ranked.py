@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -25,7 +26,7 @@ from quern.operators.cards import card_candidates
 from quern.operators.dense import GIVEN
 from quern.operators.defined import CODES
 from quern.operators.postings import unpacked_vectors
-from quern.operators.sparse import UNIT, _first, _Place, _Vectors, asked_of_places
+from quern.operators.sparse import UNIT, _Place, _Vectors, asked_of_places, best_sums
 from quern.session import cut, stored
 
 if TYPE_CHECKING:
@@ -49,16 +50,27 @@ STEMS = "query_id bigint, file bigint, share double, public double"
 
 
 def packed(ids: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Whole numbers by rising id, byte by byte, as most bytes are zero."""
+    """Whole numbers by rising id, byte by byte, without the bytes that are zero in all rows."""
+    if not len(ids):
+        return b""
     order = np.argsort(ids, kind="stable")
-    rows = np.stack([np.diff(ids[order], prepend=0), *(c[order] for c in columns)]).astype("<i8")
-    return np.ascontiguousarray(rows.view(np.uint8).reshape(len(rows), -1, 8).transpose(0, 2, 1)).tobytes()
+    rows = np.empty((1 + len(columns), len(ids)), dtype="<i8")
+    for row, values in zip(rows, (ids, *columns)):
+        row[:] = values[order]
+    rows[0, 1:] -= rows[0, :-1].copy()
+    planes = rows.view(np.uint8).reshape(len(rows), -1, 8).transpose(0, 2, 1)
+    used = planes.any(axis=2)
+    return len(ids).to_bytes(4, "little") + np.packbits(used, axis=1).tobytes() + planes[used].tobytes()
 
 
 def unpacked(parts: list[bytes], columns: int) -> np.ndarray:
     out = []
-    for b in parts:
-        rows = np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(columns, 8, len(b) // (8 * columns)).transpose(0, 2, 1)).view("<i8")[:, :, 0].copy()
+    for b in filter(None, parts):
+        n, head = int.from_bytes(b[:4], "little"), 4 + columns
+        used = np.unpackbits(np.frombuffer(b[4:head], np.uint8)[:, None], axis=1).astype(bool)
+        planes = np.zeros((columns, 8, n), dtype=np.uint8)
+        planes[used] = np.frombuffer(b, np.uint8, offset=head).reshape(-1, n)
+        rows = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8")[:, :, 0].copy()
         rows[0] = np.cumsum(rows[0])
         out.append(rows)
     return np.concatenate(out, axis=1) if out else np.zeros((columns, 0), dtype=np.int64)
@@ -128,6 +140,8 @@ class _Files:
 
     def attributes(self, at: np.ndarray, shared: np.ndarray, named: np.ndarray, words: list[str]) -> np.ndarray:
         """The classes of some chunks with what a query's terms and words find in their paths."""
+        if not len(at):
+            return at
         out = self.bits[at] | named[at].astype(np.int64) << NAMED | np.minimum(shared[at], MOST).astype(np.int64) << SHARED
         if words:
             out |= sum(self.matches(w)[at] for w in words) << MATCHES
@@ -172,7 +186,6 @@ def _of_places(dimensions: int):
                 total[:] = 0
                 for c in codes[ends[i] : ends[i + 1]]:
                     place.add(total, int(c))
-                units = np.floor(total * UNIT + 0.5)
                 wanted = (("language", languages), ("path", paths))
                 mask = None
                 for column, values in wanted:
@@ -180,12 +193,11 @@ def _of_places(dimensions: int):
                         passed = place.allowed(column, values)
                         mask = passed if mask is None else mask & passed
                 if mask is not None:
-                    units *= mask
+                    total *= mask
                 shared, named = files.shared(terms)
                 own = lambda at: files.attributes(at, shared, named, words)
-                at = np.flatnonzero(units)
-                at = at[_first(units[at], pool)]
-                sums = packed(place.ids[at], units[at], place.ids[at] - files.file[at], own(at))
+                at, units = best_sums(total, pool)
+                sums = packed(place.ids[at], units, place.ids[at] - files.file[at], own(at))
                 v = matrix[i].astype(np.float64)
                 norm = math.sqrt(v @ v)
                 ids, units = vectors.best(products[i % GIVEN], norm, pool, wanted) if norm else (np.zeros(0, dtype=np.int64),) * 2
@@ -193,12 +205,13 @@ def _of_places(dimensions: int):
                 near = packed(ids, units, ids - files.file[at], own(at))
                 at = np.flatnonzero(shared >= 2 if mask is None else (shared >= 2) & mask)[: JOINING + 2 * pool + OTHERS + int(facts[-1])]
                 added = packed(place.ids[at], place.ids[at] - files.file[at], own(at))
-                more = extra.pop(q, [])
-                ids = np.array([x[0] for x in more], dtype=np.int64)
-                at = np.searchsorted(place.ids, ids)
-                values = [np.array([np.nan if x[k] is None else x[k] for x in more]).view(np.int64) if more else ids for k in (1, 2)]
-                placed = np.array([bool(x[3]) for x in more], dtype=bool) & (True if mask is None else mask[at])
-                other = packed(ids, ids - files.file[at], own(at), *values, placed.astype(np.int64))
+                other = b""
+                if more := extra.pop(q, []):
+                    ids = np.array([x[0] for x in more], dtype=np.int64)
+                    at = np.searchsorted(place.ids, ids)
+                    values = [np.array([np.nan if x[k] is None else x[k] for x in more]).view(np.int64) for k in (1, 2)]
+                    placed = np.array([bool(x[3]) for x in more], dtype=bool) & (True if mask is None else mask[at])
+                    other = packed(ids, ids - files.file[at], own(at), *values, placed.astype(np.int64))
                 if sums or near or added or other:
                     found.append((q, pool, facts, sums, near, added, other))
                 if len(found) >= GIVEN:
@@ -350,11 +363,16 @@ def _ranked(kind: str):
     names = [x.split()[0] for x in {"hits": HITS, "boosted": BOOSTED, "stems": STEMS}[kind].split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("query_id", "pool", "facts", "sums", "near", "added", "other")]
-            made = [rows(q, _Candidates(*rest)) for q, *rest in zip(*columns)]
-            if made:
+        made: list[list[pa.Array]] = []
+        given = (x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in ("query_id", "pool", "facts", "sums", "near", "added", "other"))))
+        for q, parts in groupby(given, lambda x: x[0]):
+            _, pools, facts, *hits = zip(*parts)
+            made.append(rows(q, _Candidates(max(pools), facts[0], *hits)))
+            if len(made) >= GIVEN:
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*made)], names=names)
+                made = []
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*made)], names=names)
 
     return run
 
@@ -382,10 +400,12 @@ def ranked(run: Run, kind: str) -> DataFrame:
     from quern.plans.stages import DIMENSIONS
 
     spark = run.spark
+    # Read so often from here on that it is written once.
+    run._view("chunk_keys", stored(run.stage("chunk_keys")))
     names = cut(run.stage("query_names").select("name").distinct().selectExpr("name", "cast(row_number() over (order by name) as int) as code"))
     places, queries, bags, codes = asked_of_places(run, {r.name: r.code for r in names.toLocalIterator()} if kind != "stems" else {})
     p = run.prefix
-    run.stage("file_features"), run.stage("chunk_keys")
+    run.stage("file_features")
     run.offer("first_chunks", stored(spark.sql(f"SELECT file_path, min(chunk_id) AS file FROM {p}chunk_keys GROUP BY file_path")))
     others = run.stage("symbol_candidates").select("query_id", "chunk_id", F.col("part").cast("double")).unionByName(card_candidates(run, bags, codes, places))
     others = others.withColumns({"tier": F.lit(None).cast("double"), "placed": F.lit(False)})
@@ -414,7 +434,8 @@ def ranked(run: Run, kind: str) -> DataFrame:
     other = others.selectExpr("chunk_id as id", "query_id as n", "part", "tier", "placed")
     met = met.unionByName(other.select(place, F.lit(3).alias("kind"), *other.columns), allowMissingColumns=True)
     out = met.repartitionById(places, F.col("place")).drop("place").mapInArrow(_of_places(DIMENSIONS), OUT)
-    gathered = out.groupBy("query_id").agg(F.max("pool").alias("pool"), F.first("facts").alias("facts"), *(F.collect_list(c).alias(c) for c in ("sums", "near", "added", "other")))
+    # A place has one row of a query, so nothing is gathered before the rows of all places meet.
+    gathered = out.repartition(F.col("query_id")).sortWithinPartitions("query_id")
     made = gathered.mapInArrow(_ranked(kind), {"hits": HITS, "boosted": BOOSTED, "stems": STEMS}[kind])
     if kind == "boosted":
         return made

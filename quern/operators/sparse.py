@@ -138,14 +138,12 @@ def _best(batches: Iterator[pa.RecordBatch], places: list[_Place] | None = None)
             total[:] = 0
             for c in codes[ends[i] : ends[i + 1]]:
                 place.add(total, int(c))
-            units = np.floor(total * UNIT + 0.5)
             for column, wanted in (("language", languages[i]), ("path", paths[i])):
                 if wanted:
-                    units *= place.allowed(column, wanted)
-            at = np.flatnonzero(units)
-            at = at[_first(units[at], pools[i])]
+                    total *= place.allowed(column, wanted)
+            at, units = best_sums(total, pools[i])
             if len(at):
-                out.append((q, pools[i], place.ids[at], units[at]))
+                out.append((q, pools[i], place.ids[at], units))
             if len(out) >= GIVEN:
                 yield best_batch(out)
                 out = []
@@ -162,6 +160,20 @@ def _first(units: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(units == edge)[: k - len(above)]])
 
 
+def best_sums(total: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the k largest sums and the sums in units, ties in units to the first."""
+    at = np.flatnonzero(total > 0)
+    sums = total[at]
+    if len(at) > k:
+        # Only what may be a tie after rounding is rounded.
+        close = sums >= np.partition(sums, len(at) - k)[len(at) - k] - 2 / UNIT
+        at, sums = at[close], sums[close]
+    units = np.floor(sums * UNIT + 0.5)
+    at, units = at[units > 0], units[units > 0]
+    own = _first(units, k)
+    return at[own], units[own]
+
+
 class _Vectors:
     """The vectors of a place.  They are whole numbers, so their products are exact in few digits as far as these go."""
 
